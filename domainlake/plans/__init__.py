@@ -1,4 +1,4 @@
 """Registered queries; importing this package fills the registry."""
 
-from domainlake.plans import feeds, urls  # noqa: F401
+from domainlake.plans import features, feeds, scoring, urls  # noqa: F401
 from domainlake.plans.catalog import ORACLES, QUERIES  # noqa: F401

@@ -44,7 +44,8 @@ def host_train(x: str) -> str:
 
 
 TLD_CASE = (
-    "case tld " + " ".join(f"when '{t}' then {r}" for t, r in K.TLD_RISK.items()) + " else 0.1 end"
+    "(case tld " + " ".join(f"when '{t}' then {r}" for t, r in K.TLD_RISK.items())
+    + " else 0.1 end)::double"
 )
 
 
@@ -77,7 +78,7 @@ def bigrams_in(words) -> str:
 
 REPEATED = "len(list_filter(bigrams, lambda b: substr(b, 1, 1) = substr(b, 2, 1))) / size"
 LOOKALIKE = (
-    "case when dist between 1 and 2 then 1.0 when dist <= 4 then 0.5 else 0.0 end"
+    "(case when dist between 1 and 2 then 1.0 when dist <= 4 then 0.5 else 0.0 end)::double"
 )
 
 FEATURE_SQL = {

@@ -39,8 +39,10 @@ def rows(columns, data):
 
 def compare(spark, con, path, job, sql):
     """(number of rows, problem text or None)."""
+    begin = time.time()
     df = job(spark, path)
     got_cols, got = rows(df.columns, [tuple(r) for r in df.collect()])
+    print(f"     {time.time() - begin:.1f}s on Spark", end=" ")
     if sql is None:
         return len(got), None if got else "no rows"
     result = con.execute(sql)
