@@ -1,17 +1,16 @@
 """Brand similarity: edit distance and Jaro-Winkler as native expressions.
 
 Brands are a short fixed list, so all comparisons of a label stay inside its own row: no
-explode, no join and no shuffle.
+explode, no join and no shuffle. The longer formulas are SQL text over named columns.
 """
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from domainlake.constants import BRANDS
-from domainlake.functions.text import let
 
 FAR = 99
-TAKEN = "\uffff"  # a noncharacter: marks positions of the brand that are already matched
+TAKEN = chr(0xFFFF)  # a noncharacter: marks positions of the brand that are already matched
 
 
 def min_distance(label: Column, brands: list[str], within: int = 4) -> Column:
@@ -30,106 +29,80 @@ def lookalike_score(distance: Column) -> Column:
     )
 
 
-def _char(text: Column, i: Column) -> Column:
-    return F.substring(text, i, F.lit(1))
+def _let(name: str, value: str, body: str) -> str:
+    """SQL text that evaluates `value` once and uses it as `name` in `body`."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _leading_matches(label: Column, brand: Column) -> Column:
-    """Equal positions among the first four; not only the contiguous common prefix."""
-    return sum(
-        (
-            (
-                (F.length(label) >= i)
-                & (F.length(brand) >= i)
-                & (_char(label, F.lit(i)) == _char(brand, F.lit(i)))
-            ).cast("int")
-            for i in range(1, 5)
-        ),
-        F.lit(0),
-    )
-
-
-def jaro_winkler(label: Column, brand: Column) -> Column:
-    """Jaro-Winkler similarity with the positional bonus of `_leading_matches`.
+def jaro_winkler(label: str, brand: str) -> str:
+    """SQL text: Jaro-Winkler similarity of two named columns or variables.
 
     Walk over the label; each character takes the first equal, untaken brand character inside the
     matching window. Taken brand characters are overwritten, so the state is two strings: what is
-    left of the brand, and the matched label characters in order.
+    left of the brand, and the matched label characters in order. The bonus counts equal positions
+    among the first four, not only the contiguous common prefix.
     """
-    n, m = F.length(label), F.length(brand)
-    reach = F.greatest(F.floor(F.greatest(n, m) / 2).cast("int") - 1, F.lit(0))
-
-    def step(state: Column, i: Column) -> Column:
-        first = F.greatest(i - reach, F.lit(1))
-        last = F.least(i + reach, m)
-        window = F.substring(state["rest"], first, F.greatest(last - first + 1, F.lit(0)))
-        ch = _char(label, i)
-
-        def take(at: Column) -> Column:
-            taken = F.struct(
-                F.overlay(state["rest"], F.lit(TAKEN), first + at - 1, F.lit(1)).alias("rest"),
-                F.concat(state["hit"], ch).alias("hit"),
-            )
-            return F.when(at > 0, taken).otherwise(state)
-
-        return let(F.instr(window, ch), take)
-
-    def finish(state: Column) -> Column:
-        rest, hit = state["rest"], state["hit"]
-        k = F.length(hit)
-        theirs = F.array_join(
-            F.transform(
-                F.sequence(F.lit(1), m),
-                lambda j: F.when(_char(rest, j) == TAKEN, _char(brand, j)).otherwise(F.lit("")),
-            ),
-            "",
-        )
-
-        def score(theirs: Column) -> Column:
-            swaps = F.size(
-                F.filter(
-                    F.sequence(F.lit(1), k), lambda j: _char(hit, j) != _char(theirs, j)
-                )
-            )
-            return (k / n + k / m + (k - swaps / 2) / k) / 3
+    n, m = f"length({label})", f"length({brand})"
+    reach = f"cast(greatest(greatest({n}, {m}) div 2 - 1, 0) as int)"
+    low = f"greatest(i - {reach}, 1)"
+    width = f"greatest(least(i + {reach}, {m}) - {low} + 1, 0)"
+    taken = (
+        f"named_struct('rest', overlay(s.rest placing '{TAKEN}' from {low} + at - 1 for 1), "
+        f"'hit', concat(s.hit, substring({label}, i, 1)))"
+    )
+    step = _let(
+        "at",
+        f"instr(substring(s.rest, {low}, {width}), substring({label}, i, 1))",
+        f"if(at > 0, {taken}, s)",
+    )
+    theirs = (
+        f"array_join(transform(sequence(1, {m}), j -> if(substring(s.rest, j, 1) = '{TAKEN}', "
+        f"substring({brand}, j, 1), '')), '')"
+    )
+    swaps = (
+        "size(filter(sequence(1, length(s.hit)), "
+        "j -> substring(s.hit, j, 1) <> substring(theirs, j, 1)))"
+    )
+    jaro = (
+        f"(length(s.hit) / {n} + length(s.hit) / {m} + "
+        f"(length(s.hit) - {swaps} / 2) / length(s.hit)) / 3"
+    )
+    same = " + ".join(
+        f"if({m} >= {i} and substring({label}, {i}, 1) = substring({brand}, {i}, 1), 1, 0)"
+        for i in range(1, 5)
+    )
+    bonus = _let("jaro", _let("theirs", theirs, jaro), f"jaro + ({same}) * 0.1D * (1 - jaro)")
+    walk = (
+        f"aggregate(sequence(1, {n}), named_struct('rest', {brand}, 'hit', ''), (s, i) -> {step}, "
+        f"s -> if(s.hit = '', 0.0D, {bonus}))"
+    )
+    return f"case when {label} = {brand} then 1.0D when '' in ({label}, {brand}) then 0.0D else {walk} end"
 
-        def bonus(jaro: Column) -> Column:
-            return jaro + _leading_matches(label, brand) * 0.1 * (1 - jaro)
 
-        return F.when(k > 0, let(let(theirs, score), bonus)).otherwise(F.lit(0.0))
+def _may_exceed(label: str, brand: str, floor: float) -> str:
+    """Cheap necessary condition for a similarity above `floor`.
 
-    start = F.struct(brand.alias("rest"), F.lit("").alias("hit"))
-    walk = F.aggregate(F.sequence(F.lit(1), n), start, step, finish)
-    return (
-        F.when(label == brand, 1.0).when((label == "") | (brand == ""), 0.0).otherwise(walk)
+    At most the label characters that occur in the brand can match, which bounds the Jaro part J;
+    the result is 1 - (1 - bonus) * (1 - J). The slack keeps rounding from excluding a match.
+    """
+    n, m = f"greatest(length({label}), 1)", len(brand)
+    overlap = f"least(length({label}) - length(translate({label}, '{brand}', '')), {m})"
+    same = " + ".join(
+        f"if(substring({label}, {i}, 1) = '{ch}', 1, 0)" for i, ch in enumerate(brand[:4], 1)
     )
+    jaro = f"({overlap} * (1.0D / {n} + {1 / m!r}D) + 1) / 3"
+    return f"(1 - 0.1D * ({same})) * (1 - {jaro}) < {1 - floor + 1e-9!r}D"
 
 
-def _jaro_winkler_bound(label: Column, brand: str) -> Column:
-    """Cheap upper bound: at most the label characters that occur in the brand can match."""
-    n, m = F.length(label), len(brand)
-    overlap = F.least(n - F.length(F.translate(label, brand, "")), F.lit(m))
-    jaro = (overlap / F.greatest(n, F.lit(1)) + overlap / m + 1) / 3
-    return jaro + _leading_matches(label, F.lit(brand)) * 0.1 * (1 - jaro)
-
-
-def jaro_winkler_score(label: Column, brands: list[str] = BRANDS, floor: float = 0.85) -> Column:
+def jaro_winkler_score(label: str, brands: list[str] = BRANDS, floor: float = 0.85) -> Column:
     """Best similarity over the brands when it exceeds `floor` and the label is no brand, else 0.
 
-    Only brands whose upper bound clears the floor are compared exactly; the small slack keeps
-    rounding from excluding a brand that would have passed.
+    Only brands that pass the necessary condition are compared exactly.
     """
-    candidates = F.filter(
-        F.array(
-            *[
-                F.when(_jaro_winkler_bound(label, b) > floor - 1e-9, F.lit(b)) for b in brands
-            ]
-        ),
-        lambda b: b.isNotNull(),
-    )
-    exact = F.transform(candidates, lambda b: jaro_winkler(label, b))
-    best = F.array_max(F.filter(exact, lambda s: s > floor))
-    return F.when(label.isin(brands), 0.0).otherwise(F.coalesce(best, F.lit(0.0)))
+    candidates = ", ".join(f"if({_may_exceed(label, b, floor)}, '{b}', null)" for b in brands)
+    exact = f"transform(array_compact(array({candidates})), b -> {jaro_winkler(label, 'b')})"
+    best = F.expr(f"array_max(filter({exact}, s -> s > {floor!r}D))")
+    return F.when(F.col(label).isin(brands), 0.0).otherwise(F.coalesce(best, F.lit(0.0)))
 
 
 def nearest_brand(label: Column, brands: list[str] = BRANDS) -> Column:

@@ -23,7 +23,7 @@ def domain_features(df: DataFrame, domain: str = "domain") -> DataFrame:
     host, sld = F.col("host"), F.col("sld")
     columns = L.feature_columns(host, sld)
     columns["lookalike_score"] = S.lookalike_score(F.col("_distance"))
-    columns["jaro_winkler_score"] = S.jaro_winkler_score(sld)
+    columns["jaro_winkler_score"] = S.jaro_winkler_score("sld")
     named = host_columns(df, domain).withColumn("_distance", S.min_distance(sld, K.BRANDS))
     return named.select(
         *df.columns, *[columns[name].alias(name) for name in K.FEATURE_COLUMNS]
@@ -46,7 +46,7 @@ def brand_match(df: DataFrame, domain: str = "domain") -> DataFrame:
             *df.columns,
             "brand",
             F.col("_near.distance").alias("distance"),
-            S.jaro_winkler(F.col("sld"), F.col("brand")).alias("similarity"),
+            F.expr(S.jaro_winkler("sld", "brand")).alias("similarity"),
             S.lookalike_score(F.col("_near.distance")).alias("lookalike_score"),
         )
     )
