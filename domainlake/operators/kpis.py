@@ -97,9 +97,10 @@ def paged_log(log: DataFrame, page: int, size: int = 100) -> DataFrame:
     return paged(log, page, newest(), size)
 
 
-def paged_log_after(log: DataFrame, ts, id: int, size: int = 100) -> DataFrame:
+def paged_log_after(log: DataFrame, ts: str, id: int, size: int = 100) -> DataFrame:
     """The page that follows the row (ts, id): a pushed-down filter, so depth costs nothing."""
-    older = (F.col("ts") < F.lit(ts)) | ((F.col("ts") == F.lit(ts)) & (F.col("id") < id))
+    at = F.lit(ts).cast(dict(log.dtypes)["ts"])
+    older = (F.col("ts") < at) | ((F.col("ts") == at) & (F.col("id") < id))
     return log.filter(older).orderBy(*newest()).limit(size)
 
 
