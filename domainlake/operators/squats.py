@@ -62,7 +62,8 @@ def combosquat_candidates(spark: SparkSession) -> DataFrame:
             )
         ),
     )
-    return _finish(wide.unionByName(small), "combosquat")
+    both = wide.select("brand", "domain").unionByName(small.select("brand", "domain"))
+    return _finish(both, "combosquat")
 
 
 def homoglyph_candidates(spark: SparkSession, max_subs: int = 2) -> DataFrame:
@@ -126,7 +127,7 @@ def digit_swap_candidates(spark: SparkSession) -> DataFrame:
             *[
                 F.when(
                     F.col("brand").contains(old),
-                    F.regexp_replace("brand", f"^([^{old}]*){old}", f"${{1}}{new}"),
+                    F.regexp_replace("brand", f"^([^{old}]*){old}", f"$1{new}"),
                 )
                 for old, new in K.DIGIT_SWAPS
             ]

@@ -62,7 +62,7 @@ def ratio(char_class: str) -> str:
 
 
 ENTROPY = (
-    "-coalesce(list_sum(list_transform(list_distinct(chars), lambda c: "
+    "0 - coalesce(list_sum(list_transform(list_distinct(chars), lambda c: "
     "((length(sld) - length(replace(sld, c, ''))) / size) "
     "* log2((length(sld) - length(replace(sld, c, ''))) / size))), 0)"
 )
