@@ -1,4 +1,4 @@
 """Registered queries; importing this package fills the registry."""
 
-from domainlake.plans import feeds, urls, features, scoring, behaviour, kpis, corpus, squats, pages  # noqa: F401, I001
+from domainlake.plans import feeds, urls, features, scoring, behaviour, kpis, corpus, squats, pages, models, streams  # noqa: F401, I001
 from domainlake.plans.catalog import ORACLES, QUERIES  # noqa: F401

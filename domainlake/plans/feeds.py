@@ -31,15 +31,13 @@ def _feed(name: str, lines: str, parse, sql: str):
     query(name, sql, [lines])(lambda v: parse(getattr(v, lines)))
 
 
-_feed(
-    "a1_hosts_tokens", "hosts_lines", feeds.parse_hosts_tokens,
-    _blocklist(
-        f"{TOKENS}[2]", "Malware/Ads", "hosts",
-        f"{CONTENT} and {TOKENS}[1] in ('0.0.0.0', '127.0.0.1') and {TOKENS}[2] not in "
-        "('localhost', 'localhost.localdomain', 'broadcasthost', 'local', '0.0.0.0')",
-        "hosts_lines",
-    ),
+HOSTS_TOKENS_SQL = _blocklist(
+    f"{TOKENS}[2]", "Malware/Ads", "hosts",
+    f"{CONTENT} and {TOKENS}[1] in ('0.0.0.0', '127.0.0.1') and {TOKENS}[2] not in "
+    "('localhost', 'localhost.localdomain', 'broadcasthost', 'local', '0.0.0.0')",
+    "hosts_lines",
 )
+_feed("a1_hosts_tokens", "hosts_lines", feeds.parse_hosts_tokens, HOSTS_TOKENS_SQL)
 _feed(
     "a2_hosts_prefix", "hosts_lines", feeds.parse_hosts_prefix,
     _blocklist(
