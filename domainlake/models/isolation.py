@@ -87,8 +87,8 @@ def tree_samples(legit: DataFrame, trees: int, psi: int, seed: int, id_col: str)
     then draws from that. Both steps depend on row ids only, never on partitioning.
     """
     pool_size = 2 * trees * psi
-    pool = seeded_rank(legit.withColumn("_all", F.lit(0)), ["_all"], [id_col], seed)
-    pool = pool.filter(F.col("rank") <= pool_size)
+    whole = legit.withColumn("_all", F.lit(0))
+    pool = seeded_rank(whole, ["_all"], [id_col], seed, limit=pool_size)
     share = F.least(F.lit(1.0), F.lit(1.5 * psi) / F.least("group_size", F.lit(pool_size)))
     draw = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
         "_order", F.xxhash64(F.lit(seed), "tree", id_col)

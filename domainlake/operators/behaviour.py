@@ -62,11 +62,20 @@ def crossing_points(events: DataFrame, key: str, member: str, limit: int) -> Dat
 
 
 def _flag_from(events: DataFrame, crossings: DataFrame, key: str, name: str) -> DataFrame:
+    """Flag events at or after the crossing of their key.
+
+    Events without a key get one of their own that matches nothing, so they spread over all tasks.
+    """
+    own = F.concat(F.lit("#"), F.col("id").cast("string"))
     reached = F.struct("ts", "id") >= F.col("crossing")
     return (
-        lookup(events, crossings, key)
+        lookup(
+            events.withColumn("_key", F.coalesce(F.col(key), own)),
+            crossings.withColumnRenamed(key, "_key"),
+            "_key",
+        )
         .withColumn(name, F.coalesce(reached, F.lit(False)))
-        .drop("crossing")
+        .drop("crossing", "_key")
     )
 
 
@@ -111,11 +120,11 @@ def fast_flux_flags(resolutions: DataFrame, limit: int = FLUX_LIMIT) -> DataFram
 
 
 def response_profile(resolutions: DataFrame) -> DataFrame:
-    """Per response (domain, ts): its address list and lowest TTL (60 without one).
+    """Per response (its id): the address list and lowest TTL (60 without one).
 
     A response is one packet, so its address list is small by construction.
     """
-    return resolutions.groupBy("domain", "ts").agg(
+    return resolutions.groupBy("id", "domain").agg(
         F.array_sort(F.collect_set("ip")).alias("ips"),
         F.coalesce(F.min("ttl"), F.lit(DEFAULT_TTL)).alias("min_ttl"),
     )

@@ -52,8 +52,7 @@ def balance_classes(
         corpus.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).scalar()
     )
     size = smallest if limit is None else F.least(smallest, F.lit(limit))
-    ranked = seeded_rank(corpus, ["label"], ["id"], seed)
-    return ranked.filter(F.col("rank") <= size).drop("rank", "group_size")
+    return seeded_rank(corpus, ["label"], ["id"], seed, limit=size).drop("rank", "group_size")
 
 
 def cap_per_source(corpus: DataFrame, n: int) -> DataFrame:
@@ -64,8 +63,8 @@ def cap_per_source(corpus: DataFrame, n: int) -> DataFrame:
 def sample_n(corpus: DataFrame, n: int = 200_000, seed: int = 42) -> DataFrame:
     """Exactly min(n, rows) rows by seeded sampling without replacement."""
     whole = corpus.withColumn("_all", F.lit(0))
-    ranked = seeded_rank(whole, ["_all"], ["id"], seed)
-    return ranked.filter(F.col("rank") <= n).drop("_all", "rank", "group_size")
+    ranked = seeded_rank(whole, ["_all"], ["id"], seed, limit=n)
+    return ranked.drop("_all", "rank", "group_size")
 
 
 def stratified_split(corpus: DataFrame, train: float = 0.8, seed: int = 42) -> DataFrame:

@@ -10,13 +10,22 @@ def shuffle_key(seed: int, *cols: str) -> Column:
 
 
 def seeded_rank(
-    df: DataFrame, by: list[str], id_cols: list[str], seed: int = 42, digits: int = 3
+    df: DataFrame,
+    by: list[str],
+    id_cols: list[str],
+    seed: int = 42,
+    limit: Column | int | None = None,
+    digits: int = 3,
 ) -> DataFrame:
     """Add `rank` (1..n in seeded random order inside each `by` group) and `group_size`.
 
     The first `digits` hex digits of the key cut every group into 16**digits even slices. Slice
     counts give each slice its starting rank, and rows are numbered inside their slice only, so the
     two-class case still uses thousands of tasks. `id_cols` must identify a row.
+
+    With `limit` only ranks up to it are returned, and slices that start beyond it are dropped
+    before the shuffle: a small sample of a huge table moves few rows. `by` must be a column with
+    few values (a class label), because the broadcast slice counts have 16**digits rows for each.
     """
     keyed = df.withColumn("_key", shuffle_key(seed, *id_cols)).withColumn(
         "_slice", F.substring("_key", 1, digits)
@@ -29,12 +38,15 @@ def seeded_rank(
         .withColumn("_before", F.sum("_n").over(group.orderBy("_slice")) - F.col("_n"))
         .drop("_n")
     )
+    if limit is not None:
+        counts = counts.filter(F.col("_before") < limit)
     inside = Window.partitionBy(*by, "_slice").orderBy("_key", *id_cols)
-    return (
-        keyed.join(counts, [*by, "_slice"])
+    ranked = (
+        keyed.join(F.broadcast(counts), [*by, "_slice"])
         .withColumn("rank", F.col("_before") + F.row_number().over(inside))
         .drop("_key", "_slice", "_before")
     )
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def first_n_per_group(

@@ -279,42 +279,48 @@ def verdicts(signals: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return verdict_flags(reason(threat_type(threat_score(df))), settings)
 
 
+SAFE_VERDICT = {
+    "score": 0, "threat_type": "None", "reason": "Fast-path cached (Safe LUT)", "blocked": False,
+    "dga_prob": 0.0, "tunnel_score": None, "entropy": 0.0, "in_static_blocklist": False,
+    "lookalike": None, "lookalike_similarity": 0.0, "tld_risk": 0.0,
+}
+LISTED_VERDICT = {
+    "score": 100, "threat_type": "THREAT_INTEL", "reason": BLOCKLIST_REASON, "blocked": True,
+    "dga_prob": 1.0, "tunnel_score": 1.0, "entropy": 0.0, "lookalike": None,
+    "lookalike_similarity": 0.0, "tld_risk": 1.0,
+}
+
+
 def score_domains(
     df: DataFrame,
     blocklist: DataFrame | None = None,
     whitelist: DataFrame | None = None,
     settings: Settings = Settings(),
 ) -> DataFrame:
-    """Verdict per row of `df(domain, dga_prob, decision, ...)`.
+    """Verdict per row of `df(domain, dga_prob, decision, ...)`, in one pass over `df`.
 
-    Signals and the blocklist match are computed once per distinct domain and joined back, because
-    query logs repeat the same names. A listed name gets the verdict of its list.
+    Signals and the list matches are computed once per distinct domain and joined back, because
+    query logs repeat the same names. A listed name gets the verdict of its list, and a row that
+    cannot be analysed gets an ERROR verdict.
     """
     keep = [c for c in df.columns if c not in ("dga_prob", "decision")]
-    good, failed = error_quarantine(df)
-    names = good.select("domain").distinct()
+    marked = df.withColumn("_error", row_error(df))
+    names = df.select("domain").filter("domain is not null").distinct()
     if blocklist is None:
         names = names.withColumn("in_static_blocklist", F.lit(False))
     else:
         names = blocklist_match(names, blocklist)
-    out = verdicts(lookup(good, domain_signals(names), "domain"), settings)
-    out = _override(
-        out,
-        F.col("in_static_blocklist"),
-        {
-            "score": 100, "threat_type": "THREAT_INTEL", "reason": BLOCKLIST_REASON,
-            "blocked": True, "dga_prob": 1.0, "tunnel_score": 1.0, "entropy": 0.0,
-            "lookalike": None, "lookalike_similarity": 0.0, "tld_risk": 1.0,
-        },
-    )
     if whitelist is not None:
-        out = whitelist_bypass(out, whitelist)
-        out = _override(
-            out,
-            F.col("whitelisted"),
-            {"score": 0, "threat_type": "None", "reason": "Whitelisted", "blocked": False},
-        )
-    return out.select(*keep, *VERDICT_COLUMNS).unionByName(failed.select(*keep, *VERDICT_COLUMNS))
+        names = whitelist_bypass(names, whitelist)
+    out = verdicts(lookup(marked, domain_signals(names), "domain"), settings)
+    out = _override(out, F.col("in_static_blocklist"), LISTED_VERDICT)
+    if whitelist is not None:
+        bypass = {"score": 0, "threat_type": "None", "reason": "Whitelisted", "blocked": False}
+        out = _override(out, F.col("whitelisted"), bypass)
+    failed = F.col("_error").isNotNull()
+    out = _override(out, failed, {**SAFE_VERDICT, "threat_type": "ERROR"})
+    out = out.withColumn("reason", F.coalesce("_error", "reason"))
+    return out.select(*keep, *VERDICT_COLUMNS)
 
 
 def score_queries(
@@ -323,24 +329,12 @@ def score_queries(
     whitelist: DataFrame | None = None,
     settings: Settings = Settings(),
 ) -> DataFrame:
-    """Verdict per logged query: type gate, safe list, scoring, resolver override."""
-    analysed = safe_list_passthrough(query_type_filter(log), settings)
-    safe = analysed.filter("safe_listed").drop("safe_listed", "dga_prob", "decision")
-    scored = score_domains(
-        analysed.filter(~F.col("safe_listed")).drop("safe_listed"), blocklist, whitelist, settings
-    )
-    passed = safe.select(
-        "*",
-        F.lit(0).alias("score"),
-        F.lit("None").alias("threat_type"),
-        F.lit(0.0).alias("dga_prob"),
-        F.lit(None).cast("double").alias("tunnel_score"),
-        F.lit("Fast-path cached (Safe LUT)").alias("reason"),
-        F.lit(False).alias("blocked"),
-        F.lit(0.0).alias("entropy"),
-        F.lit(False).alias("in_static_blocklist"),
-        F.lit(None).cast("string").alias("lookalike"),
-        F.lit(0.0).alias("lookalike_similarity"),
-        F.lit(0.0).alias("tld_risk"),
-    )
-    return doh_bypass_override(scored.unionByName(passed.select(*scored.columns)), settings)
+    """Verdict per logged query: type gate, scoring, safe list, resolver override.
+
+    The safe list has a dozen names, so scoring them too costs a dozen rows; it still takes
+    precedence over every other finding except the resolver rule.
+    """
+    scored = score_domains(query_type_filter(log), blocklist, whitelist, settings)
+    marked = safe_list_passthrough(scored, settings)
+    passed = _override(marked, F.col("safe_listed"), SAFE_VERDICT).drop("safe_listed")
+    return doh_bypass_override(passed, settings)

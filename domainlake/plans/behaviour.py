@@ -81,17 +81,12 @@ def fast_flux_flags(v: Views):
 
 @query(
     "e5_response_profile",
-    "select domain, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts, string_agg(distinct ip, ',' "
-    "order by ip) as ips, min(ttl) as min_ttl from answer_log group by domain, ts",
+    "select id, domain, string_agg(distinct ip, ',' order by ip) as ips, min(ttl) as min_ttl "
+    "from answer_log group by id, domain",
     ["answer_log"],
 )
 def response_profile(v: Views):
-    return B.response_profile(v.answer_log).select(
-        "domain",
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"),
-        F.array_join("ips", ",").alias("ips"),
-        "min_ttl",
-    )
+    return B.response_profile(v.answer_log).withColumn("ips", F.array_join("ips", ","))
 
 
 @query(

@@ -134,7 +134,7 @@ def confusion_matrix(v: Views):
 @query("h7_cross_validate_f1")
 def cross_validate_f1(v: Views):
     folded = corpus.stratified_folds(corpus.balance_classes(training_table(v)))
-    scores = forest.cross_validate(folded.cache(), **{**FOREST, "numTrees": 10})
+    scores = forest.cross_validate(written(folded, "folds"), **{**FOREST, "numTrees": 10})
     return forest.cross_validation_summary(scores)
 
 

@@ -100,64 +100,71 @@ def stream_rate_windows(
 class TrailingCount(StatefulProcessor):
     """Counts the queries of one client in the trailing window, in order of arrival.
 
-    Keys are (client, span) with the context rows of `rate_limit_flags`; state holds only the
-    timestamps of the last window.
+    Keys are (client, span) with the context rows of `rate_limit_flags`, so one call sees at most a
+    few windows of one client. State holds only the timestamps of the last window, and goes when the
+    watermark passes the end of the span.
     """
 
-    def __init__(self, width: int, limit: int):
-        self.width, self.limit = width, limit
+    def __init__(self, width: int, span: int, limit: int):
+        self.width, self.span, self.limit = width, span, limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.recent = handle.getListState("recent", "t bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         seen = [t for (t,) in self.recent.get()]
-        for pdf in rows:
-            pdf = pdf.sort_values(["t", "id"])
-            counts = []
-            start = 0
-            for t in pdf["t"]:
-                seen.append(int(t))
-                while t - seen[start] > self.width:
-                    start += 1
-                counts.append(len(seen) - start)
-            seen = seen[start:]
-            out = pdf[["id", "client_ip"]].assign(recent=counts)
-            out["rate_limited"] = out["recent"] > self.limit
-            yield out[pdf["own"].to_numpy()]
-        if seen:
-            self.recent.put([(t,) for t in seen])
+        if not seen:
+            self.handle.registerTimer((key[1] + 1) * self.span // 1000)
+        pdf = pd.concat(list(rows)).sort_values(["t", "id"])
+        counts, start = [], 0
+        for t in pdf["t"]:
+            seen.append(int(t))
+            while t - seen[start] > self.width:
+                start += 1
+            counts.append(len(seen) - start)
+        self.recent.put([(t,) for t in seen[start:]])
+        out = pdf[["id", "client_ip"]].assign(recent=counts)
+        out["rate_limited"] = out["recent"] > self.limit
+        yield out[pdf["own"].to_numpy()]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.recent.clear()
+        yield pd.DataFrame(columns=["id", "client_ip", "recent", "rate_limited"])
 
     def close(self) -> None:
         pass
 
 
 def stream_rate_limit(
-    queries: DataFrame, seconds: float = 1.0, limit: int = RATE_LIMIT, slices: int = 60
+    queries: DataFrame, seconds: float = 1.0, limit: int = RATE_LIMIT, slices: int = 10,
+    delay: str = "10 seconds",
 ) -> DataFrame:
     """(id, client_ip, recent, rate_limited) per query: exact trailing count by arrival.
 
-    State of old spans expires by time-to-live. One client is spread over its time spans.
+    One client is spread over its time spans; queries later than `delay` are dropped.
     """
     width = int(seconds * 1_000_000)
     span = width * slices
     own = F.floor(F.col("t") / span)
     near_end = F.col("t") >= (own + 1) * span - width
     keyed = (
-        queries.withColumn("t", micros())
+        queries.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", delay)
+        .withColumn("t", micros())
         .withColumn(
             "span",
             F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))),
         )
         .withColumn("own", F.col("span") == own)
-        .select("id", "client_ip", "t", "span", "own")
+        .select("ts", "id", "client_ip", "t", "span", "own")
     )
     use_rocksdb(queries.sparkSession)
     return keyed.groupBy("client_ip", "span").transformWithStateInPandas(
-        statefulProcessor=TrailingCount(width, limit),
+        statefulProcessor=TrailingCount(width, span, limit),
         outputStructType="id bigint, client_ip string, recent bigint, rate_limited boolean",
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 

@@ -61,7 +61,12 @@ if __name__ == "__main__":
 
     path = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     prefixes = tuple(sys.argv[2:]) or ("",)
-    spark = local_session()
+    if os.environ.get("PLAIN"):  # a session without any of our settings
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+    else:
+        spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
     con, checks, bad = connect(path), oracle_sql(), 0
     for name, job in queries().items():
