@@ -54,7 +54,8 @@ def grow_tree(pdf: pd.DataFrame) -> pd.DataFrame:
         if depth >= limit or len(splittable) == 0:
             continue
         feature = int(rng.choice(splittable))
-        cut = float(rng.uniform(low[feature], high[feature]))
+        below_max = np.nextafter(high[feature], low[feature])  # both sides get a row
+        cut = float(min(rng.uniform(low[feature], high[feature]), below_max))
         below = rows[members, feature] <= cut
         nodes[me][2:4] = [feature, cut]
         todo.append((members[~below], depth + 1, me, 5))
