@@ -46,6 +46,11 @@ def count_of(sld: Column, char_class: str) -> Column:
     return F.length(sld) - F.length(F.regexp_replace(sld, char_class, ""))
 
 
+def share_of_chars(sld: Column, chars: str) -> Column:
+    """Share of characters from a plain list."""
+    return (F.length(sld) - F.length(F.translate(sld, chars, ""))) / _size(sld)
+
+
 def share_of(sld: Column, char_class: str) -> Column:
     return count_of(sld, char_class) / _size(sld)
 
@@ -55,7 +60,7 @@ def special_chars(sld: Column) -> Column:
 
 
 def shannon_bits(sld: Column) -> Column:
-    """Shannon entropy in bits, summed in order of first appearance."""
+    """Shannon entropy in bits, summed in order of first appearance; `sld` must be a plain column."""
     n = F.length(sld)
 
     def add(total: Column, ch: Column) -> Column:
@@ -105,21 +110,20 @@ def keyword_hits(text: Column, words: list[str]) -> Column:
 
 
 def feature_columns(host: Column, sld: Column) -> dict[str, Column]:
-    """All feature columns except the two brand similarities."""
+    """The feature columns without entropy and the two brand similarities."""
     return {
         "length": F.least(F.length(host) / 63, F.lit(1.0)),
         "num_subdomains": F.least((labels(host) - 1) / 5, F.lit(1.0)),
-        "vowel_ratio": share_of(sld, "[aeiou]"),
+        "vowel_ratio": share_of_chars(sld, "aeiou"),
         "consonant_ratio": share_of(sld, CONSONANT),
         "digit_ratio": share_of(sld, DIGIT),
         "special_char_count": F.least(special_chars(sld) / 10, F.lit(1.0)),
-        "entropy": F.least(shannon_bits(sld) / 4, F.lit(1.0)),
         "ngram_randomness": ngram_randomness(sld, K.COMMON_BIGRAMS),
         "repeated_char_score": repeated_chars(sld),
         "tld_risk": tld_risk(host),
         "suspicious_keyword_score": keyword_hits(host, K.PHISH_KEYWORDS) / len(K.PHISH_KEYWORDS),
         "max_consec_cons": F.least(longest_consonant_run(sld) / 8, F.lit(1.0)),
         "unique_char_ratio": distinct_chars(sld) / _size(sld),
-        "hex_char_ratio": share_of(sld, "[0-9a-f]"),
+        "hex_char_ratio": share_of_chars(sld, "0123456789abcdef"),
         "char_continuity": char_continuity(sld),
     }

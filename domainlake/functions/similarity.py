@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from domainlake.constants import BRANDS
 
 FAR = 99
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 TAKEN = chr(0xFFFF)  # a noncharacter: marks positions of the brand that are already matched
 
 
@@ -79,30 +80,60 @@ def jaro_winkler(label: str, brand: str) -> str:
     return f"case when {label} = {brand} then 1.0D when '' in ({label}, {brand}) then 0.0D else {walk} end"
 
 
-def _may_exceed(label: str, brand: str, floor: float) -> str:
-    """Cheap necessary condition for a similarity above `floor`.
+def letter_mask(label: Column) -> Column:
+    """One bit per letter a-z that occurs in the label."""
+    return sum(
+        (F.when(label.contains(ch), 1 << i).otherwise(0) for i, ch in enumerate(LETTERS)),
+        F.lit(0),
+    )
+
+
+def _may_exceed(label: str, size: str, mask: str, brand: str, floor: float) -> str:
+    """SQL text: cheap necessary condition for a similarity above `floor`.
 
-    At most the label characters that occur in the brand can match, which bounds the Jaro part J;
-    the result is 1 - (1 - bonus) * (1 - J). The slack keeps rounding from excluding a match.
+    A letter that occurs on one side only matches nothing, so the letter masks bound the number k of
+    matches on both sides. The Jaro part is then at most J = (k / n + k / m + 1) / 3, and the result
+    at most 1 - (1 - bonus) * (1 - J) with a bonus of 0.1 per equal leading character. The first test
+    assumes all four and needs no division; the slack keeps rounding from excluding a match.
     """
-    n, m = f"greatest(length({label}), 1)", len(brand)
-    overlap = f"least(length({label}) - length(translate({label}, '{brand}', '')), {m})"
+    m = len(brand)
+    theirs = sum(1 << LETTERS.index(ch) for ch in set(brand) if ch in LETTERS)
+    k = f"least({size} - bit_count({mask} & {~theirs}), {m} - bit_count(~{mask} & {theirs}))"
+    least_jaro = 1 - (1 - floor) / 0.6 - 1e-9
     same = " + ".join(
         f"if(substring({label}, {i}, 1) = '{ch}', 1, 0)" for i, ch in enumerate(brand[:4], 1)
     )
-    jaro = f"({overlap} * (1.0D / {n} + {1 / m!r}D) + 1) / 3"
-    return f"(1 - 0.1D * ({same})) * (1 - {jaro}) < {1 - floor + 1e-9!r}D"
+    bound = f"({k} * (1.0D / {size} + {1 / m!r}D) + 1) / 3"
+    return (
+        f"{k} * ({size} + {m}) > {(3 * least_jaro - 1) * m!r}D * {size} "
+        f"and (1 - 0.1D * ({same})) * (1 - {bound}) < {1 - floor + 1e-9!r}D"
+    )
+
+
+def near_brands(
+    label: str, size: str, mask: str, brands: list[str] = BRANDS, floor: float = 0.85
+) -> Column:
+    """Comma-separated brands that may be more similar than `floor`; '' for almost every label.
+
+    `size` and `mask` are columns with the label's length and `letter_mask`. Compiled throughout.
+    """
+    tests = ", ".join(
+        f"if({_may_exceed(label, size, mask, b, floor)}, '{b}', null)" for b in brands
+    )
+    return F.expr(f"concat_ws(',', {tests})")
 
 
-def jaro_winkler_score(label: str, brands: list[str] = BRANDS, floor: float = 0.85) -> Column:
+def jaro_winkler_score(
+    label: str, near: str, brands: list[str] = BRANDS, floor: float = 0.85
+) -> Column:
     """Best similarity over the brands when it exceeds `floor` and the label is no brand, else 0.
 
-    Only brands that pass the necessary condition are compared exactly.
+    `near` is a column with the label's `near_brands`; only those are compared exactly.
     """
-    candidates = ", ".join(f"if({_may_exceed(label, b, floor)}, '{b}', null)" for b in brands)
-    exact = f"transform(array_compact(array({candidates})), b -> {jaro_winkler(label, 'b')})"
+    exact = f"transform(split({near}, ','), b -> {jaro_winkler(label, 'b')})"
     best = F.expr(f"array_max(filter({exact}, s -> s > {floor!r}D))")
-    return F.when(F.col(label).isin(brands), 0.0).otherwise(F.coalesce(best, F.lit(0.0)))
+    skip = (F.col(near) == "") | F.col(label).isin(brands)
+    return F.when(skip, 0.0).otherwise(F.coalesce(best, F.lit(0.0)))
 
 
 def nearest_brand(label: Column, brands: list[str] = BRANDS) -> Column:

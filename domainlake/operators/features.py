@@ -19,15 +19,28 @@ def host_columns(df: DataFrame, domain: str = "domain") -> DataFrame:
 
 
 def domain_features(df: DataFrame, domain: str = "domain") -> DataFrame:
-    """Add the 17 feature columns. Give it distinct domains; every column is row-local."""
+    """Add the 17 feature columns. Give it distinct domains; every column is row-local.
+
+    The brand tests share a projection with the entropy, whose lambda keeps that projection out of
+    whole-stage code generation: as one fused method they would be too long for the JIT compiler.
+    """
     host, sld = F.col("host"), F.col("sld")
+    named = (
+        host_columns(df, domain)
+        .withColumns({"_size": F.greatest(F.length(sld), F.lit(1)), "_letters": S.letter_mask(sld)})
+        .withColumns(
+            {
+                "_distance": S.min_distance(sld, K.BRANDS),
+                "_near": S.near_brands("sld", "_size", "_letters"),
+                "_bits": L.shannon_bits(sld),
+            }
+        )
+    )
     columns = L.feature_columns(host, sld)
+    columns["entropy"] = F.least(F.col("_bits") / 4, F.lit(1.0))
     columns["lookalike_score"] = S.lookalike_score(F.col("_distance"))
-    columns["jaro_winkler_score"] = S.jaro_winkler_score("sld")
-    named = host_columns(df, domain).withColumn("_distance", S.min_distance(sld, K.BRANDS))
-    return named.select(
-        *df.columns, *[columns[name].alias(name) for name in K.FEATURE_COLUMNS]
-    )
+    columns["jaro_winkler_score"] = S.jaro_winkler_score("sld", "_near")
+    return named.select(*df.columns, *[columns[name].alias(name) for name in K.FEATURE_COLUMNS])
 
 
 def with_features(df: DataFrame, domain: str = "domain") -> DataFrame:
@@ -59,7 +72,7 @@ def legacy_features(df: DataFrame, domain: str = "domain") -> DataFrame:
     columns = {
         "length": F.length(host),
         "num_subdomains": L.labels(host) - 1,
-        "vowel_ratio": L.share_of(sld, "[aeiou]"),
+        "vowel_ratio": L.share_of_chars(sld, "aeiou"),
         "consonant_ratio": L.share_of(sld, L.CONSONANT),
         "digit_ratio": L.share_of(sld, L.DIGIT),
         "special_char_count": L.special_chars(sld),
@@ -72,7 +85,7 @@ def legacy_features(df: DataFrame, domain: str = "domain") -> DataFrame:
         "lookalike_score": (distance > 0) & (distance <= 2),
         "max_consec_cons": L.longest_consonant_run(sld),
         "unique_char_ratio": L.distinct_chars(sld) / F.greatest(F.length(sld), F.lit(1)),
-        "hex_char_ratio": L.share_of(sld, "[0-9a-f]"),
+        "hex_char_ratio": L.share_of_chars(sld, "0123456789abcdef"),
     }
     return (
         df.withColumn("host", strip(F.lower(F.col(domain))))

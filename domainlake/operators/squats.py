@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from domainlake import constants as K
 from domainlake.functions import lexical as L
+from domainlake.functions.text import let
 from domainlake.operators.features import host_columns
 
 SEPARATORS = ["-", "", "."]
@@ -191,10 +192,10 @@ def encoded_labels(df: DataFrame) -> DataFrame:
     """
     sld = F.col("sld")
     is_hex = sld.rlike("^[0-9a-f]{16,48}$")
-    is_base64 = sld.rlike("^[a-z0-9+/]{14,60}=*$") & (L.shannon_bits(sld) > 3)
     return (
         host_columns(df)
-        .withColumn("kind", F.when(is_hex, "hex").when(is_base64, "base64"))
+        .filter(sld.rlike("^([0-9a-f]{16,48}|[a-z0-9+/]{14,60}=*)$"))
+        .withColumn("kind", F.when(is_hex, "hex").when(let(sld, L.shannon_bits) > 3, "base64"))
         .filter("kind is not null")
         .withColumn("base", F.expr("substr(host, length(sld) + 2)"))
     )

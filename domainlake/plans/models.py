@@ -35,7 +35,14 @@ def training_table(v: Views) -> DataFrame:
 
 
 def _balanced(v: Views) -> DataFrame:
-    return corpus.stratified_split(corpus.balance_classes(training_table(v)))
+    """Balanced corpus with its split, written once: fitting reads it several times."""
+
+    def make():
+        return written(
+            corpus.stratified_split(corpus.balance_classes(training_table(v))), "balanced"
+        )
+
+    return _once(v, "balanced", make)
 
 
 def fitted_forest(v: Views):

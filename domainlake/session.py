@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Longer methods are never compiled by the JIT, so fused stages beyond this are slower than split.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 _local_dir: list[str] = []
 
