@@ -187,18 +187,6 @@ def kpi_summary(log: DataFrame, alerts: DataFrame, blocklist: DataFrame) -> dict
     }
 
 
-def summary_rows(parts: dict[str, DataFrame]) -> DataFrame:
-    """The parts of `kpi_summary` as one table (part, JSON row)."""
-    rows = [
-        df.select(F.lit(name).alias("part"), F.to_json(F.struct(*df.columns)).alias("row"))
-        for name, df in parts.items()
-    ]
-    out = rows[0]
-    for df in rows[1:]:
-        out = out.unionByName(df)
-    return out
-
-
 def label_counts(corpus: DataFrame) -> DataFrame:
     return corpus.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 

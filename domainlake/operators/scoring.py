@@ -16,9 +16,6 @@ VERDICT_COLUMNS = [
     "score", "threat_type", "dga_prob", "tunnel_score", "reason", "blocked", "entropy",
     "in_static_blocklist", "lookalike", "lookalike_similarity", "tld_risk",
 ]
-BLOCKLIST_REASON = "Matched known malicious OSINT blocklist"
-DOH_REASON = "DoH/DoT Evasion Filtering"
-NO_THREAT = "No threats detected"
 
 
 @dataclass(frozen=True)
@@ -73,16 +70,20 @@ def _flag(df: DataFrame, name: str) -> Column:
 def contribution_points(df: DataFrame) -> dict[str, Column]:
     """Points of every signal in the order in which they are added up."""
     return {
-        "dga_probability": F.col("dga_prob") * 40,
-        "anomaly_score": F.col("tunnel_prob") * 20,
-        "entropy_score": F.col("entropy") * 15,
-        "lookalike_score": F.col("lookalike_score") * 10,
-        "tld_risk": F.col("tld_risk") * 10,
-        "jaro_winkler": F.col("jaro_winkler_score") * 5,
-        "keywords": F.least(F.col("kw_hits") * 8, F.lit(20)).cast("double"),
-        "brand_distance": F.when(F.col("min_lev").between(1, 2), 15.0).otherwise(0.0),
-        "dns_shadowing": F.when(_flag(df, "shadowing"), 30.0).otherwise(0.0),
-        "fast_flux": F.when(_flag(df, "fast_flux"), 25.0).otherwise(0.0),
+        "dga_probability": F.col("dga_prob") * K.DGA_POINTS,
+        "anomaly_score": F.col("tunnel_prob") * K.TUNNEL_POINTS,
+        "entropy_score": F.col("entropy") * K.ENTROPY_POINTS,
+        "lookalike_score": F.col("lookalike_score") * K.LOOKALIKE_POINTS,
+        "tld_risk": F.col("tld_risk") * K.TLD_POINTS,
+        "jaro_winkler": F.col("jaro_winkler_score") * K.JARO_WINKLER_POINTS,
+        "keywords": F.least(
+            F.col("kw_hits") * K.KEYWORD_POINTS, F.lit(K.KEYWORD_POINTS_CAP)
+        ).cast("double"),
+        "brand_distance": F.when(
+            F.col("min_lev").between(1, 2), float(K.BRAND_DISTANCE_POINTS)
+        ).otherwise(0.0),
+        "dns_shadowing": F.when(_flag(df, "shadowing"), float(K.SHADOWING_POINTS)).otherwise(0.0),
+        "fast_flux": F.when(_flag(df, "fast_flux"), float(K.FLUX_POINTS)).otherwise(0.0),
     }
 
 
@@ -114,17 +115,17 @@ def reason(df: DataFrame) -> DataFrame:
     bits = F.format_number(F.col("entropy") * 4, 1)
     findings = F.concat_ws(
         " | ",
-        F.when(_flag(df, "shadowing") & ~flux, "DNS Shadowing detected"),
-        F.when(flux, "Fast Flux botnet infrastructure detected"),
+        F.when(_flag(df, "shadowing") & ~flux, K.SHADOWING_FINDING),
+        F.when(flux, K.FLUX_FINDING),
         F.when(
             F.col("dga_prob") > 0.55, F.concat(F.lit("DGA probability "), percent, F.lit("%"))
         ),
         F.when(F.col("entropy") > 0.75, F.concat(F.lit("High entropy ("), bits, F.lit(")"))),
-        F.when(F.col("lookalike_score") > 0.5, "Brand lookalike detected"),
-        F.when(F.col("kw_hits") > 0, "Phishing keywords found"),
-        F.when(F.col("tld_risk") > 0.7, "High-risk TLD"),
+        F.when(F.col("lookalike_score") > 0.5, K.LOOKALIKE_FINDING),
+        F.when(F.col("kw_hits") > 0, K.KEYWORD_FINDING),
+        F.when(F.col("tld_risk") > 0.7, K.TLD_FINDING),
     )
-    return df.withColumn("reason", F.coalesce(blank_to_null(findings), F.lit(NO_THREAT)))
+    return df.withColumn("reason", F.coalesce(blank_to_null(findings), F.lit(K.NO_FINDING)))
 
 
 def score_contributions(df: DataFrame) -> DataFrame:
@@ -238,7 +239,7 @@ def doh_bypass_override(df: DataFrame, settings: Settings = Settings()) -> DataF
     return _override(
         df,
         hit,
-        {"blocked": True, "score": 100, "threat_type": "DOH_BYPASS", "reason": DOH_REASON},
+        {"blocked": True, "score": 100, "threat_type": "DOH_BYPASS", "reason": K.DOH_REASON},
     )
 
 
@@ -280,12 +281,12 @@ def verdicts(signals: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 SAFE_VERDICT = {
-    "score": 0, "threat_type": "None", "reason": "Fast-path cached (Safe LUT)", "blocked": False,
+    "score": 0, "threat_type": "None", "reason": K.SAFE_REASON, "blocked": False,
     "dga_prob": 0.0, "tunnel_score": None, "entropy": 0.0, "in_static_blocklist": False,
     "lookalike": None, "lookalike_similarity": 0.0, "tld_risk": 0.0,
 }
 LISTED_VERDICT = {
-    "score": 100, "threat_type": "THREAT_INTEL", "reason": BLOCKLIST_REASON, "blocked": True,
+    "score": 100, "threat_type": "THREAT_INTEL", "reason": K.BLOCKLIST_REASON, "blocked": True,
     "dga_prob": 1.0, "tunnel_score": 1.0, "entropy": 0.0, "lookalike": None,
     "lookalike_similarity": 0.0, "tld_risk": 1.0,
 }

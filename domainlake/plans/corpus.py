@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from domainlake.constants import DOH_REASON
 from domainlake.operators import corpus as O
 from domainlake.operators import lists, scoring
 from domainlake.plans.catalog import ORACLES, QUERIES, query, rounded
@@ -177,7 +178,7 @@ FINAL = (
     f"select id, ts, client_ip, domain, case when {DOH} then 100 when {SAFE} then 0 else score end "
     f"as final, case when {DOH} then 'DOH_BYPASS' when {SAFE} then 'None' else threat_type end as "
     f"kind, {DOH} or (not {SAFE} and score >= 60) as stopped, case when {DOH} then "
-    f"'{scoring.DOH_REASON}' when {SAFE} then 'Fast-path cached (Safe LUT)' else {REASON} end as "
+    f"'{DOH_REASON}' when {SAFE} then 'Fast-path cached (Safe LUT)' else {REASON} end as "
     "why from typed where query_type in ('A', 'AAAA', 'CNAME')"
 )
 

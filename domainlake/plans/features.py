@@ -31,7 +31,7 @@ for _i, _name in enumerate(FEATURE_COLUMNS, start=1):
 
 @query(
     "c18_brand_match",
-    "select domain, nearest.brand as brand, nearest.distance as distance, round(jw, 6) as similarity, "
+    "select domain, nearest.brand as brand, nearest.distance::int as distance, round(jw, 6) as similarity, "
     "(case when nearest.distance between 1 and 2 then 1.0 when nearest.distance <= 4 then 0.5 "
     "else 0.0 end)::double as lookalike_score from (select domain, sld, list_min(list_transform("
     f"range(1, 32), lambda i: {{'distance': levenshtein(sld, {S.sql_list(S.K.BRANDS)}[i]), "

@@ -172,9 +172,36 @@ def new_alerts(v: Views):
     return O.new_alerts(v.alerts, seen).select("id", "domain", "threat_type")
 
 
-@query("f14_kpi_summary")
+@query(
+    "f14_kpi_summary",
+    "select 'stats' as part, item, n::double as value from (unpivot (select "
+    f"{COUNTS}, (select count(*) from blocklist) as blocklist_size from dns_log) on columns(*) "
+    "into name item value n) s union all "
+    f"select 'timeline', {TEXT.format('m')}, total from (select * from ({MINUTES}) x order by m desc "
+    "limit 30) t union all select 'queries', id::varchar, round(threat_score, 6) from (select * from "
+    "dns_log order by ts desc, id desc limit 50) q union all select 'clients', client_ip, blocked "
+    f"from (select * from ({CLIENTS}) c order by blocked desc, client_ip limit 6) k union all "
+    "select 'alerts', id::varchar, round(confidence, 6) from (select * from alerts "
+    "order by ts desc, id desc limit 10) a",
+    ["dns_log", "alerts", "blocklist"],
+)
 def kpi_summary(v: Views):
-    return O.summary_rows(O.kpi_summary(v.dns_log, v.alerts, v.blocklist))
+    parts = O.kpi_summary(v.dns_log, v.alerts, v.blocklist)
+    stats = parts["stats"].unpivot([], parts["stats"].columns, "item", "value")
+    items = {
+        "timeline": ("minute", "total"),
+        "queries": ("id", "threat_score"),
+        "clients": ("client_ip", "blocked"),
+        "alerts": ("id", "confidence"),
+    }
+    out = stats.select(F.lit("stats").alias("part"), "item", F.col("value").cast("double"))
+    for part, (item, value) in items.items():
+        df = ts_text(parts[part], "minute") if part == "timeline" else parts[part]
+        named = F.col(item).cast("string").alias("item")
+        out = out.unionByName(
+            df.select(F.lit(part).alias("part"), named, F.col(value).cast("double").alias("value"))
+        )
+    return rounded(out)
 
 
 @query(

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from domainlake.constants import CANONICAL_THREAT, DOH_RESOLVERS, SAFE_DOMAINS
+from domainlake.constants import (
+    BLOCKLIST_REASON, CANONICAL_THREAT, DOH_REASON, DOH_RESOLVERS, SAFE_DOMAINS,
+)
 from domainlake.operators import scoring as O
 from domainlake.operators import urls as U
 from domainlake.plans import sqltext as S
@@ -170,7 +172,7 @@ SAFE = f"domain in ({S.quoted(SAFE_DOMAINS)})"
     f"select id, client_ip, domain, case when {DOH} then 100 when {SAFE} then 0 else score end "
     f"as score, case when {DOH} then 'DOH_BYPASS' when {SAFE} then 'None' else threat_type end as "
     f"threat_type, {DOH} or (not {SAFE} and score >= 60) as blocked, "
-    f"case when {DOH} then '{O.DOH_REASON}' when {SAFE} then 'Fast-path cached (Safe LUT)' "
+    f"case when {DOH} then '{DOH_REASON}' when {SAFE} then 'Fast-path cached (Safe LUT)' "
     f"else {S.REASON} end as reason from typed where query_type in ('A', 'AAAA', 'CNAME')",
     ["client_traffic"],
     TRAFFIC,
@@ -212,7 +214,7 @@ DIRTY = (
 
 @query(
     "d14_error_quarantine",
-    "select id, 'ERROR' as threat_type, 0 as score, case when domain is null then "
+    "select id, 'ERROR' as threat_type, 0::bigint as score, case when domain is null then "
     "'domain is missing' else 'dga_prob is missing' end as reason, false as blocked "
     "from dirty where domain is null or dga_prob is null",
     ["scoring_input"],
@@ -256,7 +258,7 @@ LISTED = "lower(domain) in (select lower(domain) from blocklist)"
     "score_domains",
     f"select id, domain, case when {LISTED} then 100 else score end as score, "
     f"case when {LISTED} then 'THREAT_INTEL' else threat_type end as threat_type, "
-    f"case when {LISTED} then '{O.BLOCKLIST_REASON}' else {S.REASON} end as reason, "
+    f"case when {LISTED} then '{BLOCKLIST_REASON}' else {S.REASON} end as reason, "
     f"{LISTED} or score >= 60 as blocked, {LISTED} as in_static_blocklist, "
     f"round(case when {LISTED} then 1.0::double else tld_risk end, 6) as tld_risk from typed",
     ["scoring_input", "blocklist"],
@@ -288,7 +290,7 @@ CRAWL_HOSTS = (
     "count(*) as hosts, sum(n_pages)::bigint as n_pages, max(final)::bigint as max_score from ("
     f"select n_pages, case when {LISTED} then 100 else score end as final, "
     f"case when {LISTED} then 'THREAT_INTEL' else threat_type end as kind, "
-    f"case when {LISTED} then '{O.BLOCKLIST_REASON}' else {S.REASON} end as reasons from typed) t "
+    f"case when {LISTED} then '{BLOCKLIST_REASON}' else {S.REASON} end as reasons from typed) t "
     "group by 1, 2, 3",
     ["blocklist"],
     [("crawl", CRAWL_HOSTS), *CRAWL],

@@ -132,7 +132,7 @@ def keyword_chain_match(v: Views):
 @query(
     "i8_encoded_label_report",
     "select base, kind, count(distinct sld) as n_labels, count(*) as n_rows, "
-    "max(length(sld)) as longest from (select sld, substr(host, length(sld) + 2) as base, "
+    "max(length(sld))::int as longest from (select sld, substr(host, length(sld) + 2) as base, "
     "case when regexp_full_match(sld, '[0-9a-f]{16,48}') then 'hex' "
     "when regexp_full_match(sld, '[a-z0-9+/]{14,60}=*') and entropy > 3 then 'base64' end as kind "
     f"from (select domain, sld, host, {ENTROPY} as entropy from shapes) s) t "

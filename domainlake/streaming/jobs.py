@@ -2,6 +2,7 @@
 
 import os
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -37,18 +38,35 @@ def file_stream(spark: SparkSession, path: str, max_files: int | None = None) ->
     return reader.parquet(path)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+@contextmanager
+def state_partitions(spark: SparkSession, n: int | None = None):
+    """Start stateful queries inside with n state partitions, by default one per core.
+
+    The number is fixed in a query's checkpoint, so choose it for the cluster it will run on.
+    """
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", n or spark.sparkContext.defaultParallelism)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def run_to_table(
+    stream: DataFrame, name: str, mode: str = "append", partitions: int | None = None
+) -> DataFrame:
     """Process all available input into parquet in the shared folder and read it back."""
     spark = stream.sparkSession
     path = fresh_dir(spark, name)
-    query = (
+    writer = (
         stream.writeStream.format("parquet")
         .outputMode(mode)
         .option("checkpointLocation", f"{path}/checkpoint")
         .trigger(availableNow=True)
-        .start(f"{path}/table")
     )
-    query.awaitTermination()
+    with state_partitions(spark, partitions):
+        query = writer.start(f"{path}/table")
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/table")
 
 
