@@ -16,7 +16,9 @@ def rate_limit_flags(
 ) -> DataFrame:
     """Add `recent` (queries of the client in the trailing window, inclusive) and `rate_limited`.
 
-    Queries of one client with equal timestamps count each other. Time is cut into spans of
+    Queries of one client with equal timestamps count each other. A query adds one when it arrives
+    and takes one away just after it has aged out of the window, so `recent` is a running sum: a
+    sliding frame would add up the whole window again for every row. Time is cut into spans of
     `slices` windows and each span is its own window partition; rows of the last window before a
     span are copied into it as context, so counts stay exact and a busy client uses many tasks.
     """
@@ -24,24 +26,36 @@ def rate_limit_flags(
     span = width * slices
     own = F.floor(F.col("_t") / span)
     borders_next = F.col("_t") >= (own + 1) * span - width
-    rows = (
+    spans = F.when(borders_next, F.array(own, own + 1)).otherwise(F.array(own))
+    steps = F.array(
+        F.struct((F.col("_t") * 2).alias("at"), F.lit(1).alias("step")),
+        F.struct(((F.col("_t") + width) * 2 + 1).alias("at"), F.lit(-1).alias("step")),
+    )
+    marks = (
         log.withColumn("_t", micros())
         .withColumn("_own", own)
-        .withColumn(
-            "_span",
-            F.explode(
-                F.when(borders_next, F.array(own, own + 1)).otherwise(F.array(own))
-            ),
-        )
+        .withColumn("_span", F.explode(spans))
+        .withColumn("_mark", F.explode(steps))
+    )
+    output = (F.col("_mark.step") == 1) & (F.col("_span") == F.col("_own"))
+    light = marks.select(
+        "_span",
+        "_mark.at",
+        "_mark.step",
+        output.alias("_output"),
+        F.col("client_ip"),
+        # Only the rows that come out again carry their columns through the shuffle.
+        *[F.when(output, F.col(c)).alias(c) for c in log.columns if c != "client_ip"],
     )
-    trailing = (
-        Window.partitionBy("client_ip", "_span").orderBy("_t").rangeBetween(-width, 0)
+    so_far = (
+        Window.partitionBy("client_ip", "_span")
+        .orderBy("at")
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        rows.withColumn("recent", F.count(F.lit(1)).over(trailing))
-        .filter(F.col("_span") == F.col("_own"))
-        .withColumn("rate_limited", F.col("recent") > limit)
-        .drop("_t", "_own", "_span")
+        light.withColumn("recent", F.sum("step").over(so_far))
+        .filter("_output")
+        .select(*log.columns, "recent", (F.col("recent") > limit).alias("rate_limited"))
     )
 
 
