@@ -102,10 +102,16 @@ def with_base(log: DataFrame) -> DataFrame:
     ).withColumn("sub", F.substring_index(domain, ".", 1))
 
 
-def shadowing_flags(log: DataFrame, limit: int = SHADOWING_LIMIT) -> DataFrame:
-    """Add `shadowing`: the base domain has shown more than `limit` distinct first labels so far."""
+def shadowing_flags(
+    log: DataFrame, limit: int = SHADOWING_LIMIT, feeds: Column | None = None
+) -> DataFrame:
+    """Add `shadowing`: the base domain has shown more than `limit` distinct first labels so far.
+
+    With `feeds`, only rows where it holds count towards the limit.
+    """
     events = with_base(log)
-    crossings = crossing_points(events.filter("base is not null"), "base", "sub", limit)
+    counted = events if feeds is None else events.filter(feeds)
+    crossings = crossing_points(counted.filter("base is not null"), "base", "sub", limit)
     return _flag_from(events, crossings, "base", "shadowing").drop("base", "sub")
 
 
@@ -153,6 +159,12 @@ def resolution_profile(resolutions: DataFrame) -> DataFrame:
     )
 
 
+def flux_state(log: DataFrame, resolutions: DataFrame, limit: int = FLUX_LIMIT) -> DataFrame:
+    """Add `fast_flux` to queries: the addresses their domain had resolved to by (ts, id)."""
+    crossings = crossing_points(resolutions, "domain", "ip", limit)
+    return _flag_from(log, crossings, "domain", "fast_flux")
+
+
 def behaviour_join(
     log: DataFrame,
     resolutions: DataFrame,
@@ -163,10 +175,8 @@ def behaviour_join(
 ) -> DataFrame:
     """Queries that pass the rate limiter with their shadowing and fast-flux state.
 
-    Rate-limited queries are removed first and feed no later state. A query sees the addresses
-    its domain had resolved to up to the query's own (ts, id).
+    Rate-limited queries are removed first and feed no later state.
     """
     passed = rate_limit_flags(log, seconds, rate_limit).filter(~F.col("rate_limited"))
     flagged = shadowing_flags(passed.drop("rate_limited", "recent"), shadow_limit)
-    crossings = crossing_points(resolutions, "domain", "ip", flux_limit)
-    return _flag_from(flagged, crossings, "domain", "fast_flux")
+    return flux_state(flagged, resolutions, flux_limit)

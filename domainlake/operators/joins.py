@@ -20,8 +20,9 @@ def lookup(facts: DataFrame, dim: DataFrame, on: str, salts: int | None = None)
         salts = 1 if adaptive else 16
     if salts == 1:
         return facts.join(dim, on, "left")
-    salted_facts = facts.withColumn(
-        "_salt", F.pmod(F.xxhash64(*[c for c in facts.columns]), F.lit(salts)).cast("int")
-    )
+    # The partition id spreads rows that are equal in every column.
+    hashable = [name for name, kind in facts.dtypes if "map<" not in kind]
+    spread = F.xxhash64(*hashable, F.spark_partition_id())
+    salted_facts = facts.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
     salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_facts.join(salted_dim, [on, "_salt"], "left").drop("_salt")

@@ -292,20 +292,13 @@ LISTED_VERDICT = {
 }
 
 
-def score_domains(
-    df: DataFrame,
-    blocklist: DataFrame | None = None,
-    whitelist: DataFrame | None = None,
-    settings: Settings = Settings(),
+def with_signals(
+    df: DataFrame, blocklist: DataFrame | None = None, whitelist: DataFrame | None = None
 ) -> DataFrame:
-    """Verdict per row of `df(domain, dga_prob, decision, ...)`, in one pass over `df`.
+    """Add signals and list matches, computed once per distinct domain and joined back.
 
-    Signals and the list matches are computed once per distinct domain and joined back, because
-    query logs repeat the same names. A listed name gets the verdict of its list, and a row that
-    cannot be analysed gets an ERROR verdict.
+    Query logs repeat the same names, so this is far cheaper than scoring every row.
     """
-    keep = [c for c in df.columns if c not in ("dga_prob", "decision")]
-    marked = df.withColumn("_error", row_error(df))
     names = df.select("domain").filter("domain is not null").distinct()
     if blocklist is None:
         names = names.withColumn("in_static_blocklist", F.lit(False))
@@ -313,15 +306,43 @@ def score_domains(
         names = blocklist_match(names, blocklist)
     if whitelist is not None:
         names = whitelist_bypass(names, whitelist)
-    out = verdicts(lookup(marked, domain_signals(names), "domain"), settings)
+    return lookup(df, domain_signals(names), "domain")
+
+
+def decide(
+    rows: DataFrame, settings: Settings = Settings(), safe_list: bool = False
+) -> DataFrame:
+    """Verdict columns for rows from `with_signals`; list and error verdicts replace the score.
+
+    Precedence, strongest first: safe list, row error, whitelist, blocklist, score.
+    """
+    out = verdicts(rows.withColumn("_error", row_error(rows)), settings)
     out = _override(out, F.col("in_static_blocklist"), LISTED_VERDICT)
-    if whitelist is not None:
+    if "whitelisted" in out.columns:
         bypass = {"score": 0, "threat_type": "None", "reason": "Whitelisted", "blocked": False}
         out = _override(out, F.col("whitelisted"), bypass)
     failed = F.col("_error").isNotNull()
     out = _override(out, failed, {**SAFE_VERDICT, "threat_type": "ERROR"})
     out = out.withColumn("reason", F.coalesce("_error", "reason"))
-    return out.select(*keep, *VERDICT_COLUMNS)
+    if safe_list:
+        out = _override(
+            safe_list_passthrough(out, settings), F.col("safe_listed"), SAFE_VERDICT
+        )
+    return out
+
+
+def score_domains(
+    df: DataFrame,
+    blocklist: DataFrame | None = None,
+    whitelist: DataFrame | None = None,
+    settings: Settings = Settings(),
+) -> DataFrame:
+    """Verdict per row of `df(domain, dga_prob, decision, ...)`.
+
+    Optional boolean columns `shadowing` and `fast_flux` add their points and decide the type.
+    """
+    keep = [c for c in df.columns if c not in ("dga_prob", "decision")]
+    return decide(with_signals(df, blocklist, whitelist), settings).select(*keep, *VERDICT_COLUMNS)
 
 
 def score_queries(
@@ -330,12 +351,11 @@ def score_queries(
     whitelist: DataFrame | None = None,
     settings: Settings = Settings(),
 ) -> DataFrame:
-    """Verdict per logged query: type gate, scoring, safe list, resolver override.
+    """Verdict per logged query: type gate, safe list, scoring, resolver override.
 
-    The safe list has a dozen names, so scoring them too costs a dozen rows; it still takes
-    precedence over every other finding except the resolver rule.
+    The safe list has a dozen names, so scoring them too costs a dozen rows.
     """
-    scored = score_domains(query_type_filter(log), blocklist, whitelist, settings)
-    marked = safe_list_passthrough(scored, settings)
-    passed = _override(marked, F.col("safe_listed"), SAFE_VERDICT).drop("safe_listed")
-    return doh_bypass_override(passed, settings)
+    analysed = query_type_filter(log)
+    keep = [c for c in log.columns if c not in ("dga_prob", "decision")]
+    rows = decide(with_signals(analysed, blocklist, whitelist), settings, safe_list=True)
+    return doh_bypass_override(rows.select(*keep, *VERDICT_COLUMNS), settings)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from domainlake.constants import (
     BLOCKLIST_REASON, CANONICAL_THREAT, DOH_REASON, DOH_RESOLVERS, SAFE_DOMAINS,
 )
+from domainlake.operators import detection
 from domainlake.operators import scoring as O
 from domainlake.operators import urls as U
 from domainlake.plans import sqltext as S
@@ -277,6 +278,66 @@ def score_domains(v: Views):
     )
 
 
+TRAFFIC_BASE = (
+    "case when len(string_split(domain, '.')) >= 3 then split_part(domain, '.', -2) || '.' || "
+    "split_part(domain, '.', -1) end as base, split_part(domain, '.', 1) as sub"
+)
+TRAFFIC_LISTED = "(domain = 'shop7.example.com')"
+BEHAVED = [
+    *TRAFFIC,
+    (
+        "passed",
+        "select * from (select *, count(*) over (partition by client_ip order by ts range between "
+        "interval 1 hour preceding and current row) as recent from client_traffic) r "
+        "where recent <= 2 and query_type in ('A', 'AAAA', 'CNAME')",
+    ),
+    (
+        "shadowed",
+        "select id, base is not null and count(distinct_sub) over (partition by base order by ts, "
+        "id) > 50 as shadowing from (select *, case when feeds and row_number() over (partition by "
+        "base, sub, feeds order by ts, id) = 1 then sub end as distinct_sub from (select *, "
+        f"not ({SAFE}) and not {TRAFFIC_LISTED} as feeds, {TRAFFIC_BASE} from passed) a) b",
+    ),
+    (
+        "flux",
+        "select domain, min((ts, id)) as since from (select *, sum(first) over (partition by domain "
+        "order by ts, id rows unbounded preceding) as so_far from (select *, case when row_number() "
+        "over (partition by domain, ip order by ts, id) = 1 then 1 else 0 end as first "
+        "from client_answers) f) g where so_far > 3 group by domain",
+    ),
+    (
+        "flagged",
+        "select t.*, shadowing, coalesce((t.ts, t.id) >= since, false) as fast_flux from typed t "
+        "join shadowed using (id) left join flux using (domain)",
+    ),
+    (
+        "behaved",
+        "select *, least(trunc(total + case when shadowing then 30 else 0 end + case when fast_flux "
+        "then 25 else 0 end), 100)::bigint as points from flagged",
+    ),
+]
+
+
+@query(
+    "e6_score_log",
+    f"select id, domain, case when {DOH} then 100 when {SAFE} then 0 when {TRAFFIC_LISTED} then 100 "
+    f"else points end as score, case when {DOH} then 'DOH_BYPASS' when {SAFE} then 'None' "
+    f"when {TRAFFIC_LISTED} then 'THREAT_INTEL' when fast_flux then 'FAST_FLUX' when shadowing then "
+    "'DNS_SHADOWING' when points < 30 then 'CLEAN' when dga_prob > 0.55 then 'DGA' "
+    "when tunnel_prob > 0.6 then 'TUNNELING' when min_lev <= 2 or lookalike_score > 0.5 then "
+    f"'PHISHING' else 'SUSPICIOUS' end as threat_type, {DOH} or (not {SAFE} and ({TRAFFIC_LISTED} "
+    "or points >= 60)) as blocked from behaved",
+    ["client_traffic", "client_answers"],
+    BEHAVED,
+)
+def score_log(v: Views):
+    listed = v.client_traffic.select("domain").filter("domain = 'shop7.example.com'").distinct()
+    scored = detection.score_log(
+        v.client_traffic, v.client_answers, listed, seconds=3600, rate_limit=2
+    )
+    return _long(scored.select("id", "domain", "score", "threat_type", "blocked"), "score")
+
+
 CRAWL = S.score_ctes("crawl")
 CRAWL_HOSTS = (
     f"select {S.host_full('url')} as domain, count(*) as n_pages, 0.0 as dga_prob, "

@@ -189,16 +189,13 @@ def score_ctes(source: str) -> list[tuple[str, str]]:
         ),
         (
             "points",
-            "select *, greatest(0.0, least(1.0, -decision + 0.5)) as tunnel_prob "
-            f"from {source} join signals using (domain)",
-        ),
-        (
-            "scored",
-            "select *, least(trunc(dga_prob * 40 + tunnel_prob * 20 + entropy * 15 "
-            "+ lookalike_score * 10 + tld_risk * 10 + jaro_winkler_score * 5 "
-            "+ least(kw_hits * 8, 20) + case when min_lev between 1 and 2 then 15 else 0 end"
-            "), 100)::bigint as score from points",
+            "select *, dga_prob * 40 + tunnel_prob * 20 + entropy * 15 + lookalike_score * 10 "
+            "+ tld_risk * 10 + jaro_winkler_score * 5 + least(kw_hits * 8, 20) "
+            "+ case when min_lev between 1 and 2 then 15 else 0 end as total from (select *, "
+            "greatest(0.0, least(1.0, -decision + 0.5)) as tunnel_prob "
+            f"from {source} join signals using (domain)) p",
         ),
+        ("scored", "select *, least(trunc(total), 100)::bigint as score from points"),
         (
             "typed",
             "select *, case when score < 30 then 'CLEAN' when dga_prob > 0.55 then 'DGA' "

@@ -55,6 +55,12 @@ select event_id as id, ts,
   cast(event_id % 101 as double) / 100 as dga_prob,
   cast(event_id % 41 as double) / 20 - 1 as decision
 from {events}""",
+    # Answers for the traffic: two addresses per event.
+    "client_answers": """
+select id, ts, domain, concat('203.0.113.', cast(id % 5 as int)) as ip, cast(60 as int) as ttl
+from {client_traffic}
+union all select id, ts, domain, concat('198.51.100.', cast(id % 2 as int)), cast(30 as int)
+from {client_traffic}""",
     # URL feed: plain, user-info masked, redirect, port.
     "url_feed": """
 select page_id, url as raw_url, case cast(page_id % 4 as int)
