@@ -16,7 +16,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 REGISTERED = [
     "a5_quoted_csv_urls", "b2_url_to_domain", "b3_unmask_urls", "crawl_risk_report",
     "score_domains", "d11_doh_bypass", "e2_shadowing_flags", "e4_fast_flux_flags",
-    "e6_behaviour_join", "f1_kpi_stats", "f2_client_risk", "f5_timeline_recent", "f8_paged_log",
+    "e6_behaviour_join", "e6_score_log", "f1_kpi_stats", "f2_client_risk", "f5_timeline_recent", "f8_paged_log",
     "f14_kpi_summary", "g3_clean_corpus", "g4_balance_classes", "g7_stratified_split",
     "h1_train_dga_forest", "h3_train_isolation_forest", "h9_anomaly_rates", "i6_observed_squats",
     "i8_encoded_label_report", "j1_page_evidence", "j3_assessment_text", "k1_append_blocklist",

@@ -96,7 +96,7 @@ def tree_samples(legit: DataFrame, trees: int, psi: int, seed: int, id_col: str)
     )
     uniform = F.pmod("_order", F.lit(1 << 53)) / float(1 << 53)
     chosen = draw.filter(uniform < share)
-    return first_n_per_group(chosen, ["tree"], [F.col("_order")], psi, [id_col], salts=1)
+    return first_n_per_group(chosen, ["tree"], [F.col("_order")], psi, [id_col], rounds=(1,))
 
 
 def train_isolation_forest(

@@ -1,6 +1,6 @@
 """Feature tables over distinct domains."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from domainlake import constants as K
@@ -18,14 +18,14 @@ def host_columns(df: DataFrame, domain: str = "domain") -> DataFrame:
     )
 
 
-def domain_features(df: DataFrame, domain: str = "domain") -> DataFrame:
-    """Add the 17 feature columns. Give it distinct domains; every column is row-local.
+def brand_columns(df: DataFrame, domain: str = "domain") -> DataFrame:
+    """Add host, sld and the intermediate columns of the brand features and the entropy.
 
     The brand tests share a projection with the entropy, whose lambda keeps that projection out of
     whole-stage code generation: as one fused method they would be too long for the JIT compiler.
     """
-    host, sld = F.col("host"), F.col("sld")
-    named = (
+    sld = F.col("sld")
+    return (
         host_columns(df, domain)
         .withColumns({"_size": F.greatest(F.length(sld), F.lit(1)), "_letters": S.letter_mask(sld)})
         .withColumns(
@@ -36,11 +36,20 @@ def domain_features(df: DataFrame, domain: str = "domain") -> DataFrame:
             }
         )
     )
-    columns = L.feature_columns(host, sld)
+
+
+def feature_columns() -> dict[str, Column]:
+    """The 17 features over the columns of `brand_columns`, in their fixed order."""
+    columns = L.feature_columns(F.col("host"), F.col("sld"))
     columns["entropy"] = F.least(F.col("_bits") / 4, F.lit(1.0))
     columns["lookalike_score"] = S.lookalike_score(F.col("_distance"))
     columns["jaro_winkler_score"] = S.jaro_winkler_score("sld", "_near")
-    return named.select(*df.columns, *[columns[name].alias(name) for name in K.FEATURE_COLUMNS])
+    return {name: columns[name].alias(name) for name in K.FEATURE_COLUMNS}
+
+
+def domain_features(df: DataFrame, domain: str = "domain") -> DataFrame:
+    """Add the 17 feature columns. Give it distinct domains; every column is row-local."""
+    return brand_columns(df, domain).select(*df.columns, *feature_columns().values())
 
 
 def with_features(df: DataFrame, domain: str = "domain") -> DataFrame:

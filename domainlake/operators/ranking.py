@@ -50,15 +50,21 @@ def seeded_rank(
 
 
 def first_n_per_group(
-    df: DataFrame, by: list[str], order: list[Column], n: int, id_cols: list[str], salts: int = 64
+    df: DataFrame,
+    by: list[str],
+    order: list[Column],
+    n: int,
+    id_cols: list[str],
+    rounds: tuple[int, ...] = (4096, 64, 1),
 ) -> DataFrame:
-    """First n rows of each group in the given order, in two rounds.
+    """First n rows of each group in the given order, in rounds over ever fewer salts.
 
-    Round one keeps n per (group, salt), so a group holding a third of all rows is cut down by
-    `salts` tasks in parallel; round two sees at most salts * n rows per group.
+    A round keeps n rows per (group, salt). A group holding a third of all rows is thus cut down by
+    thousands of tasks, and a later round sees at most 64 * n rows per (group, salt).
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*id_cols), F.lit(salts)))
-    for keys in ([*by, "_salt"], by):
-        w = Window.partitionBy(*keys).orderBy(*order)
-        salted = salted.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
-    return salted.drop("_rn", "_salt")
+    for salts in rounds:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*id_cols), F.lit(salts)))
+        w = Window.partitionBy(*by, "_salt").orderBy(*order)
+        kept = salted.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+        df = kept.drop("_rn", "_salt")
+    return df

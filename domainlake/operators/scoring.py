@@ -9,7 +9,7 @@ from domainlake import constants as K
 from domainlake.functions import lexical as L
 from domainlake.functions import similarity as S
 from domainlake.functions.text import blank_to_null, part, round_exact
-from domainlake.operators.features import domain_features
+from domainlake.operators.features import brand_columns, feature_columns
 from domainlake.operators.joins import lookup
 
 VERDICT_COLUMNS = [
@@ -54,12 +54,20 @@ def apply_toggles(df: DataFrame, settings: Settings) -> DataFrame:
 
 
 def domain_signals(domains: DataFrame) -> DataFrame:
-    """Features plus the two signals taken from the raw name: keyword hits and brand distance."""
+    """Features plus the two signals taken from the raw name: keyword hits and brand distance.
+
+    The first label of the raw name is nearly always the one already compared.
+    """
     raw = F.lower("domain")
-    return (
-        domain_features(domains)
-        .withColumn("kw_hits", L.keyword_hits(raw, K.PHISH_KEYWORDS))
-        .withColumn("min_lev", S.min_distance(part(raw, ".", 1), K.BRANDS))
+    named = brand_columns(domains.withColumn("_label", part(raw, ".", 1)))
+    distance = F.when(F.col("_label") == F.col("sld"), F.col("_distance")).otherwise(
+        S.min_distance(F.col("_label"), K.BRANDS)
+    )
+    return named.select(
+        *domains.columns,
+        *feature_columns().values(),
+        L.keyword_hits(raw, K.PHISH_KEYWORDS).alias("kw_hits"),
+        distance.alias("min_lev"),
     )
 
 

@@ -43,7 +43,11 @@ def clean_hosts(df: DataFrame, host: str = "domain") -> DataFrame:
 
 
 def masking_techniques(df: DataFrame, url: str = "url") -> DataFrame:
-    """Masked rows only, with `techniques`: which disguises each URL uses."""
+    """One row per masked URL and `technique`, the disguise it uses.
+
+    The rows are filtered after the explode: a filter on the unmasked columns would be pushed below
+    them and follow every redirect chain again.
+    """
     raw = F.col(url)
     found = {
         "user_info": U.authority(strip(raw)).contains("@"),
@@ -54,10 +58,8 @@ def masking_techniques(df: DataFrame, url: str = "url") -> DataFrame:
     return (
         unmask_urls(df, url)
         .withColumn("visible_host", U.visible_host(raw))
-        .withColumn(
-            "techniques", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in found.items()]))
-        )
-        .filter(F.size("techniques") > 0)
+        .withColumn("technique", F.explode(F.array(*[F.when(c, n) for n, c in found.items()])))
+        .filter("technique is not null")
     )
 
 
@@ -65,7 +67,6 @@ def masked_url_report(df: DataFrame, url: str = "url") -> DataFrame:
     """Masked URLs and distinct final hosts per technique."""
     return (
         masking_techniques(df, url)
-        .withColumn("technique", F.explode("techniques"))
         .groupBy("technique")
         .agg(
             F.count(F.lit(1)).alias("n_urls"),

@@ -127,6 +127,8 @@ def test_balanced_sample_and_caps(spark):
     capped = corpus.cap_per_source(df, 600)
     ids = sorted(r["id"] for r in capped.collect())
     assert ids == list(range(600)) + list(range(1500, 2000))
+    few = corpus.cap_per_source(df, 3)
+    assert sorted(r["id"] for r in few.collect()) == [0, 1, 2, 1500, 1501, 1502]
     folds = {r["fold"]: r["count"] for r in corpus.stratified_folds(df).groupBy("fold").count().collect()}
     assert folds == dict.fromkeys(range(5), 400)
 

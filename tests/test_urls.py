@@ -79,6 +79,8 @@ def test_masked_url_report(spark):
         ("http://safe.com@evil.com/",), ("http://r.com/?url=http://evil.com/",),
         ("http://pay\u200bpal.com/",), ("http://fine.com/",),
     ]
+    masked = O.masking_techniques(spark.createDataFrame(rows, "url string"))
+    assert masked.select("url").distinct().count() == 3
     report = O.masked_url_report(spark.createDataFrame(rows, "url string"))
     got = {r["technique"]: (r["n_urls"], r["n_hosts"]) for r in report.collect()}
     assert got == {
