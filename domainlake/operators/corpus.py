@@ -48,10 +48,9 @@ def balance_classes(
     corpus: DataFrame, limit: int | None = None, seed: int = 42
 ) -> DataFrame:
     """Equal class sizes by seeded sampling without replacement; `limit` caps both classes."""
-    smallest = (
-        corpus.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).scalar()
-    )
-    size = smallest if limit is None else F.least(smallest, F.lit(limit))
+    size = F.min("group_size").over(Window.partitionBy())  # over the slice counts only
+    if limit is not None:
+        size = F.least(size, F.lit(limit))
     return seeded_rank(corpus, ["label"], ["id"], seed, limit=size).drop("rank", "group_size")
 
 

@@ -24,8 +24,9 @@ def seeded_rank(
     two-class case still uses thousands of tasks. `id_cols` must identify a row.
 
     With `limit` only ranks up to it are returned, and slices that start beyond it are dropped
-    before the shuffle: a small sample of a huge table moves few rows. `by` must be a column with
-    few values (a class label), because the broadcast slice counts have 16**digits rows for each.
+    before the shuffle: a small sample of a huge table moves few rows. A limit column is computed
+    on the slice counts, where it can use `group_size`. `by` must be a column with few values (a
+    class label), because the broadcast slice counts have 16**digits rows for each.
     """
     keyed = df.withColumn("_key", shuffle_key(seed, *id_cols)).withColumn(
         "_slice", F.substring("_key", 1, digits)
@@ -39,14 +40,15 @@ def seeded_rank(
         .drop("_n")
     )
     if limit is not None:
-        counts = counts.filter(F.col("_before") < limit)
+        cap = F.lit(limit) if isinstance(limit, int) else limit
+        counts = counts.withColumn("_cap", cap).filter(F.col("_before") < F.col("_cap"))
     inside = Window.partitionBy(*by, "_slice").orderBy("_key", *id_cols)
     ranked = (
         keyed.join(F.broadcast(counts), [*by, "_slice"])
         .withColumn("rank", F.col("_before") + F.row_number().over(inside))
         .drop("_key", "_slice", "_before")
     )
-    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+    return ranked if limit is None else ranked.filter(F.col("rank") <= F.col("_cap")).drop("_cap")
 
 
 def first_n_per_group(

@@ -26,7 +26,7 @@ def cell(value):
     if hasattr(value, "item"):
         value = value.item()
     if isinstance(value, float):
-        return ("f", round(value, 6) + 0.0)
+        return ("f", value + 0.0)
     return value
 
 
