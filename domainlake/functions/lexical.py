@@ -104,13 +104,14 @@ def tld_risk(host: Column) -> Column:
     )
 
 
-def keyword_hits(text: Column, words: list[str]) -> Column:
-    """How many of the listed words occur in the text (each counts once)."""
-    return sum((text.contains(w).cast("int") for w in words), F.lit(0))
+def keyword_hits(text: str, words: list[str]) -> Column:
+    """How many of the listed words occur in the text, a column name or SQL (each counts once)."""
+    return F.expr(" + ".join(f"int(contains({text}, '{w}'))" for w in words))
 
 
-def feature_columns(host: Column, sld: Column) -> dict[str, Column]:
-    """The feature columns without entropy and the two brand similarities."""
+def feature_columns() -> dict[str, Column]:
+    """Features over columns `host` and `sld`, without entropy and the two brand similarities."""
+    host, sld = F.col("host"), F.col("sld")
     return {
         "length": F.least(F.length(host) / 63, F.lit(1.0)),
         "num_subdomains": F.least((labels(host) - 1) / 5, F.lit(1.0)),
@@ -121,7 +122,7 @@ def feature_columns(host: Column, sld: Column) -> dict[str, Column]:
         "ngram_randomness": ngram_randomness(sld, K.COMMON_BIGRAMS),
         "repeated_char_score": repeated_chars(sld),
         "tld_risk": tld_risk(host),
-        "suspicious_keyword_score": keyword_hits(host, K.PHISH_KEYWORDS) / len(K.PHISH_KEYWORDS),
+        "suspicious_keyword_score": keyword_hits("host", K.PHISH_KEYWORDS) / len(K.PHISH_KEYWORDS),
         "max_consec_cons": F.least(longest_consonant_run(sld) / 8, F.lit(1.0)),
         "unique_char_ratio": distinct_chars(sld) / _size(sld),
         "hex_char_ratio": share_of_chars(sld, "0123456789abcdef"),

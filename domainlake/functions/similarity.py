@@ -14,13 +14,13 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 TAKEN = chr(0xFFFF)  # a noncharacter: marks positions of the brand that are already matched
 
 
-def min_distance(label: Column, brands: list[str], within: int = 4) -> Column:
+def min_distance(label: str, brands: list[str], within: int = 4) -> Column:
     """Smallest edit distance to any brand, FAR (99) when it exceeds `within`.
 
     The bounded distance stops early and gives -1 beyond the bound, which pmod turns into FAR.
     """
-    bounded = [F.levenshtein(label, F.lit(b), within) for b in brands]
-    return F.least(*[F.pmod(d, F.lit(FAR + 1)) for d in bounded])
+    bounded = [f"pmod(levenshtein({label}, '{b}', {within}), {FAR + 1})" for b in brands]
+    return F.expr(f"least({', '.join(bounded)})")
 
 
 def lookalike_score(distance: Column) -> Column:
@@ -80,12 +80,10 @@ def jaro_winkler(label: str, brand: str) -> str:
     return f"case when {label} = {brand} then 1.0D when '' in ({label}, {brand}) then 0.0D else {walk} end"
 
 
-def letter_mask(label: Column) -> Column:
+def letter_mask(label: str) -> Column:
     """One bit per letter a-z that occurs in the label."""
-    return sum(
-        (F.when(label.contains(ch), 1 << i).otherwise(0) for i, ch in enumerate(LETTERS)),
-        F.lit(0),
-    )
+    bits = [f"if(contains({label}, '{ch}'), {1 << i}, 0)" for i, ch in enumerate(LETTERS)]
+    return F.expr(" + ".join(bits))
 
 
 def _may_exceed(label: str, size: str, mask: str, brand: str, floor: float) -> str:

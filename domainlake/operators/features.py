@@ -27,10 +27,10 @@ def brand_columns(df: DataFrame, domain: str = "domain") -> DataFrame:
     sld = F.col("sld")
     return (
         host_columns(df, domain)
-        .withColumns({"_size": F.greatest(F.length(sld), F.lit(1)), "_letters": S.letter_mask(sld)})
+        .withColumns({"_size": F.greatest(F.length(sld), F.lit(1)), "_letters": S.letter_mask("sld")})
         .withColumns(
             {
-                "_distance": S.min_distance(sld, K.BRANDS),
+                "_distance": S.min_distance("sld", K.BRANDS),
                 "_near": S.near_brands("sld", "_size", "_letters"),
                 "_bits": L.shannon_bits(sld),
             }
@@ -40,7 +40,7 @@ def brand_columns(df: DataFrame, domain: str = "domain") -> DataFrame:
 
 def feature_columns() -> dict[str, Column]:
     """The 17 features over the columns of `brand_columns`, in their fixed order."""
-    columns = L.feature_columns(F.col("host"), F.col("sld"))
+    columns = L.feature_columns()
     columns["entropy"] = F.least(F.col("_bits") / 4, F.lit(1.0))
     columns["lookalike_score"] = S.lookalike_score(F.col("_distance"))
     columns["jaro_winkler_score"] = S.jaro_winkler_score("sld", "_near")
@@ -89,7 +89,7 @@ def legacy_features(df: DataFrame, domain: str = "domain") -> DataFrame:
         "ngram_randomness": L.ngram_randomness(sld, K.LEGACY_BIGRAMS),
         "repeated_char_score": L.repeated_chars(sld),
         "tld_risk": L.tld_of(host).isin(K.LEGACY_RISKY_TLDS),
-        "suspicious_keyword_score": L.keyword_hits(host, K.LEGACY_KEYWORDS)
+        "suspicious_keyword_score": L.keyword_hits("host", K.LEGACY_KEYWORDS)
         / len(K.LEGACY_KEYWORDS),
         "lookalike_score": (distance > 0) & (distance <= 2),
         "max_consec_cons": L.longest_consonant_run(sld),
@@ -99,6 +99,6 @@ def legacy_features(df: DataFrame, domain: str = "domain") -> DataFrame:
     return (
         df.withColumn("host", strip(F.lower(F.col(domain))))
         .withColumn("sld", L.sld_of(F.col("host")))
-        .withColumn("_distance", S.min_distance(sld, K.LEGACY_BRANDS, within=2))
+        .withColumn("_distance", S.min_distance("sld", K.LEGACY_BRANDS, within=2))
         .select(*df.columns, *[c.cast("double").alias(name) for name, c in columns.items()])
     )

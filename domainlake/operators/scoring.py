@@ -1,6 +1,8 @@
 """From features and model outputs to verdicts: lists, score, type, reason, contributions."""
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,15 +60,14 @@ def domain_signals(domains: DataFrame) -> DataFrame:
 
     The first label of the raw name is nearly always the one already compared.
     """
-    raw = F.lower("domain")
-    named = brand_columns(domains.withColumn("_label", part(raw, ".", 1)))
+    named = brand_columns(domains.withColumn("_label", part(F.lower("domain"), ".", 1)))
     distance = F.when(F.col("_label") == F.col("sld"), F.col("_distance")).otherwise(
-        S.min_distance(F.col("_label"), K.BRANDS)
+        S.min_distance("_label", K.BRANDS)
     )
     return named.select(
         *domains.columns,
         *feature_columns().values(),
-        L.keyword_hits(raw, K.PHISH_KEYWORDS).alias("kw_hits"),
+        L.keyword_hits("lower(domain)", K.PHISH_KEYWORDS).alias("kw_hits"),
         distance.alias("min_lev"),
     )
 
@@ -97,7 +98,7 @@ def contribution_points(df: DataFrame) -> dict[str, Column]:
 
 def threat_score(df: DataFrame) -> DataFrame:
     """Add `score`: the weighted sum, truncated to an integer and capped at 100."""
-    total = sum(list(contribution_points(df).values())[1:], contribution_points(df)["dga_probability"])
+    total = reduce(add, contribution_points(df).values())
     return df.withColumn("score", F.least(total.cast("int"), F.lit(100)))
 
 
@@ -165,13 +166,15 @@ def score_contributions(df: DataFrame) -> DataFrame:
 
 def verdict_flags(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Add blocked and the reported forms of the signals (rounded probabilities, entropy bits)."""
-    return (
-        df.withColumn("blocked", settings.blocks(F.col("score")))
-        .withColumn("dga_prob", round_exact(F.col("dga_prob"), 3))
-        .withColumn("tunnel_score", round_exact(F.col("tunnel_prob"), 3))
-        .withColumn("entropy", F.col("entropy") * 4)
-        .withColumn("lookalike", F.when(F.col("lookalike_score") > 0.5, "Yes"))
-        .withColumn("lookalike_similarity", F.col("lookalike_score"))
+    return df.withColumns(
+        {
+            "blocked": settings.blocks(F.col("score")),
+            "dga_prob": round_exact(F.col("dga_prob"), 3),
+            "tunnel_score": round_exact(F.col("tunnel_prob"), 3),
+            "entropy": F.col("entropy") * 4,
+            "lookalike": F.when(F.col("lookalike_score") > 0.5, "Yes"),
+            "lookalike_similarity": F.col("lookalike_score"),
+        }
     )
 
 
@@ -235,10 +238,12 @@ def query_type_filter(df: DataFrame) -> DataFrame:
 def _override(df: DataFrame, hit: Column, values: dict) -> DataFrame:
     """Replace verdict columns where `hit` holds; a None value means NULL."""
     types = dict(df.dtypes)
-    for name, value in values.items():
-        fixed = F.lit(value).cast(types[name])
-        df = df.withColumn(name, F.when(hit, fixed).otherwise(F.col(name)))
-    return df
+    return df.withColumns(
+        {
+            name: F.when(hit, F.lit(value).cast(types[name])).otherwise(F.col(name))
+            for name, value in values.items()
+        }
+    )
 
 
 def doh_bypass_override(df: DataFrame, settings: Settings = Settings()) -> DataFrame:

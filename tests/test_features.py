@@ -83,7 +83,7 @@ def test_prefix_bonus_counts_any_equal_position(spark):
 )
 def test_lookalike_score(spark, label, score):
     df = spark.createDataFrame([(label,)], "sld string")
-    df = df.withColumn("d", S.min_distance(F.col("sld"), K.BRANDS))
+    df = df.withColumn("d", S.min_distance("sld", K.BRANDS))
     assert df.select(S.lookalike_score(F.col("d"))).first()[0] == score
 
 
