@@ -59,14 +59,18 @@ def rate_limit_flags(
     )
 
 
-def crossing_points(events: DataFrame, key: str, member: str, limit: int) -> DataFrame:
+def crossing_points(
+    events: DataFrame, key: str, member: str, limit: int, sighting: Column | None = None
+) -> DataFrame:
     """(key, crossing): the event at which a key's distinct members first exceed `limit`.
 
+    An event is struct(ts, id), or the given `sighting` column of the same form.
     Events collapse to the first sighting of each (key, member) before the shuffle, and only the
     first limit + 1 sightings per key survive the map-side rank limit, so a key holding a third of
     all events costs no more than any other.
     """
-    firsts = events.groupBy(key, member).agg(F.min(F.struct("ts", "id")).alias("crossing"))
+    at = F.struct("ts", "id") if sighting is None else sighting
+    firsts = events.groupBy(key, member).agg(F.min(at).alias("crossing"))
     order = Window.partitionBy(key).orderBy("crossing")
     return (
         firsts.withColumn("_n", F.row_number().over(order))
@@ -75,20 +79,24 @@ def crossing_points(events: DataFrame, key: str, member: str, limit: int) -> Dat
     )
 
 
+def reached(crossing: str) -> Column:
+    """Whether the row is at or after the event in `crossing`; false without one."""
+    return F.coalesce(F.struct("ts", "id") >= F.col(crossing), F.lit(False))
+
+
 def _flag_from(events: DataFrame, crossings: DataFrame, key: str, name: str) -> DataFrame:
     """Flag events at or after the crossing of their key.
 
     Events without a key get one of their own that matches nothing, so they spread over all tasks.
     """
     own = F.concat(F.lit("#"), F.col("id").cast("string"))
-    reached = F.struct("ts", "id") >= F.col("crossing")
     return (
         lookup(
             events.withColumn("_key", F.coalesce(F.col(key), own)),
             crossings.withColumnRenamed(key, "_key"),
             "_key",
         )
-        .withColumn(name, F.coalesce(reached, F.lit(False)))
+        .withColumn(name, F.col(key).isNotNull() & reached("crossing"))
         .drop("crossing", "_key")
     )
 
@@ -102,16 +110,10 @@ def with_base(log: DataFrame) -> DataFrame:
     ).withColumn("sub", F.substring_index(domain, ".", 1))
 
 
-def shadowing_flags(
-    log: DataFrame, limit: int = SHADOWING_LIMIT, feeds: Column | None = None
-) -> DataFrame:
-    """Add `shadowing`: the base domain has shown more than `limit` distinct first labels so far.
-
-    With `feeds`, only rows where it holds count towards the limit.
-    """
+def shadowing_flags(log: DataFrame, limit: int = SHADOWING_LIMIT) -> DataFrame:
+    """Add `shadowing`: the base domain has shown more than `limit` distinct first labels so far."""
     events = with_base(log)
-    counted = events if feeds is None else events.filter(feeds)
-    crossings = crossing_points(counted.filter("base is not null"), "base", "sub", limit)
+    crossings = crossing_points(events.filter("base is not null"), "base", "sub", limit)
     return _flag_from(events, crossings, "base", "shadowing").drop("base", "sub")
 
 
@@ -159,12 +161,6 @@ def resolution_profile(resolutions: DataFrame) -> DataFrame:
     )
 
 
-def flux_state(log: DataFrame, resolutions: DataFrame, limit: int = FLUX_LIMIT) -> DataFrame:
-    """Add `fast_flux` to queries: the addresses their domain had resolved to by (ts, id)."""
-    crossings = crossing_points(resolutions, "domain", "ip", limit)
-    return _flag_from(log, crossings, "domain", "fast_flux")
-
-
 def behaviour_join(
     log: DataFrame,
     resolutions: DataFrame,
@@ -175,8 +171,10 @@ def behaviour_join(
 ) -> DataFrame:
     """Queries that pass the rate limiter with their shadowing and fast-flux state.
 
-    Rate-limited queries are removed first and feed no later state.
+    Rate-limited queries are removed first and feed no later state. A query sees the addresses its
+    domain had resolved to by the query's own (ts, id).
     """
     passed = rate_limit_flags(log, seconds, rate_limit).filter(~F.col("rate_limited"))
     flagged = shadowing_flags(passed.drop("rate_limited", "recent"), shadow_limit)
-    return flux_state(flagged, resolutions, flux_limit)
+    crossings = crossing_points(resolutions, "domain", "ip", flux_limit)
+    return _flag_from(flagged, crossings, "domain", "fast_flux")

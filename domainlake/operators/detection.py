@@ -23,12 +23,34 @@ def score_log(
 
     The rate limiter sees every query type and drops what exceeds the limit. Safe-listed and
     blocklisted names are decided by their list and do not feed the shadowing state.
+
+    Everything but the rate limit depends on the domain or its base, so lists, signals and crossing
+    points meet in one table with a row per distinct domain, and the log is joined once.
     """
     keep = [c for c in log.columns if c not in ("dga_prob", "decision")]
     passed = B.rate_limit_flags(log, seconds, rate_limit).filter(~F.col("rate_limited"))
     analysed = S.query_type_filter(passed.drop("rate_limited", "recent"))
-    rows = S.safe_list_passthrough(S.with_signals(analysed, blocklist, whitelist), settings)
-    feeds = ~F.col("safe_listed") & ~F.coalesce("in_static_blocklist", F.lit(False))
-    flagged = B.flux_state(B.shadowing_flags(rows, shadow_limit, feeds), resolutions, flux_limit)
-    decided = S.decide(flagged.drop("safe_listed"), settings, safe_list=True)
+    firsts = (
+        analysed.filter("domain is not null")
+        .groupBy("domain")
+        .agg(F.min(F.struct("ts", "id")).alias("first_seen"))
+    )
+    names = B.with_base(S.safe_list_passthrough(S.listed_names(firsts, blocklist, whitelist), settings))
+    feeding = names.filter("base is not null and not safe_listed and not in_static_blocklist")
+    shadow = B.crossing_points(feeding, "base", "sub", shadow_limit, F.col("first_seen"))
+    flux = B.crossing_points(resolutions, "domain", "ip", flux_limit)
+    # Names without a base get a key of their own, so that they spread over all tasks.
+    key = F.coalesce("base", F.concat(F.lit("#"), "domain"))
+    table = (
+        S.domain_signals(names)
+        .join(flux.withColumnRenamed("crossing", "flux_from"), "domain", "left")
+        .withColumn("_key", key)
+        .join(shadow.select(F.col("base").alias("_key"), "crossing"), "_key", "left")
+        .withColumn("shadow_from", F.when(F.col("base").isNotNull(), F.col("crossing")))
+        .drop("_key", "crossing", "base", "sub", "first_seen", "safe_listed")
+    )
+    rows = S.lookup(analysed, table, "domain").withColumns(
+        {"shadowing": B.reached("shadow_from"), "fast_flux": B.reached("flux_from")}
+    )
+    decided = S.decide(rows.drop("shadow_from", "flux_from"), settings, safe_list=True)
     return S.doh_bypass_override(decided.select(*keep, *S.VERDICT_COLUMNS), settings)

@@ -305,6 +305,17 @@ LISTED_VERDICT = {
 }
 
 
+def listed_names(
+    names: DataFrame, blocklist: DataFrame | None = None, whitelist: DataFrame | None = None
+) -> DataFrame:
+    """Add in_static_blocklist and, with a whitelist, whitelisted to distinct names."""
+    if blocklist is None:
+        names = names.withColumn("in_static_blocklist", F.lit(False))
+    else:
+        names = blocklist_match(names, blocklist)
+    return names if whitelist is None else whitelist_bypass(names, whitelist)
+
+
 def with_signals(
     df: DataFrame, blocklist: DataFrame | None = None, whitelist: DataFrame | None = None
 ) -> DataFrame:
@@ -313,13 +324,7 @@ def with_signals(
     Query logs repeat the same names, so this is far cheaper than scoring every row.
     """
     names = df.select("domain").filter("domain is not null").distinct()
-    if blocklist is None:
-        names = names.withColumn("in_static_blocklist", F.lit(False))
-    else:
-        names = blocklist_match(names, blocklist)
-    if whitelist is not None:
-        names = whitelist_bypass(names, whitelist)
-    return lookup(df, domain_signals(names), "domain")
+    return lookup(df, domain_signals(listed_names(names, blocklist, whitelist)), "domain")
 
 
 def decide(
