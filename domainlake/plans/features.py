@@ -1,7 +1,5 @@
 """Feature columns over every distinct name of the tables."""
 
-from pyspark.sql import functions as F
-
 from domainlake.constants import (
     FEATURE_COLUMNS, LEGACY_BIGRAMS, LEGACY_BRANDS, LEGACY_KEYWORDS, LEGACY_RISKY_TLDS,
 )

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from domainlake.operators import urls as U
 from domainlake.plans.catalog import query, ts_text
-from domainlake.plans.sqltext import host_feature, host_feed, host_full, host_train, quoted
+from domainlake.plans.sqltext import host_feature, host_feed, host_full, host_train
 from domainlake.plans.views import Views
 from domainlake.constants import REDIRECT_PARAMS
 

@@ -13,6 +13,7 @@ from domainlake.constants import HOSTS_LOCAL_NAMES, HOSTS_SINKS
 from domainlake.functions import urls as U
 from domainlake.functions.text import WHITESPACE_RUN, strip
 
+
 def _value() -> Column:
     return F.col("value")
 
