@@ -42,12 +42,12 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, size: int = 4 << 20)
 
 
 def map_slices(
-    df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema
+    df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, size: int = 4 << 20
 ) -> DataFrame:
     """Apply `work` to bounded slices of `df`; `column` is the one with the long texts."""
 
     def run(batches):
-        for piece in pieces(batches, column):
+        for piece in pieces(batches, column, size):
             out = work(piece)
             if out is not None and out.num_rows:
                 yield out

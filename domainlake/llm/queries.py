@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from domainlake.llm.common import table
+from domainlake.llm.packing import pack
 from domainlake.llm.simhash import near_duplicate_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +27,11 @@ def op10_simhash_components(spark, sf_dir):
     return found.select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+@query
+def op6_best_fit_packing(spark, sf_dir):
+    """Sequence and offset of every piece of every document."""
+    from public_tokenizers import path
+
+    return pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), capacity=1024, end_id=2)
