@@ -196,10 +196,10 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return [group for groups in open_.values() for group in groups]
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 4) -> list[tuple[tuple[int, ...], int]]:
+def plan(histogram: dict[int, int], capacity: int, rounds: int = 2) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in one sequence, how many such sequences) that hold every piece of the histogram.
 
-    In each round the patterns' repeat counts are fitted to what is left of the histogram and rounded;
+    In each round the patterns' repeat counts are fitted to what is left of the histogram and rounded down;
     the residual is packed by best fit. Time and memory depend on the capacity, not on the documents.
     """
     left = np.zeros(capacity + 1)
@@ -213,10 +213,10 @@ def plan(histogram: dict[int, int], capacity: int, rounds: int = 4) -> list[tupl
         repeats = fit_repeats(rows, left)
         placed = 0
         for k in np.argsort(-repeats, kind="stable"):
-            if repeats[k] < 0.5:
+            if repeats[k] < 0.9:
                 break
             own, each = np.unique(rows[k][rows[k] > 0], return_counts=True)
-            n = int(min(round(repeats[k]), (left[own] // each).min()))
+            n = int(min(repeats[k] + 0.1, (left[own] // each).min()))
             if n > 0:
                 left[own] -= n * each
                 groups.append((tuple(int(x) for x in rows[k] if x), n))

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from domainlake.llm.common import table
+from domainlake.llm.fingerprints import edit_fingerprints
 from domainlake.llm.packing import pack
+from domainlake.llm.secrets import secret_spans, spans_column
 from domainlake.llm.simhash import near_duplicate_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +37,24 @@ def op6_best_fit_packing(spark, sf_dir):
     from public_tokenizers import path
 
     return pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+@query
+def op3_secret_scan(spark, sf_dir):
+    """Counts and spans of secrets in every document."""
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(spans_column(F.col("base")), 256).alias("base_sha256"),
+        spans_column(F.concat("base", "added")).alias("spans"),
+    )
+
+
+@query
+def op5_order_minhash(spark, sf_dir):
+    """Order MinHash of every document, its edited text, and their likeness."""
+    return edit_fingerprints(table(spark, sf_dir, "documents"))
