@@ -113,24 +113,20 @@ def _link_batch(links):
 def fingerprint_links(prints: DataFrame, differences: int = 3, block: int = 4096) -> DataFrame:
     """Links (a, b) that join all distinct values of `prints(fp)` within `differences` bits of each other.
 
-    Fingerprints that share a variant are compared. Of a variant with two fingerprints the pair itself is
-    checked; one with more is cut into blocks of about `block`, and every two blocks are compared in a
-    task of their own, which returns a spanning forest of the links it finds instead of all pairs. So no
-    connection is lost and no task holds more than two blocks, however many fingerprints share a variant.
+    Fingerprints that share a variant are compared. One with more than `block` is cut into blocks, and
+    every two blocks are compared in a task of their own, which returns a spanning forest of the links it
+    finds instead of all pairs. So no connection is lost and no task holds more than two blocks, however
+    many fingerprints share a variant. The variants are shuffled once.
     """
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     masks = F.array(*[F.lit(m) for m in segment_masks(differences)])
-    variants = prints.select("fp", F.posexplode(masks).alias("v", "mask")).select(
-        "fp", "v", (F.col("fp").bitwiseAND(F.col("mask"))).alias("key")
-    )
-    shared = written(
-        variants.groupBy("v", "key")
-        .agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-        .where("n > 1"),
-        "variants",
-    )
-    pairs = shared.where((F.col("n") == 2) & F.expr(f"bit_count(a ^ b) <= {differences}")).select("a", "b")
-    crowded = (
-        variants.join(shared.where("n > 2").select("v", "key", "n"), ["v", "key"])
+    # Few bytes make many variants, so the fingerprints are spread over all tasks first.
+    variants = prints.repartition(parts, "fp").select("fp", F.posexplode(masks).alias("v", "mask"))
+    variants = variants.select("fp", F.col("v").cast("byte"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    sharing = F.count("*").over(Window.partitionBy("v", "key"))
+    blocks = (
+        variants.withColumn("n", sharing)
+        .where("n > 1")
         .withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -138,7 +134,7 @@ def fingerprint_links(prints: DataFrame, differences: int = 3, block: int = 4096
         .repartition("v", "key", "i", "j")
         .sortWithinPartitions("v", "key", "i", "j")
     )
-    return pairs.union(crowded.mapInArrow(_forests(differences), "a long, b long")).distinct()
+    return blocks.mapInArrow(_forests(differences), "a long, b long").distinct()
 
 
 def components(rows: DataFrame, differences: int = 3) -> DataFrame:
