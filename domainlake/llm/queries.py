@@ -9,20 +9,51 @@ from pyspark.sql import functions as F
 
 from domainlake.llm.common import table
 from domainlake.llm.fingerprints import edit_fingerprints
+from domainlake.llm.html import extract_main_text
 from domainlake.llm.packing import pack
 from domainlake.llm.secrets import secret_spans, spans_column
 from domainlake.llm.simhash import near_duplicate_components
+from domainlake.llm.topk import exact_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(job: Callable[[SparkSession, str], DataFrame]):
-    QUERIES[job.__name__] = job
-    return job
+def query(sql: str | None = None):
+    """Register a job under its name, with its SQL check where SQL can express it."""
 
+    def add(job: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[job.__name__] = job
+        if sql is not None:
+            ORACLES[job.__name__] = sql
+        return job
 
-@query
+    return add
+
+
+TOP_K = """
+with usable as (
+  select vec_id, [floor(1024 * x::double) for x in embedding] as codes
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+scored as (
+  select q.vec_id as query_id, v.vec_id, list_inner_product(q.codes, v.codes)::bigint as score
+  from usable q join usable v on q.vec_id % 100 = 0 and v.vec_id <> q.vec_id),
+ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 10
+"""
+
+
+@query(TOP_K)
+def op1_exact_top_k(spark, sf_dir):
+    """The ten nearest vectors, by inner product, of every hundredth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+@query()
 def op10_simhash_components(spark, sf_dir):
     """Component of near duplicates of every document."""
     found = near_duplicate_components(table(spark, sf_dir, "documents"))
@@ -31,7 +62,7 @@ def op10_simhash_components(spark, sf_dir):
     )
 
 
-@query
+@query()
 def op6_best_fit_packing(spark, sf_dir):
     """Sequence and offset of every piece of every document."""
     from public_tokenizers import path
@@ -39,7 +70,7 @@ def op6_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
-@query
+@query()
 def op3_secret_scan(spark, sf_dir):
     """Counts and spans of secrets in every document."""
     found = secret_spans(table(spark, sf_dir, "documents"))
@@ -54,7 +85,13 @@ def op3_secret_scan(spark, sf_dir):
     )
 
 
-@query
+@query()
 def op5_order_minhash(spark, sf_dir):
     """Order MinHash of every document, its edited text, and their likeness."""
     return edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_line_block_text(spark, sf_dir):
+    """Main text of every page."""
+    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
