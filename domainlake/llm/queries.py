@@ -13,6 +13,7 @@ from domainlake.llm.html import extract_main_text
 from domainlake.llm.packing import pack
 from domainlake.llm.secrets import secret_spans, spans_column
 from domainlake.llm.simhash import near_duplicate_components
+from domainlake.llm.substrings import remove_repeated_spans
 from domainlake.llm.topk import exact_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +96,10 @@ def op5_order_minhash(spark, sf_dir):
 def op8_line_block_text(spark, sf_dir):
     """Main text of every page."""
     return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query()
+def op7_de_bruijn_substrings(spark, sf_dir):
+    """What is left of every document without spans that an earlier one holds."""
+    found = remove_repeated_spans(table(spark, sf_dir, "documents"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
