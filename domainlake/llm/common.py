@@ -114,3 +114,44 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     starts, ends = word_spans(data)
     first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))
     return data, starts, ends, first
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> DataFrame:
+    """(doc_id, text, label) of up to `most[value]` documents for each label value, by a hash of the id.
+
+    Held-out ids are left out, and so are null labels and ids with two labels; of documents with equal
+    doc_id one is taken. The result is bounded by `most` whatever the tables' sizes.
+    """
+    rows = (
+        labels.where(~held_out("doc_id") & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+        .groupBy("doc_id")
+        .agg(F.min(label).alias("label"), F.max(label).alias("other"))
+        .where("label = other")
+    )
+    taken = [
+        rows.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id", "label")
+        for value, n in most.items()
+    ]
+    chosen = taken[0]
+    for part in taken[1:]:
+        chosen = chosen.union(part)
+    # The ids are bounded by `most`, 16 bytes each, so they go to every task.
+    return (
+        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        .join(F.broadcast(chosen), "doc_id")
+        .dropDuplicates(["doc_id"])
+    )
+
+
+def logistic_scale(margins: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """(a, b) of the sigmoid 1 / (1 + exp(-(a * margin + b))) that fits the labels best, by Newton steps."""
+    x = np.stack([margins, np.ones_like(margins)], axis=1)
+    w = np.array([1.0, 0.0])
+    positive, negative = labels.sum(), len(labels) - labels.sum()
+    target = np.where(labels > 0, (positive + 1) / (positive + 2), 1 / (negative + 2))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (p - target) + 1e-3 * w
+        curve = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        w = w - np.linalg.solve(curve, slope)
+    return float(w[0]), float(w[1])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domainlake.llm.common import table
+from domainlake.llm.common import held_out, table
 from domainlake.llm.fingerprints import edit_fingerprints
 from domainlake.llm.html import extract_main_text
 from domainlake.llm.packing import pack
@@ -15,6 +15,7 @@ from domainlake.llm.secrets import secret_spans, spans_column
 from domainlake.llm.simhash import near_duplicate_components
 from domainlake.llm.substrings import remove_repeated_spans
 from domainlake.llm.topk import exact_top_k
+from domainlake.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +104,13 @@ def op7_de_bruijn_substrings(spark, sf_dir):
     """What is left of every document without spans that an earlier one holds."""
     found = remove_repeated_spans(table(spark, sf_dir, "documents"), window=50)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query()
+def op2_subsequence_svm_toxicity(spark, sf_dir):
+    """Toxicity score of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = score_toxicity(docs.select("doc_id", "text"), fit_toxicity(docs, labels))
+    return scored.select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
