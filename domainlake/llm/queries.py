@@ -11,6 +11,7 @@ from domainlake.llm.common import held_out, table
 from domainlake.llm.fingerprints import edit_fingerprints
 from domainlake.llm.html import extract_main_text
 from domainlake.llm.packing import pack
+from domainlake.llm.quality import fit_neighbours, score_quality
 from domainlake.llm.secrets import secret_spans, spans_column
 from domainlake.llm.simhash import near_duplicate_components
 from domainlake.llm.substrings import remove_repeated_spans
@@ -114,3 +115,13 @@ def op2_subsequence_svm_toxicity(spark, sf_dir):
     return scored.select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query()
+def op9_nearest_neighbour_quality(spark, sf_dir):
+    """Quality score of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = score_quality(docs.select("doc_id", "text"), fit_neighbours(docs, labels))
+    return scored.select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
