@@ -42,7 +42,7 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, size: int = 4 << 20)
 
 
 def map_slices(
-    df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, size: int = 4 << 20
+    df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, size: int = 2 << 20
 ) -> DataFrame:
     """Apply `work` to bounded slices of `df`; `column` is the one with the long texts."""
 
@@ -96,6 +96,16 @@ def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: i
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """Hash of every word of UTF-8 bytes, some words at a time so that memory stays near the text's."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    for a in range(0, len(starts), step):
+        own, begin = slice(a, a + step), starts[a]
+        part = data[begin : ends[own][-1]]
+        out[own] = spans_hash(BYTE_CODES[part], starts[own] - begin, ends[own] - begin)
+    return out
+
+
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words (runs without ASCII white space) of UTF-8 bytes."""
     inside = np.zeros(len(data) + 2, dtype=np.int8)
@@ -116,8 +126,10 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return data, starts, ends, first
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> DataFrame:
-    """(doc_id, text, label) of up to `most[value]` documents for each label value, by a hash of the id.
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], extra: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc_id, text, *extra, label) of up to `most[value]` documents for each label value, by a hash of the id.
 
     Held-out ids are left out, and so are null labels and ids with two labels; of documents with equal
     doc_id one is taken. The result is bounded by `most` whatever the tables' sizes.
@@ -137,7 +149,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[i
         chosen = chosen.union(part)
     # The ids are bounded by `most`, 16 bytes each, so they go to every task.
     return (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra)
         .join(F.broadcast(chosen), "doc_id")
         .dropDuplicates(["doc_id"])
     )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from domainlake.llm.common import BYTE_CODES, mix, spans_hash, word_spans
+from domainlake.llm.common import mix, word_hashes, word_spans
 
 #: Hash functions, words in a k-mer, and k-mers in a tuple.
 FUNCTIONS, KMER, TUPLE = 64, 2, 2
@@ -30,7 +30,7 @@ def kmer_hashes(text: bytes) -> np.ndarray:
     starts, ends = word_spans(data)
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    words = spans_hash(BYTE_CODES[data], starts, ends)
+    words = word_hashes(data, starts, ends)
     k = min(KMER, len(words))
     hashes = mix(sum(words[i : len(words) - k + 1 + i] * _SEEDS[i] for i in range(k)))
     order = np.argsort(hashes, kind="stable")

@@ -11,8 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from domainlake.llm.common import BYTE_CODES, labelled_sample, map_slices, spans_hash, text_bytes, words_of
-from domainlake.session import written
+from domainlake.llm.common import labelled_sample, map_slices, text_bytes, word_hashes, words_of
 
 #: Labelled documents of each label that vote, at most, and numbers of hashed word and shape terms.
 SAMPLE = {0: 1500, 1: 3500}
@@ -40,7 +39,7 @@ def term_counts(texts: list[bytes]) -> np.ndarray:
     if not len(starts):
         return out
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
-    hashes = spans_hash(BYTE_CODES[data], starts, ends)
+    hashes = word_hashes(data, starts, ends)
     _, once, which = np.unique(hashes, return_index=True, return_inverse=True)
     raw = data.tobytes()
     shapes = [shape(raw[a:b]) for a, b in zip(starts[once].tolist(), ends[once].tolist())]
@@ -105,34 +104,49 @@ def weighted(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0).astype(np.float32)
 
 
-def fit_neighbours(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None, axes: int = 48):
-    """Neighbours from the labelled documents that are not held out, up to `sample` of each label.
-
-    Term weights are inverse document frequencies in the sample; the latent space has the sample's `axes`
-    largest singular directions. None without labelled documents.
-    """
-    rows = labelled_sample(docs, labels, "quality", sample or SAMPLE)
+def sample_counts(rows: DataFrame) -> tuple[np.ndarray, list]:
+    """Term counts and labels of a bounded sample `rows(doc_id, text, label)`, by doc_id."""
 
     def work(batch):
-        counts = term_counts(text_bytes(batch.column("text")))
-        raw = pa.array([c.tobytes() for c in counts.astype(np.float16)], pa.binary())
+        counts = np.minimum(term_counts(text_bytes(batch.column("text"))), 60000).astype(np.float16)
+        raw = pa.array([c.tobytes() for c in counts], pa.binary())
         columns = [batch.column("doc_id"), batch.column("label"), raw]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "raw"])
 
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("label").cast("int").alias("label"))
-    chosen = written(map_slices(rows, "text", work, "doc_id long, label int, raw binary"), "quality-sample")
-    found = sorted(chosen.collect(), key=lambda r: r["doc_id"])  # bounded by the sample
-    if not found:
-        return None
-    counts = np.stack([np.frombuffer(r["raw"], dtype=np.float16) for r in found]).astype(np.float32)
-    counts = np.minimum(counts, 60000)
-    truth = np.array([r["label"] for r in found], dtype=float)
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
+    kind = rows.schema["label"].dataType.simpleString()
+    found = map_slices(rows, "text", work, f"doc_id long, label {kind}, raw binary").collect()
+    found = sorted(found, key=lambda r: r["doc_id"])
+    counts = [np.frombuffer(r["raw"], dtype=np.float16) for r in found]
+    return np.array(counts, dtype=np.float32).reshape(-1, TERMS), [r["label"] for r in found]
+
+
+def term_weights(counts: np.ndarray, words: float) -> np.ndarray:
+    """Inverse document frequencies; hashed words count `words` times as much as forms."""
     seen = (counts > 0).sum(axis=0)
     weights = np.where(seen > 0, np.log((1 + len(counts)) / (1 + seen)) + 0.3, 0).astype(np.float32)
-    weights[:WORDS] *= 0.2  # single words tell less about quality than form does
-    rows = weighted(counts, weights)
+    weights[:WORDS] *= words
+    return weights
+
+
+def latent_axes(rows: np.ndarray, axes: int) -> np.ndarray:
+    """The `axes` largest right singular directions of some rows."""
     _, vectors = np.linalg.eigh((rows.T @ rows).astype(np.float64))
-    model = Neighbours(weights, vectors[:, ::-1][:, :axes].astype(np.float32), np.zeros((0, axes)), truth)
+    return vectors[:, ::-1][:, :axes].astype(np.float32)
+
+
+def fit_neighbours(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None, axes: int = 48):
+    """Neighbours from the labelled documents that are not held out, up to `sample` of each label.
+
+    Term weights are inverse document frequencies in the sample; the latent space has the sample's `axes`
+    largest singular directions. Single words tell less about quality than form does and count a fifth.
+    None without labelled documents.
+    """
+    counts, truth = sample_counts(labelled_sample(docs, labels, "quality", sample or SAMPLE))
+    if not truth:
+        return None
+    weights = term_weights(counts, 0.2)
+    model = Neighbours(weights, latent_axes(weighted(counts, weights), axes), np.zeros((0, axes)), np.array(truth, dtype=float))
     model.vectors = model.project(counts)
     return model
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from domainlake.llm.common import held_out, table
 from domainlake.llm.fingerprints import edit_fingerprints
 from domainlake.llm.html import extract_main_text
+from domainlake.llm.mixing import document_rates
 from domainlake.llm.packing import pack
 from domainlake.llm.quality import fit_neighbours, score_quality
 from domainlake.llm.secrets import secret_spans, spans_column
@@ -125,3 +126,10 @@ def op9_nearest_neighbour_quality(spark, sf_dir):
     return scored.select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
+
+
+@query()
+def op4_soft_membership_mixing(spark, sf_dir):
+    """Rate and copies of every document for the target weights of domains."""
+    rated = document_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rated.select("doc_id", "tokens", "domains", F.transform("p", lambda x: F.round(x, 6)).alias("p"), "rate", "copies")

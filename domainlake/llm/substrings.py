@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from domainlake.llm.common import BYTE_CODES, map_slices, mix, spans_hash, text_bytes, words_of
+from domainlake.llm.common import map_slices, mix, spans_hash, text_bytes, word_hashes, words_of
 from domainlake.session import written
 
 KMER = 16
@@ -32,7 +32,7 @@ class Words:
 
     def __init__(self, texts: list[bytes]):
         self.data, self.starts, self.ends, self.first = words_of(texts)
-        self.hashes = spans_hash(BYTE_CODES[self.data], self.starts, self.ends)
+        self.hashes = word_hashes(self.data, self.starts, self.ends)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
     def paths(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

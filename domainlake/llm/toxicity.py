@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from domainlake.llm.common import BYTE_CODES, labelled_sample, logistic_scale, map_slices, spans_hash, text_bytes, words_of
+from domainlake.llm.common import labelled_sample, logistic_scale, map_slices, text_bytes, word_hashes, words_of
 from domainlake.session import written
 
 #: Decay of the kernel for each character a subsequence spans, and the longest span.
@@ -136,7 +136,7 @@ class Kernel:
         none = np.zeros(0, dtype=np.int64), np.zeros((0, len(self.landmarks)), dtype=np.float32)
         if not len(starts):
             return none
-        hashes = spans_hash(BYTE_CODES[data], starts, ends)
+        hashes = word_hashes(data, starts, ends)
         _, once, which = np.unique(hashes, return_index=True, return_inverse=True)
         codes = folded(data)
         letters = np.concatenate([[0], np.cumsum(codes > 0)])
