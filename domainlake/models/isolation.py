@@ -114,7 +114,11 @@ def train_isolation_forest(
     sample = tree_samples(legit, trees, psi, seed, id_col).withColumn("_seed", F.lit(seed))
     columns = ["tree", "_order", "_seed", *FEATURE_COLUMNS]
     grown = sample.select(*columns).groupBy("tree").applyInPandas(grow_tree, NODE_SCHEMA)
-    forest = IsolationForest(written(grown, "isolation-nodes"), psi, 0.0)
+    nodes = written(grown, "isolation-nodes")
+    # Fewer rows than psi make smaller trees; scores are normalised by the rows a tree holds.
+    held = nodes.where("node = 0").agg(F.max("size").alias("n")).first()["n"]
+    psi = min(psi, held or psi)
+    forest = IsolationForest(nodes, psi, 0.0)
     scores = legit.select(score_column(forest).alias("score"))
     offset = scores.agg(
         F.percentile_approx("score", settings["contamination"], 100_000).alias("q")

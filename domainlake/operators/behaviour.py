@@ -20,11 +20,14 @@ def rate_limit_flags(
     and takes one away just after it has aged out of the window, so `recent` is a running sum: a
     sliding frame would add up the whole window again for every row. Time is cut into spans of
     `slices` windows and each span is its own window partition; rows of the last window before a
-    span are copied into it as context, so counts stay exact and a busy client uses many tasks.
+    span are copied into it as context, so counts stay exact and a busy client uses many tasks. Queries
+    without a timestamp are kept with `recent` 0, never limited.
     """
     width = int(seconds * 1_000_000)
     span = width * slices
-    own = F.floor(F.col("_t") / span)
+    # Without a timestamp a query goes to one of many spans of its own kind, far below all others.
+    timeless = F.lit(-(1 << 50)) - F.pmod(F.xxhash64(*log.columns), F.lit(4096))
+    own = F.coalesce(F.floor(F.col("_t") / span), timeless)
     borders_next = F.col("_t") >= (own + 1) * span - width
     spans = F.when(borders_next, F.array(own, own + 1)).otherwise(F.array(own))
     steps = F.array(

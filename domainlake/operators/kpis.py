@@ -3,13 +3,17 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from domainlake.operators.scoring import canonical_threat_type
+
+
 def newest() -> list[Column]:
     """Newest first, with the id as tie-break."""
     return [F.desc("ts"), F.desc("id")]
 
 
 def _counts() -> dict[str, Column]:
-    kind = F.col("threat_type")
+    """Counters by reporting vocabulary; the engine's own kinds count under their reporting names."""
+    kind = canonical_threat_type(F.col("threat_type"))
     return {
         "total": F.count(F.lit(1)),
         "blocked": F.count_if(F.col("blocked")),

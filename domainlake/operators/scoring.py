@@ -332,16 +332,17 @@ def decide(
 ) -> DataFrame:
     """Verdict columns for rows from `with_signals`; list and error verdicts replace the score.
 
-    Precedence, strongest first: safe list, row error, whitelist, blocklist, score.
+    Precedence, strongest first: safe list, whitelist, blocklist, row error, score. A listed name needs
+    no model output to be blocked.
     """
-    out = verdicts(rows.withColumn("_error", row_error(rows)), settings)
-    out = _override(out, F.col("in_static_blocklist"), LISTED_VERDICT)
+    listed = F.coalesce("in_static_blocklist", F.lit(False))
+    out = verdicts(rows.withColumn("_error", F.when(~listed, row_error(rows))), settings)
+    out = _override(out, F.col("_error").isNotNull(), {**SAFE_VERDICT, "threat_type": "ERROR"})
+    out = out.withColumn("reason", F.coalesce("_error", "reason"))
+    out = _override(out, listed, LISTED_VERDICT)
     if "whitelisted" in out.columns:
         bypass = {"score": 0, "threat_type": "None", "reason": "Whitelisted", "blocked": False}
-        out = _override(out, F.col("whitelisted"), bypass)
-    failed = F.col("_error").isNotNull()
-    out = _override(out, failed, {**SAFE_VERDICT, "threat_type": "ERROR"})
-    out = out.withColumn("reason", F.coalesce("_error", "reason"))
+        out = _override(out, F.coalesce("whitelisted", F.lit(False)), bypass)
     if safe_list:
         out = _override(
             safe_list_passthrough(out, settings), F.col("safe_listed"), SAFE_VERDICT

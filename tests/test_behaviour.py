@@ -142,6 +142,13 @@ def test_clean_corpus_keeps_the_first_row(spark):
 LOG = "id long, ts timestamp, client_ip string, domain string, blocked boolean, threat_type string, threat_score double"
 
 
+def test_queries_without_a_timestamp_are_kept(spark):
+    rows = [(i, None if i % 2 else START, "c", "a.b.com") for i in range(80)]
+    log = spark.createDataFrame(rows, "id long, ts timestamp, client_ip string, domain string")
+    got = {r["id"]: (r["recent"], r["rate_limited"]) for r in B.rate_limit_flags(log, limit=30).collect()}
+    assert got == {i: (0, False) if i % 2 else (40, True) for i in range(80)}
+
+
 def test_kpis_on_an_empty_log(spark):
     empty = spark.createDataFrame([], LOG)
     assert kpis.block_rate(empty).first()["block_rate"] == 0.0
