@@ -341,7 +341,7 @@ def decide(
     out = out.withColumn("reason", F.coalesce("_error", "reason"))
     out = _override(out, listed, LISTED_VERDICT)
     if "whitelisted" in out.columns:
-        bypass = {"score": 0, "threat_type": "None", "reason": "Whitelisted", "blocked": False}
+        bypass = {"score": 0, "threat_type": "None", "reason": K.WHITELIST_REASON, "blocked": False}
         out = _override(out, F.coalesce("whitelisted", F.lit(False)), bypass)
     if safe_list:
         out = _override(
