@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from domainlake.llm.common import table
 from domainlake.llm.mixing import mix
+from domainlake.llm.near_copies import drop_near_copies
 from domainlake.llm.packing import pack
 from domainlake.llm.secrets import redact_secrets
-from domainlake.llm.simhash import drop_near_duplicates
 from domainlake.llm.toxicity import drop_toxic
 from domainlake.session import written
 
@@ -21,8 +21,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates stays, the one with the smallest doc_id."""
-    return drop_near_duplicates(docs)
+    """One document of every group of texts with 0.8 or more of their five-word shingles in common stays."""
+    return drop_near_copies(docs, shingle=5, least=0.8)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

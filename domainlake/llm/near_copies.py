@@ -1,0 +1,195 @@
+"""Near copies by verified shingle similarity; SimHash variants and min-hash bands find the candidates."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from domainlake.llm.common import map_slices, spans_hash, text_bytes, word_hashes, words_of
+from domainlake.llm.components import connected_components
+from domainlake.llm.simhash import BITS, segment_masks
+from domainlake.session import written
+
+#: Two texts of similarity 0.8 share one of 32 bands of 8 minima with probability 0.997.
+BANDS, ROWS = 32, 8
+_MULTIPLIERS = np.random.default_rng(8).integers(0, 1 << 31, size=BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the word shingles of every text, ASCII letters in lower case.
+
+    A text with fewer words has one shingle, all of it, and a text without words has none.
+    """
+    data, starts, ends, first = words_of([t.lower() for t in texts])
+    words = word_hashes(data, starts, ends)
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        if a == b:
+            out.append(np.zeros(0, dtype=np.uint64))
+            continue
+        begins = np.arange(max(1, b - a - shingle + 1))
+        out.append(np.unique(spans_hash(words[a:b], begins, np.minimum(begins + shingle, b - a))))
+    return out
+
+
+def bands_of(shingles: np.ndarray, step: int = 2048) -> np.ndarray:
+    """One number for each band of minima of a set; sets that share a band's minima share its number."""
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for k in range(0, len(short), step):
+        np.minimum(least, (short[k : k + step][None, :] * _MULTIPLIERS[:, None]).min(axis=1), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), 7) for r in rows], dtype=np.uint64)
+
+
+def simhash(shingles: np.ndarray) -> int:
+    """Bit b is set if it is set in over half of the hashes."""
+    counts = np.zeros(BITS, dtype=np.int64)
+    for k in range(0, len(shingles), 4096):
+        part = shingles[k : k + 4096].view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(shingles), bitorder="little").view("<u8")[0])
+
+
+def with_sketches(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """`docs` with set_id (equal for equal shingle sets), the SimHash fp, and the bands of the set."""
+
+    def work(batch):
+        sets = shingle_sets(text_bytes(batch.column(text)), shingle)
+        ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), 5) for s in sets], dtype=np.uint64).view(np.int64)
+        fps = np.array([simhash(s) for s in sets], dtype=np.uint64).view(np.int64)
+        bands = [bands_of(s).view(np.int64) for s in sets]
+        columns = [pa.array(ids), pa.array(fps), pa.array(bands, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "set_id", "fp", "bands"])
+
+    added = [T.StructField("set_id", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    return map_slices(docs, text, work, T.StructType([*docs.schema.fields, *added]))
+
+
+def similar_forest(ids: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest over the graph of sets with a Jaccard similarity of `least` or more."""
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(s) for s in sets])
+    own = np.split(codes, np.cumsum(sizes)[:-1])
+    marked = np.zeros(int(codes.max(initial=-1)) + 1, dtype=bool)
+    rest, links = np.arange(len(sets)), []
+    while rest.size > 1:
+        stack, rest = [rest[0]], rest[1:]
+        while stack and rest.size:
+            at = stack.pop()
+            close = (sizes[rest] >= least * sizes[at] - 1e-9) & (sizes[at] >= least * sizes[rest] - 1e-9)
+            tried = rest[close]
+            if not tried.size:
+                continue
+            marked[own[at]] = True
+            shared = np.array([np.count_nonzero(marked[own[k]]) for k in tried])
+            marked[own[at]] = False
+            near = tried[shared >= least * (sizes[at] + sizes[tried] - shared) - 1e-9]
+            if near.size:
+                links += [(ids[at], ids[k]) for k in near]
+                stack.extend(near)
+                rest = rest[~np.isin(rest, near)]
+    return links
+
+
+def _similar_forests(least: float):
+    """mapInArrow over rows sorted by group (root, i, j): the forest of each group."""
+
+    def work(batches):
+        held_key, ids, sets = None, [], []
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j"))))
+            for key, set_id, raw in zip(keys, batch.column("set_id").to_pylist(), batch.column("shingles").to_pylist()):
+                if key != held_key:
+                    if len(ids) > 1:
+                        yield _link_batch(similar_forest(ids, sets, least))
+                    held_key, ids, sets = key, [], []
+                ids.append(set_id)
+                sets.append(np.frombuffer(raw, dtype=np.uint64))
+        if len(ids) > 1:
+            yield _link_batch(similar_forest(ids, sets, least))
+
+    return work
+
+
+def _link_batch(links):
+    pairs = np.array(links, dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def candidate_groups(sketches: DataFrame, differences: int) -> DataFrame:
+    """(node, root) of every row of `sketches(set_id, fp, bands)` that may be near another one.
+
+    Two sets are joined if they share a band, or if their fingerprints differ in at most `differences` bits.
+    """
+    masks = F.array(*[F.lit(m) for m in segment_masks(differences)])
+    variants = F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))
+    parts = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = sketches.repartition(parts, "set_id").select("set_id", F.posexplode(F.concat("bands", variants)).alias("v", "key"))
+    keys = keys.withColumn("v", F.col("v").cast("short"))
+    first = F.min("set_id").over(Window.partitionBy("v", "key"))
+    return connected_components(keys.withColumn("first", first).where("first < set_id").select("set_id", "first").distinct())
+
+
+def similar_links(texts: DataFrame, text: str, shingle: int, least: float, block: int = 1024) -> DataFrame:
+    """Links (a, b) that join all sets within a group of `texts(root, set_id, text)` with that similarity.
+
+    A group of more than `block` sets is cut into blocks, and every two blocks are compared in a task of
+    their own, which returns a spanning forest of the links it finds, so that no link between sets is lost.
+    """
+    kept = ["root", "set_id", "blocks", "own"]
+
+    def work(batch):
+        raw = [s.tobytes() for s in shingle_sets(text_bytes(batch.column(text)), shingle)]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(raw, pa.binary())], names=[*kept, "shingles"])
+
+    placed = texts.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn(
+        "own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
+    )
+    sets = map_slices(placed.select(*kept, text), text, work, "root long, set_id long, blocks int, own int, shingles binary")
+    pairs = (
+        sets.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        .select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_id", "shingles")
+        .repartition("root", "i", "j")
+        .sortWithinPartitions("root", "i", "j")
+    )
+    return pairs.mapInArrow(_similar_forests(least), "a long, b long").distinct()
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, differences: int = 3) -> DataFrame:
+    """`docs` with one row of each component of near copies, a row with its smallest doc_id.
+
+    Two texts are near copies if the Jaccard similarity of their sets of word shingles is `least` or more;
+    every link is verified on the whole sets. Candidates share a min-hash band or a SimHash variant of
+    `differences` bits: a pair of similarity 0.8 is missed with probability 0.003, and less above. Texts
+    with equal sets are copies, and so are null and empty texts. Of several rows with the smallest doc_id
+    (nulls last) the one whose text has the smallest hash stays. All columns are returned unchanged,
+    whatever their names.
+    """
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # no clash with columns added here
+    doc_id, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    keyed = written(with_sketches(plain, text, shingle).withColumn("row", F.monotonically_increasing_id()), "sketched")
+    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"), "row")
+    first = keyed.groupBy("set_id").agg(F.min(order).alias("best"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
+    first = written(first, "sets")
+    groups = written(candidate_groups(first.select("set_id", "fp", "bands"), differences), "groups")
+    members = (
+        first.select("set_id", F.col("best.row").alias("row"))
+        .join(groups.withColumnRenamed("node", "set_id"), "set_id")
+        .join(groups.groupBy("root").agg(F.count("*").alias("n")), "root")
+    )
+    texts = members.join(keyed.select("row", text), "row")
+    linked = connected_components(similar_links(texts, text, shingle, least)).withColumnRenamed("node", "set_id")
+    kept = (
+        first.select("set_id", "best")
+        .join(linked, "set_id", "left")
+        .groupBy(F.coalesce("root", "set_id").alias("class"))
+        .agg(F.min("best").alias("best"))
+        .select(F.col("best.row").alias("row"))
+    )
+    rows = keyed.join(kept, "row", "left_semi")
+    return rows.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

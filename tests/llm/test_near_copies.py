@@ -1,0 +1,72 @@
+import random
+
+import corpus_pipeline
+from domainlake.llm import near_copies
+
+SCHEMA = "doc_id long, text string, row string, set_id string, lang string"
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def first_of_components(sets):
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if root[a] != root[b] and similar(sets[a], sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    return {k for k, r in enumerate(root) if r == k}
+
+
+def edited(rng, words, share):
+    """Words with some changed, so that about `share` of the five-word shingles of both stay in common."""
+    out = list(words)
+    while True:
+        out[rng.randrange(len(out))] = f"new{rng.getrandbits(30)}"
+        a, b = shingles(" ".join(words)), shingles(" ".join(out))
+        if len(a & b) / len(a | b) < share + 0.02:
+            return out if len(a & b) / len(a | b) >= share else edited(rng, words, share)
+
+
+def made(rng):
+    texts = []
+    for k in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(150, 600))]
+        texts.append(" ".join(words))
+        for share in (0.95, 0.9, 0.85, 0.8, 0.74):
+            texts.append(" ".join(edited(rng, words, share)).upper() if k % 2 else " ".join(edited(rng, words, share)))
+    return texts + ["", None, " \n", "one", "one two", "ONE two", "é" * 9, "x" * 200000, "word " * 30000, "word " * 20000]
+
+
+def test_near_copies_equal_brute_force(spark):
+    texts = made(random.Random(4))
+    docs = spark.createDataFrame([(k, t, "r", "s", "en") for k, t in enumerate(texts)], SCHEMA)
+    want = first_of_components([shingles(t) for t in texts])
+    for rows in (corpus_pipeline.near_duplicates(spark, docs, ""), near_copies.drop_near_copies(docs.repartition(7))):
+        assert rows.columns == docs.columns
+        got = {r["doc_id"]: r["text"] for r in rows.collect()}
+        assert set(got) == want and all(texts[k] == t for k, t in got.items())
+    assert near_copies.drop_near_copies(docs.limit(0)).count() == 0
+    same = spark.createDataFrame([(1, "a b", "r", "s", "en"), (1, "a B", "r", "s", "en"), (None, "a b", "r", "s", "en")], SCHEMA)
+    assert [r["doc_id"] for r in near_copies.drop_near_copies(same).collect()] == [1]
+
+
+def test_forests_in_blocks_lose_no_link(spark):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(200)]
+    texts = list(dict.fromkeys(" ".join(edited(rng, words, 0.82)) for _ in range(60)))
+    rows = spark.createDataFrame([(0, k, t, len(texts)) for k, t in enumerate(texts)], "root long, set_id long, t string, n long")
+    sets = [shingles(t) for t in texts]
+    root = {k: k for k in range(len(texts))}
+    for r in near_copies.similar_links(rows, "t", 5, 0.8, block=8).collect():
+        assert similar(sets[r["a"]], sets[r["b"]])
+        old, new = max(root[r["a"]], root[r["b"]]), min(root[r["a"]], root[r["b"]])
+        root = {k: new if x == old else x for k, x in root.items()}
+    assert {k for k, r in root.items() if k == r} == first_of_components(sets)
