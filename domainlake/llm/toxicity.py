@@ -11,11 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from domainlake.llm.common import labelled_sample, logistic_scale, map_slices, text_bytes, word_hashes, words_of
+from domainlake.llm.common import BASE, labelled_sample, logistic_scale, map_slices, text_bytes, word_hashes, words_of
 from domainlake.session import written
 
 #: Decay of the kernel for each character a subsequence spans, and the longest span.
 DECAY, SPAN = 0.6, 9
+#: Longer words are read by windows of a landmark with so many gaps, one every STEP, in sections of SECTION
+#: bytes that count as sentences.
+LONG, GAPS, STEP, SECTION = 32, 4, 4, 64
 #: Documents of each label to learn from, at most.
 SAMPLE = {1: 4000, 0: 8000}
 LANDMARKS, CANDIDATES = 64, 600
@@ -71,6 +74,19 @@ def coded_triples(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where((a > 0) & (b > 0) & (c > 0), (a << 12) | (b << 6) | c, 0), weights
 
 
+def windows(lengths: np.ndarray, reach: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word, begin within it, and length of every window of at most `reach` over words of these lengths.
+
+    A word of up to `reach` is one window. The windows of a longer one begin every `step`, and the last
+    one ends with the word.
+    """
+    more = np.maximum(0, -(-(lengths - reach) // step))
+    word = np.repeat(np.arange(len(lengths)), more + 1)
+    begins = (np.arange(len(word)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)) * step
+    begins = np.minimum(begins, np.maximum(0, lengths[word] - reach))
+    return word, begins, np.minimum(lengths[word], reach)
+
+
 @dataclass
 class Kernel:
     """Kernel values of words against fixed landmark strings, relative to each landmark's own."""
@@ -87,18 +103,42 @@ class Kernel:
                     found[n] += w
             maps.append(found)
         known = sorted({n for m in maps for n in m})
+        sizes = np.array([len(t.encode()) for t in self.landmarks])
+        bounds = zip((0, 5, 7, 10, 16), (5, 7, 10, 16, 1 << 30))
+        groups = [np.flatnonzero((sizes > a) & (sizes <= b)) for a, b in bounds]
+        #: Landmarks of about one size, and the window that holds them with gaps at any place between two steps.
+        self.groups = [(g, int(sizes[g].max()) + GAPS + STEP - 1) for g in groups if len(g)]
         self.index = np.full(1 << 18, -1, dtype=np.int32)
         self.index[known] = np.arange(len(known))
         self.rows = np.zeros((len(known), len(maps)), dtype=np.float32)
+        self.held = np.zeros_like(self.rows)
         for k, m in enumerate(maps):
             own = sum(w * w for w in m.values()) or 1.0
             for n, w in m.items():
                 self.rows[self.index[n], k] = w / own
+                self.held[self.index[n], k] = w
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Kernel of every word with every landmark, at most 1, squared to part matches from chance."""
+        """Kernel of every word with every landmark, at most 1, squared to part matches from chance.
+
+        A word longer than LONG has the largest kernel of its windows, each as long as a landmark with gaps,
+        so that chance triples don't add up over its length.
+        """
         out = np.zeros((len(starts), len(self.landmarks)), dtype=np.float32)
-        lengths = ends - starts
+        sizes = ends - starts
+        short, long = np.flatnonzero(sizes <= LONG), np.flatnonzero(sizes > LONG)
+        self._windows(out, data, short, starts[short], sizes[short], np.arange(len(self.landmarks)))
+        for columns, reach in self.groups:
+            word, begins, lengths = windows(sizes[long], reach, STEP)
+            self._windows(out, data, long[word], starts[long[word]] + begins, lengths, columns, capped=True)
+        return np.minimum(out, 1.0) ** 2
+
+    def _windows(self, out, data, word, begins, lengths, columns, capped=False):
+        """Raise the kernels of words (ascending) with some landmarks to the largest of their windows.
+
+        If `capped`, a triple counts at most as much as the landmark itself holds of it.
+        """
+        rows, held = self.rows[:, columns], self.held[:, columns]
         order = np.argsort(lengths, kind="stable")
         cuts = np.flatnonzero(np.diff(lengths[order])) + 1
         for group in np.split(order, cuts):
@@ -107,47 +147,55 @@ class Kernel:
                 continue
             per = max(1, (1 << 19) // (m * SPAN * SPAN // 2))
             for a in range(0, len(group), per):
-                self._add(out, group[a : a + per], data, starts, m)
-        return np.minimum(out, 1.0) ** 2
-
-    def _add(self, out, part, data, starts, m, most: int = 4096):
-        """Add the kernels of words of m bytes; of longer words than `most` piece by piece."""
-        for begin in range(0, max(1, m - SPAN + 1), most):
-            end = min(m, begin + most + SPAN - 1)
-            codes = data[starts[part][:, None] + np.arange(begin, end)]
-            numbers, weights = coded_triples(codes)
-            if begin + most < m - SPAN + 1:  # triples that begin in the next piece are counted there
-                numbers = np.where(_TRIPLES[end - begin][0][0] < most, numbers, 0)
-            found = self.index[numbers]
-            word, triple = np.nonzero(found >= 0)
-            if len(word):
-                terms = self.rows[found[word, triple]] * weights[triple][:, None]
-                first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-                out[part[word[first]]] += np.add.reduceat(terms, first, axis=0)
+                part = group[a : a + per]
+                numbers, weights = coded_triples(data[begins[part][:, None] + np.arange(m)])
+                found = self.index[numbers]
+                window, triple = np.nonzero(found >= 0)
+                if not len(window):
+                    continue
+                number, weight = found[window, triple], weights[triple]
+                if capped:
+                    both, which = np.unique(window * len(rows) + number, return_inverse=True)
+                    window, number = np.divmod(both, len(rows))
+                    weight = np.bincount(which, weight).astype(np.float32)
+                    terms = rows[number] * np.minimum(weight[:, None], held[number])
+                else:
+                    terms = rows[number] * weight[:, None]
+                first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
+                sums, of = np.add.reduceat(terms, first, axis=0), word[part][window[first]]
+                first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+                at = np.ix_(of[first], columns)
+                out[at] = np.maximum(out[at], np.maximum.reduceat(sums, first, axis=0))
 
     def sentences(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Text number and features of every sentence that has a word near a landmark.
 
         A feature is the largest kernel of the sentence's words with a landmark. Characters that are no
         letters don't separate letters of a word, and words of one letter in a row count as one word
-        besides, so that marked or spaced-out words are seen.
+        besides, so that marked or spaced-out words are seen. Sections of a long word without spaces count
+        as sentences: it is as long as many words, and its matches don't stand together.
         """
         data, starts, ends, first = words_of(_spaced_joined(texts))
         none = np.zeros(0, dtype=np.int64), np.zeros((0, len(self.landmarks)), dtype=np.float32)
         if not len(starts):
             return none
-        hashes = word_hashes(data, starts, ends)
-        _, once, which = np.unique(hashes, return_index=True, return_inverse=True)
         codes = folded(data)
         letters = np.concatenate([[0], np.cumsum(codes > 0)])
-        values = self.words(codes[codes > 0], letters[starts[once]], letters[ends[once]])
+        begins, ends_in = letters[starts], letters[ends]
+        # Long words go by sections, which overlap by half so that no landmark is cut.
+        word, at, sizes = windows(ends_in - begins, SECTION, SECTION // 2)
+        hashes = word_hashes(data, starts, ends)[word] + at.astype(np.uint64) * np.uint64(BASE)
+        _, once, which = np.unique(hashes, return_index=True, return_inverse=True)
+        own = begins[word[once]] + at[once]
+        values = self.words(codes[codes > 0], own, own + sizes[once])
         strong = values.max(axis=1) > 0.05
         hits = np.flatnonzero(strong[which])
         if not len(hits):
             return none
         closes = np.isin(data[ends - 1], np.frombuffer(b".!?", dtype=np.uint8)) | (data[np.minimum(ends, len(data) - 1)] == 10)
+        closes = closes[word] | np.concatenate([word[1:] == word[:-1], [False]])
         sentence = np.concatenate([[0], np.cumsum(closes)])[hits]
-        doc = np.searchsorted(first, hits, side="right") - 1
+        doc = np.searchsorted(first, word[hits], side="right") - 1
         new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (sentence[1:] != sentence[:-1])]))
         return doc[new], np.maximum.reduceat(values[which[hits]], new, axis=0)
 
