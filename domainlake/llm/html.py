@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,20 @@ FRAME_WORDS = re.compile(
     r"skip|copyright|legal)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Words of the above that stand for what never holds the main text.
+NEVER_MAIN = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|nav|navbar|navigation|menu|breadcrumbs?|footer|cookies?|"
+    r"consent|gdpr|related|recommend(?:ed|ations)?|comments?|commentlist|replies|reply|respond|disqus|contentinfo)(?:$|[\s_-])",
+    re.IGNORECASE,
+)
+#: Marks of a state of the page or of the heading of an article, not of what an element is.
+STATES = re.compile(
+    r"(?<!\S)(?:(?:has|no|with|without)[_-]\S+|\S+[_-](?:open|closed|right|left|enabled|disabled)|"
+    r"(?:post|entry|article|story|content)[_-]header)(?!\S)",
+    re.IGNORECASE,
+)
+#: Such a word with a place may be the element itself.
+PLACED = re.compile(r"(?<!\S)(?:sidebar|side|aside|nav|navbar|menu|banner|ads?|widget)[_-](?:right|left)(?!\S)", re.IGNORECASE)
 #: Elements that end one block of text and begin another.
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -45,17 +60,71 @@ HIDES = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true
 _ENDS = {name: re.compile(rf"</{name}\b[^>]*>|\Z", re.IGNORECASE) for name in HIDDEN if name != "head"}
 
 
+def kind_of_marks(marks: str) -> str:
+    """SOFT for marks of the frame, HARD if what they name never holds the main text, or nothing."""
+    named = " ".join([STATES.sub(" ", marks), *PLACED.findall(marks)])
+    if not FRAME_WORDS.search(named):
+        return ""
+    return HARD if NEVER_MAIN.search(named) else SOFT
+
+
 def blocks_of(page: str) -> list[tuple[str, bool, bool]]:
     """(text, in the frame, in a main element) of every block of a page, in order.
 
     Markup is taken off, character references are decoded, and white space becomes one space. Comments,
     scripts and the like give no text. Elements that are never closed end with their parent.
+
+    An element that is frame by its marks only, or a form, is none if it holds an article or main element
+    with more text, or itself holds more text, than stands outside of the frame on a page whose articles
+    are all in the frame.
     """
-    out: list[tuple[str, bool, bool]] = []
+    blocks = _chained_blocks(page)
+    if not any(_is_core(chain) and not links for _, chain, links in blocks):
+        free = sum(len(text) for text, chain, links in blocks if not chain and not links)
+        inner = [_from_core(chain) for _, chain, _ in blocks]
+        if sum(len(b[0]) for b, chain in zip(blocks, inner) if _is_core(chain) and not b[2]) > free:
+            blocks = [(text, chain, links) for (text, _, links), chain in zip(blocks, inner)]
+        else:
+            blocks = _without_wrappers(blocks, free)
+    return [(text, any(k != CORE for _, k in chain) or links, any(k == CORE for _, k in chain)) for text, chain, links in blocks]
+
+
+def _is_core(chain) -> bool:
+    return bool(chain) and all(kind == CORE for _, kind in chain)
+
+
+def _from_core(chain):
+    """The chain of a block in an article without the soft frames around the innermost one."""
+    cores = [k for k, (_, kind) in enumerate(chain) if kind == CORE]
+    return tuple(e for k, e in enumerate(chain) if e[1] != SOFT or k >= cores[-1]) if cores else chain
+
+
+def _without_wrappers(blocks, free: int):
+    """`blocks` without the soft frames that hold more text than stands outside of the frame."""
+    direct, inside, around, gone = Counter(), Counter(), {}, set()
+    for text, chain, links in blocks:
+        if chain and not links and all(kind == SOFT for _, kind in chain):
+            direct[chain] += len(text)
+            for k, e in enumerate(chain):
+                inside[e] += len(text)
+                around[e] = chain[:k]
+    for e, n in sorted(inside.items()):  # outer ones first
+        if n > free and gone.issuperset(around[e]):
+            gone.add(e)
+            free += direct[(*around[e], e)]
+    return [(text, tuple(e for e in chain if e not in gone), links) for text, chain, links in blocks]
+
+
+HARD, SOFT, CORE = "hard", "soft", "core"
+
+
+def _chained_blocks(page: str) -> list[tuple[str, tuple[tuple[int, str], ...], bool]]:
+    """(text, number and kind of the frame and main elements around it, is all links) of every block."""
+    out: list[tuple[str, tuple[tuple[int, str], ...], bool]] = []
     parts: list[str] = []
     linked = 0  # characters of the parts that stand in links
-    stack: list[tuple[str, bool, bool]] = []  # name, opens a frame, opens a main element
-    framed = main = 0
+    stack: list[tuple[str, tuple[int, str] | None]] = []  # name, number and kind if it is frame or main
+    main = 0
     links = False
     at = 0
 
@@ -66,7 +135,7 @@ def blocks_of(page: str) -> list[tuple[str, bool, bool]]:
             text = " ".join(html.unescape(raw).split())
             if text:  # text that is all links is a menu, unless it stands in an article
                 only_links = not main and linked > 0 and linked >= len(raw.strip())
-                out.append((text, framed > 0 or only_links, main > 0))
+                out.append((text, tuple(s[1] for s in stack if s[1]), only_links))
             parts.clear()
             linked = 0
 
@@ -95,10 +164,9 @@ def blocks_of(page: str) -> list[tuple[str, bool, bool]]:
                 k = len(names) - 1 - names[::-1].index(name)
                 # An inline end tag doesn't close the blocks around it.
                 if name in BLOCKS or name in FRAME or not any(n in BLOCKS for n in names[k + 1 :]):
-                    if any(s[1] or s[2] for s in stack[k:]):
+                    if any(s[1] for s in stack[k:]):
                         close_block()
-                    framed -= sum(s[1] for s in stack[k:])
-                    main -= sum(s[2] for s in stack[k:])
+                    main -= sum(s[1] is not None and s[1][1] == CORE for s in stack[k:])
                     del stack[k:]
             continue
         if name in _ENDS and not rest.endswith("/"):
@@ -107,21 +175,24 @@ def blocks_of(page: str) -> list[tuple[str, bool, bool]]:
         if name in VOID or rest.endswith("/"):
             continue
         marks = " ".join(a or b or c for a, b, c in MARK.findall(rest)) if "=" in rest else ""
-        frame = name in FRAME or name == "head" or (name not in ("html", "body", *MAIN) and bool(FRAME_WORDS.search(marks)))
-        frame = frame or ("=" in rest or "hidden" in rest) and bool(HIDES.search(rest))
-        if name in ("header",) and main:  # the heading of an article is part of it
-            frame = bool(FRAME_WORDS.search(marks.replace("header", "")))
+        kind = "" if name in ("html", "body", *MAIN) else kind_of_marks(marks)
+        if name in ("form", "fieldset"):  # some pages stand in a form
+            kind = kind or SOFT
+        elif name == "header" and main:  # the heading of an article is part of it
+            kind = kind_of_marks(marks.replace("header", ""))
+        elif name in FRAME:
+            kind = HARD
+        if name == "head" or ("=" in rest or "hidden" in rest) and HIDES.search(rest):
+            kind = HARD
         if name == "p":  # a paragraph ends the one before
             while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "a", "u", "small"):
                 last = stack.pop()
-                framed -= last[1]
-                main -= last[2]
-        core = name in MAIN
-        if frame or core:
+                main -= last[1] is not None and last[1][1] == CORE
+        own = [k for k in (kind, CORE if name in MAIN and kind != HARD else "") if k]
+        if own:
             close_block()
-        framed += frame
-        main += core
-        stack.append((name, frame, core))
+        main += CORE in own
+        stack.append((name, (m.start(), own[0]) if own else None))
     parts.append(page[at:])
     close_block()
     return out
