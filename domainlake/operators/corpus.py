@@ -47,8 +47,13 @@ def clean_corpus(corpus: DataFrame) -> DataFrame:
 def balance_classes(
     corpus: DataFrame, limit: int | None = None, seed: int = 42
 ) -> DataFrame:
-    """Equal class sizes by seeded sampling without replacement; `limit` caps both classes."""
-    size = F.min("group_size").over(Window.partitionBy())  # over the slice counts only
+    """Equal class sizes by seeded sampling without replacement; `limit` caps both classes.
+
+    Rows without a label don't set the size, but are sampled down to it like a class.
+    """
+    labelled = F.when(F.col("label").isNotNull(), F.col("group_size"))
+    size = F.min(labelled).over(Window.partitionBy())  # over the slice counts only
+    size = F.coalesce(size, F.col("group_size"))
     if limit is not None:
         size = F.least(size, F.lit(limit))
     return seeded_rank(corpus, ["label"], ["id"], seed, limit=size).drop("rank", "group_size")
@@ -67,7 +72,7 @@ def sample_n(corpus: DataFrame, n: int = 200_000, seed: int = 42) -> DataFrame:
 
 
 def stratified_split(corpus: DataFrame, train: float = 0.8, seed: int = 42) -> DataFrame:
-    """Add `is_train`: a seeded share of every class."""
+    """Add `is_train`: a seeded share of every class, and of the rows without a label."""
     return (
         seeded_rank(corpus, ["label"], ["id"], seed)
         .withColumn("is_train", F.col("rank") / F.col("group_size") <= train)
@@ -76,7 +81,7 @@ def stratified_split(corpus: DataFrame, train: float = 0.8, seed: int = 42) -> D
 
 
 def stratified_folds(corpus: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """Add `fold` in 0..k-1, evenly spread over every class."""
+    """Add `fold` in 0..k-1, evenly spread over every class, and over the rows without a label."""
     return (
         seeded_rank(corpus, ["label"], ["id"], seed)
         .withColumn("fold", ((F.col("rank") - 1) % k).cast("int"))
@@ -86,7 +91,7 @@ def stratified_folds(corpus: DataFrame, k: int = 5, seed: int = 42) -> DataFrame
 
 def class_weights(corpus: DataFrame) -> DataFrame:
     """Balanced weight per class: rows / (classes * rows of the class). One row per class."""
-    counts = corpus.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    counts = corpus.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     everything = Window.partitionBy()
     return counts.withColumn(
         "weight",
@@ -95,8 +100,8 @@ def class_weights(corpus: DataFrame) -> DataFrame:
 
 
 def with_class_weights(corpus: DataFrame) -> DataFrame:
-    """Add `weight`. The weight table has one row per class, two here."""
-    return corpus.join(F.broadcast(class_weights(corpus).drop("n")), "label")
+    """Add `weight`, null without a label. The weight table has one row per class, two here."""
+    return corpus.join(F.broadcast(class_weights(corpus).drop("n")), "label", "left")
 
 
 def cross_label_conflicts(corpus: DataFrame) -> DataFrame:

@@ -43,8 +43,11 @@ def seeded_rank(
         cap = F.lit(limit) if isinstance(limit, int) else limit
         counts = counts.withColumn("_cap", cap).filter(F.col("_before") < F.col("_cap"))
     inside = Window.partitionBy(*by, "_slice").orderBy("_key", *id_cols)
+    names = {c: f"_of_{c}" for c in [*by, "_slice"]}
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]  # a null is a group like any other
     ranked = (
-        keyed.join(F.broadcast(counts), [*by, "_slice"])
+        keyed.join(F.broadcast(counts.withColumnsRenamed(names)), same)
+        .select(*by, "_slice", *[c for c in keyed.columns if c not in names], *[c for c in counts.columns if c not in names])
         .withColumn("rank", F.col("_before") + F.row_number().over(inside))
         .drop("_key", "_slice", "_before")
     )
