@@ -126,7 +126,8 @@ def fit_rates(
 ) -> Rates:
     """Rates, at least `least`, whose expected domain tokens come nearest to the targets.
 
-    `rows` holds tokens and p. The targets' shares (of the domains that have tokens) times `budget` are the
+    `rows` holds tokens and p. A domain that the targets don't name keeps its own share of the tokens, and the
+    named ones share the rest by their weights. The targets' shares (of the domains that have tokens) times `budget` are the
     wanted totals; without a budget it is the smallest one that thins no domain below one copy. Least
     squares, each domain scaled by its tokens, by projected gradient steps; every step sums the domains'
     totals over all documents and brings one number for each domain to the driver. It stops when all totals
@@ -136,7 +137,8 @@ def fit_rates(
     share = np.array([targets.get(n, 0.0) for n in names]) * (now > 0)
     if not share.sum():
         return Rates(1.0, least)
-    share /= share.sum()
+    own = np.array([0.0 if n in targets else 1.0 for n in names]) * now / now.sum()
+    share = share / share.sum() * (1 - own.sum()) + own
     if budget is None:
         budget = float((now[share > 0] / share[share > 0]).max())
     want = share * budget
