@@ -15,9 +15,12 @@ from domainlake.llm.packing import pack
 from domainlake.llm.quality import fit_neighbours, score_quality
 from domainlake.llm.secrets import secret_spans, spans_column
 from domainlake.llm.simhash import near_duplicate_components
+from domainlake.llm.spelling import spelling_variants
+from domainlake.llm.sqltext import SPELLING, TRIE
 from domainlake.llm.substrings import remove_repeated_spans
 from domainlake.llm.topk import exact_top_k
 from domainlake.llm.toxicity import fit_toxicity, score_toxicity
+from domainlake.llm.tries import conversation_trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +136,15 @@ def op4_soft_membership_mixing(spark, sf_dir):
     """Rate and copies of every document for the target weights of domains."""
     rated = document_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rated.select("doc_id", "tokens", "domains", F.transform("p", lambda x: F.round(x, 6)).alias("p"), "rate", "copies")
+
+
+@query(SPELLING)
+def op12_spelling_variants(spark, sf_dir):
+    """Near words, form and root of every word of the corpus."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query(TRIE)
+def op13_euler_tour_trie(spark, sf_dir):
+    """Members, leaves and savings of every node of the conversations' prefix tree."""
+    return conversation_trie(table(spark, sf_dir, "conversations")).drop("position")
