@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from domainlake.llm.common import held_out, table
 from domainlake.llm.fingerprints import edit_fingerprints
 from domainlake.llm.html import extract_main_text
+from domainlake.llm.minhash import min_hash_components
 from domainlake.llm.mixing import document_rates
 from domainlake.llm.packing import pack
 from domainlake.llm.quality import fit_neighbours, score_quality
 from domainlake.llm.secrets import secret_spans, spans_column
 from domainlake.llm.simhash import near_duplicate_components
 from domainlake.llm.spelling import spelling_variants
-from domainlake.llm.sqltext import SPELLING, TRIE
+from domainlake.llm.sqltext import MIN_HASH, SPELLING, TRIE
 from domainlake.llm.substrings import remove_repeated_spans
 from domainlake.llm.topk import exact_top_k
 from domainlake.llm.toxicity import fit_toxicity, score_toxicity
@@ -148,3 +149,9 @@ def op12_spelling_variants(spark, sf_dir):
 def op13_euler_tour_trie(spark, sf_dir):
     """Members, leaves and savings of every node of the conversations' prefix tree."""
     return conversation_trie(table(spark, sf_dir, "conversations")).drop("position")
+
+
+@query(MIN_HASH)
+def op11_min_hash_components(spark, sf_dir):
+    """Shingle set size and component of similar sets of every document."""
+    return min_hash_components(table(spark, sf_dir, "documents"))

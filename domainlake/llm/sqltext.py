@@ -88,3 +88,28 @@ select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_con
 from sized n join sums s on n.prefix = s.prefix
 left join nodes p on n.depth > 0 and p.prefix = n.prefix[1:n.depth - 1]
 """
+
+MIN_HASH = f"""
+with recursive worded as (
+  select row_number() over () as r, doc_id, regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+') as words from documents),
+sets as (
+  select r, doc_id, list_sort(list_distinct(case when len(words) = 0 then [] when len(words) < 3 then [array_to_string(words, ' ')]
+    else list_transform(range(1, len(words) - 1), lambda k: array_to_string(words[k:k + 2], ' ')) end)) as shingles
+  from worded),
+classes as (select min(r) as c, shingles, len(shingles) as n from sets where len(shingles) > 0 group by shingles),
+singles as (select c, n, unnest(shingles) as s from classes),
+shared as (
+  select a.c as a, b.c as b, a.n as an, b.n as bn, count(*) as met
+  from singles a join singles b on a.s = b.s and a.c < b.c and a.n * 85 <= b.n * 100 and b.n * 85 <= a.n * 100
+  group by all),
+links as (
+  select a, b from shared where 100 * met >= 85 * (an + bn - met)
+  union all select b, a from shared where 100 * met >= 85 * (an + bn - met)),
+reached as (
+  select c as a, c as b from classes union select r.a, l.b from reached r join links l on r.b = l.a),
+tops as (select a as c, min(b) as root from reached group by a),
+rooted as (select s.doc_id, s.shingles, root from sets s left join classes k using (shingles) left join tops t on t.c = k.c),
+least as (select root, min(doc_id) as least from rooted where root is not null group by root)
+select doc_id, len(shingles)::bigint as n_shingles, coalesce(least, doc_id) as component_id, doc_id = coalesce(least, doc_id) as kept
+from rooted left join least using (root)
+"""
