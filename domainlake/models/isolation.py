@@ -4,15 +4,16 @@ A tree only ever sees `psi` sampled rows, and the fitted forest is a table of at
 trees * (2 * psi - 1) nodes: both sizes are parameters and do not grow with the data.
 """
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from domainlake.constants import FEATURE_COLUMNS
-from domainlake.operators.ranking import first_n_per_group, seeded_rank
 from domainlake.session import written
 
 # Forest variants (trees, rows per tree, share of training rows flagged).
@@ -68,6 +69,16 @@ class IsolationForest:
     nodes: DataFrame
     psi: int
     offset: float
+    _shared: dict = field(default_factory=dict, compare=False, repr=False)
+
+    def broadcast(self):
+        """The trees as arrays on every executor, sent once however often the forest scores."""
+        if "trees" not in self._shared:
+            nodes = self.nodes.limit(MAX_NODES + 1).toPandas()
+            if len(nodes) > MAX_NODES:
+                raise ValueError("the forest has more than MAX_NODES nodes, the limit of a broadcast forest")
+            self._shared["trees"] = self.nodes.sparkSession.sparkContext.broadcast(_node_arrays(nodes))
+        return self._shared["trees"]
 
     def save(self, path: str) -> None:
         spark = self.nodes.sparkSession
@@ -81,22 +92,64 @@ class IsolationForest:
         return IsolationForest(spark.read.parquet(f"{path}/nodes"), meta["psi"], meta["offset"])
 
 
+def _drawn(rows: DataFrame, trees: int, share: float) -> DataFrame:
+    """`rows(_hash, ...)` with `tree`: each row with every tree independently at probability `share`.
+
+    A row jumps from one of its trees to the next by geometric steps of a sequence seeded with its hash, so
+    the work is one pass over the rows plus what is drawn, and doesn't depend on how rows are partitioned.
+    """
+    if share >= 1.0:
+        return rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).drop("_hash")
+    names = [c for c in rows.columns if c != "_hash"]
+
+    def uniform(hashes: np.ndarray, step: int) -> np.ndarray:
+        x = hashes + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return ((x >> np.uint64(11)) + np.uint64(1)) * (1.0 / ((1 << 53) + 1))
+
+    def draw(batches):
+        for batch in batches:
+            hashes = batch.column("_hash").to_numpy().view(np.uint64)
+            at, step = np.full(len(hashes), -1, dtype=np.int64), 1
+            rows, numbers = [], []
+            live = np.arange(len(hashes))
+            while len(live):
+                jumps = np.floor(np.log(uniform(hashes[live], step)) / math.log1p(-share))
+                at[live] += 1 + np.minimum(jumps, trees).astype(np.int64)
+                live = live[at[live] < trees]
+                rows.append(live)
+                numbers.append(at[live])
+                step += 1
+            own = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
+            tree = pa.array(np.concatenate(numbers) if rows else [], pa.int32())
+            columns = [batch.column(n).take(own) for n in names]
+            yield pa.RecordBatch.from_arrays([*columns, tree], names=[*names, "tree"])
+
+    schema = ", ".join([*[f"`{n}` {t}" for n, t in rows.dtypes if n != "_hash"], "tree int"])
+    return rows.mapInArrow(draw, schema)
+
+
 def tree_samples(legit: DataFrame, trees: int, psi: int, seed: int, id_col: str) -> DataFrame:
-    """Up to `psi` rows for every tree, drawn without replacement inside a tree.
+    """`psi` rows (all, if fewer) for every tree, drawn without replacement inside a tree, in one pass.
 
-    A first seeded sample cuts the population to a small multiple of trees * psi rows; every tree
-    then draws from that. Both steps depend on row ids only, never on partitioning.
+    Every tree draws a few rows more than it needs and keeps the first of them in a seeded order, which is
+    an even draw; should one draw too few, all draw again with more to spare. Which rows are drawn depends
+    on row ids only, never on partitioning.
     """
-    pool_size = 2 * trees * psi
-    whole = legit.withColumn("_all", F.lit(0))
-    pool = seeded_rank(whole, ["_all"], [id_col], seed, limit=pool_size)
-    share = F.least(F.lit(1.0), F.lit(1.5 * psi) / F.least("group_size", F.lit(pool_size)))
-    draw = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "_order", F.xxhash64(F.lit(seed), "tree", id_col)
-    )
-    uniform = F.pmod("_order", F.lit(1 << 53)) / float(1 << 53)
-    chosen = draw.filter(uniform < share)
-    return first_n_per_group(chosen, ["tree"], [F.col("_order")], psi, [id_col], rounds=(1,))
+    keyed = legit.select(id_col, *FEATURE_COLUMNS).withColumn("_hash", F.xxhash64(F.lit(seed), id_col))
+    n = legit.count()
+    spare = 6.0
+    while True:
+        share = min(1.0, (psi + spare * (math.sqrt(psi) + 2)) / max(n, 1))
+        drawn = _drawn(keyed, trees, share).withColumn("_order", F.xxhash64(F.lit(seed), "tree", id_col))
+        first = Window.partitionBy("tree").orderBy("_order", id_col)  # little more than psi rows
+        kept = drawn.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= psi).drop("_rank")
+        kept = written(kept, "tree-samples")
+        held = kept.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min(psi, n)).count()
+        if share >= 1.0 or held == trees:
+            return kept
+        spare *= 2
 
 
 def train_isolation_forest(
@@ -123,7 +176,7 @@ def train_isolation_forest(
     offset = scores.agg(
         F.percentile_approx("score", settings["contamination"], 100_000).alias("q")
     ).first()["q"]
-    return IsolationForest(forest.nodes, psi, offset)
+    return IsolationForest(forest.nodes, psi, offset, forest._shared)
 
 
 def _node_arrays(nodes: pd.DataFrame) -> list[tuple]:
@@ -144,8 +197,7 @@ def _node_arrays(nodes: pd.DataFrame) -> list[tuple]:
 
 def score_column(forest: IsolationForest) -> Column:
     """Score -2^(-E[path] / c(psi)): near -1 is anomalous, near 0 ordinary."""
-    spark = forest.nodes.sparkSession
-    forest_arrays = spark.sparkContext.broadcast(_node_arrays(forest.nodes.toPandas()))
+    forest_arrays = forest.broadcast()
     normal = float(average_path(forest.psi))
 
     @F.pandas_udf("double")

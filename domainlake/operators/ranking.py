@@ -3,6 +3,9 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from domainlake.operators.behaviour import first_k
+from domainlake.operators.joins import lookup
+
 
 def shuffle_key(seed: int, *cols: str) -> Column:
     """Seeded pseudo-random sort key: independent of partitioning and of row order."""
@@ -54,22 +57,14 @@ def seeded_rank(
     return ranked if limit is None else ranked.filter(F.col("rank") <= F.col("_cap")).drop("_cap")
 
 
-def first_n_per_group(
-    df: DataFrame,
-    by: list[str],
-    order: list[Column],
-    n: int,
-    id_cols: list[str],
-    rounds: tuple[int, ...] = (4096, 64, 1),
-) -> DataFrame:
-    """First n rows of each group in the given order, in rounds over ever fewer salts.
+def first_n_per_group(df: DataFrame, by: list[str], order: list[Column], n: int, id_cols: list[str]) -> DataFrame:
+    """First n rows of each group in the given ascending order, ties by `id_cols`, which identify a row.
 
-    A round keeps n rows per (group, salt). A group holding a third of all rows is thus cut down by
-    thousands of tasks, and a later round sees at most 64 * n rows per (group, salt).
+    The n-th place of every group comes from bounded heaps that are merged across tasks; rows up to it are
+    then kept where they are. A group of any size is never sorted, and only sort keys are shuffled.
     """
-    for salts in rounds:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*id_cols), F.lit(salts)))
-        w = Window.partitionBy(*by, "_salt").orderBy(*order)
-        kept = salted.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
-        df = kept.drop("_rn", "_salt")
-    return df
+    place = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], *[F.col(c).alias(f"i{k}") for k, c in enumerate(id_cols)])
+    group = F.struct(*[F.col(c) for c in by])  # as one key, a null is a group like any other
+    placed = df.withColumn("_place", place).withColumn("_group", group)
+    last = placed.groupBy("_group").agg(F.array_max(first_k("_place", n)).alias("_last"))
+    return lookup(placed, last, "_group").filter(F.col("_place") <= F.col("_last")).drop("_place", "_group", "_last")

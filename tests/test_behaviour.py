@@ -28,10 +28,10 @@ def make_log(spark, n=3000, seed=1):
     )
 
 
-@pytest.mark.parametrize("seconds, slices", [(1.0, 60), (1.0, 1), (3.0, 2)])
-def test_rate_limit_equals_counting(spark, seconds, slices):
+@pytest.mark.parametrize("seconds", [1.0, 3.0, 600.0])
+def test_rate_limit_equals_counting(spark, seconds):
     rows, log = make_log(spark)
-    got = {r["id"]: r["recent"] for r in B.rate_limit_flags(log, seconds, 3, slices).collect()}
+    got = {r["id"]: r["recent"] for r in B.rate_limit_flags(log, seconds, 3).collect()}
     assert len(got) == len(rows)
     per_client = defaultdict(list)
     for i, ts, client, *_ in rows:
@@ -41,6 +41,62 @@ def test_rate_limit_equals_counting(spark, seconds, slices):
         assert got[i] == sum(low <= t <= ts for t in per_client[client]), i
 
 
+def test_one_client_with_all_queries_uses_many_tasks(spark):
+    log = spark.range(0, 40_000, 1, 4).select(
+        "id", F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 10).alias("ts"), F.lit("only").alias("client_ip")
+    )
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        width = 1000
+        timed = log.withColumn("_t", B.micros())
+        marks = B._arrivals_and_departures(timed, width).repartitionByRange("client_ip", "at")
+        sizes = [r["count"] for r in marks.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 16 and max(sizes) < 3 * 80_000 / 16
+        got = B.rate_limit_flags(log, width / 1e6, 100)
+        assert got.filter(F.col("recent") != F.least(F.col("id") + 1, F.lit(width // 10 + 1))).count() == 0
+        assert got.count() == 40_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+@pytest.mark.parametrize("limit", [50, 1_000, 10_000])
+def test_crossings_at_any_limit_pass_on_bounded_heaps(spark, limit):
+    """Four tasks read one base with all labels; each passes on one row with limit + 1 sightings at most."""
+    n = 24_000
+    events = spark.range(0, n, 1, 4).select(
+        (F.col("id") * 7919 % n).alias("id"), F.lit(START).alias("ts"), F.lit("hot").alias("key"), F.col("id").cast("string").alias("member")
+    )
+    (row,) = B.crossing_points(events, "key", "member", limit).collect()
+    assert (row["key"], row["crossing"]["id"]) == ("hot", limit)
+    plan = B.crossing_points(events, "key", "member", limit)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("collect_top_k") >= 2
+
+
+@pytest.mark.parametrize("n", [50, 1_000, 10_000])
+def test_first_rows_of_a_hot_group(spark, n):
+    df = spark.range(0, 30_000, 1, 5).select("id", F.when(F.col("id") % 3 > 0, "hot").alias("source"))
+    got = ranking.first_n_per_group(df, ["source"], [(-F.col("id")).alias("newest")], n, ["id"])
+    groups = {r["source"]: (r["n"], r["least"]) for r in got.groupBy("source").agg(F.count("*").alias("n"), F.min("id").alias("least")).collect()}
+    assert groups["hot"] == (n, 30_000 - n // 2 * 3 + 1) and groups[None][0] == n
+
+
+def test_stored_sketches_merge_to_the_bases(spark):
+    rows, log = make_log(spark)
+    days = [B.base_sketches(log.filter(F.col("id") % 3 == k)) for k in range(3)]
+    merged = B.bases_from_sketches(days[0].unionByName(days[1]).unionByName(days[2]), 10)
+    exact = {r["base"]: r for r in B.shadowing_bases(log, 10).collect()}
+    for r in merged.collect():
+        want = exact[r["base"]]
+        assert r["requests"] == want["requests"] and abs(r["sub_labels"] - want["sub_labels"]) <= 2
+        assert abs(r["clients"] - want["clients"]) <= 1
+    assert merged.count() == len(exact)
+    plan = B.shadowing_bases(log, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+
+
 def running_sets(rows, key, member, limit):
     seen, flags = defaultdict(set), {}
     for row in sorted(rows, key=lambda r: (r[1], r[0])):

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 
 from domainlake import constants as K
 from domainlake.operators import detection
-from tests.test_scoring import expected
+from tests import plain
 
 START = datetime(2024, 1, 1)
 LISTED = {"bad.evil.org"}
@@ -53,17 +53,27 @@ def simulate(rows, answers, rate_limit, shadow_limit, flux_limit):
             flux = len(ips[domain]) > flux_limit
             plain_total = total_points(domain, dga, decision)
             score = min(int(plain_total + 30 * shadow + 25 * flux), 100)
-            threat = "FAST_FLUX" if flux else "DNS_SHADOWING" if shadow else expected(domain, dga, decision)[1]
+            threat = "FAST_FLUX" if flux else "DNS_SHADOWING" if shadow else plain_type(domain, plain_total, dga, decision)
         if client in K.DOH_RESOLVERS:
             score, threat = 100, "DOH_BYPASS"
         verdicts[i] = (score, threat)
     return verdicts
 
 
+def plain_type(domain, points, dga, decision):
+    """Type of a name without behavioural findings: the first finding that holds, from 30 points on."""
+    near = min(plain.edit_distance(domain.split(".")[0], b) for b in K.BRANDS)
+    findings = {
+        "DGA": dga > 0.55,
+        "TUNNELING": 0.5 - decision > 0.6,
+        "PHISHING": near <= 2 or plain.features(domain)["lookalike_score"] > 0.5,
+        "SUSPICIOUS": True,
+    }
+    return "CLEAN" if points < 30 else next(kind for kind, holds in findings.items() if holds)
+
+
 def total_points(domain, dga, decision):
     """The unrounded score, from the pieces of the plain statement."""
-    from tests import plain
-
     f = plain.features(domain)
     hits = sum(w in domain for w in K.PHISH_KEYWORDS)
     near = min(plain.edit_distance(domain.split(".")[0], b) for b in K.BRANDS)
