@@ -318,15 +318,20 @@ BEHAVED = [
 ]
 
 
-@query(
-    "e6_score_log",
+SCORE_LOG_SQL = (
     f"select id, domain, case when {DOH} then 100 when {SAFE} then 0 when {TRAFFIC_LISTED} then 100 "
     f"else points end as score, case when {DOH} then 'DOH_BYPASS' when {SAFE} then 'None' "
     f"when {TRAFFIC_LISTED} then 'THREAT_INTEL' when fast_flux then 'FAST_FLUX' when shadowing then "
     "'DNS_SHADOWING' when points < 30 then 'CLEAN' when dga_prob > 0.55 then 'DGA' "
     "when tunnel_prob > 0.6 then 'TUNNELING' when min_lev <= 2 or lookalike_score > 0.5 then "
     f"'PHISHING' else 'SUSPICIOUS' end as threat_type, {DOH} or (not {SAFE} and ({TRAFFIC_LISTED} "
-    "or points >= 60)) as blocked from behaved",
+    "or points >= 60)) as blocked from behaved"
+)
+
+
+@query(
+    "e6_score_log",
+    SCORE_LOG_SQL,
     ["client_traffic", "client_answers"],
     BEHAVED,
 )

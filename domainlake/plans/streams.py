@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from domainlake.plans.behaviour import BASED, RATE_SQL
 from domainlake.plans.catalog import query, ts_text
 from domainlake.plans.feeds import HOSTS_TOKENS_SQL
-from domainlake.plans.scoring import DOH, SAFE, TRAFFIC
+from domainlake.plans.scoring import BEHAVED, DOH, SAFE, SCORE_LOG_SQL, TRAFFIC
 from domainlake.plans.views import Views
 from domainlake.session import fresh_dir
 from domainlake.sources.feeds import parse_hosts_tokens
@@ -28,7 +28,7 @@ def stream(v: Views, view: str) -> DataFrame:
 
 
 @query(
-    "l1_stream_score",
+    "l1_stream_score_stateless",
     f"select case when {DOH} then 'DOH_BYPASS' when {SAFE} then 'None' else threat_type end as "
     f"threat_type, {DOH} or (not {SAFE} and score >= 60) as blocked, count(*) as n from typed "
     "where query_type in ('A', 'AAAA', 'CNAME') group by all",
@@ -49,6 +49,32 @@ def stream_score(v: Views):
     return log.groupBy("threat_type", "blocked").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("l1_stream_score", SCORE_LOG_SQL, ["client_traffic", "client_answers"], BEHAVED)
+def stream_detect(v: Views):
+    """The whole live path; equals the whole path of the stored log."""
+    path = fresh_dir(v.spark, "stream-detect")
+    traffic = stream(v, "client_traffic")
+    answers = v.over("client_answers", client_traffic=stream(v, "client_traffic"))
+    # A later event of nobody's moves the watermark past the last event; it is never given out itself.
+    beat = v.events.agg((F.max(F.col("ts").cast("timestamp")) + F.expr("interval 1 day")).alias("ts"))
+    blank = [F.lit(None).cast(kind).alias(name) for name, kind in traffic.dtypes if name != "ts"]
+    beat.select("ts", *blank).withColumn("ts", F.col("ts").cast(dict(traffic.dtypes)["ts"])).select(traffic.columns).write.parquet(f"{path}/beat")
+    listed = v.client_traffic.select("domain").filter("domain = 'shop7.example.com'").distinct()
+    jobs.stream_detect(
+        traffic.unionByName(jobs.file_stream(v.spark, f"{path}/beat")),
+        answers,
+        log_path=f"{path}/log",
+        alert_path=f"{path}/alerts",
+        state_path=f"{path}/state",
+        checkpoint=f"{path}/checkpoint",
+        read_blocklist=lambda: listed,
+        seconds=3600,
+        rate_limit=2,
+    ).awaitTermination()
+    log = v.spark.read.parquet(f"{path}/log")
+    return log.select("id", "domain", F.col("threat_score").cast("long").alias("score"), "threat_type", "blocked")
+
+
 @query(
     "l2_stream_rate_limit",
     f"select id, client_ip, recent, recent > 2 as rate_limited from ({RATE_SQL}) t",
@@ -56,7 +82,7 @@ def stream_score(v: Views):
 )
 def stream_rate_limit(v: Views):
     flagged = jobs.stream_rate_limit(stream(v, "dns_log"), seconds=3600, limit=2)
-    return jobs.run_to_table(flagged, "rate-limit")
+    return jobs.settled(jobs.run_to_table(flagged, "rate-limit"))
 
 
 @query(
@@ -153,9 +179,10 @@ def stream_timeline(v: Views):
 )
 def stream_feed_refresh(v: Views):
     path = fresh_dir(v.spark, "feed-refresh")
-    v.blocklist.write.parquet(f"{path}/list/batch_id=-1")
+    listed = jobs.blocklist_table(v.spark, f"{path}/list")
+    listed.append(-1, v.blocklist)
     v.hosts_lines.write.text(f"{path}/landed")
     jobs.stream_feed_refresh(
-        v.spark, f"{path}/landed", parse_hosts_tokens, f"{path}/list", f"{path}/checkpoint"
+        v.spark, f"{path}/landed", parse_hosts_tokens, listed, f"{path}/checkpoint"
     ).awaitTermination()
-    return v.spark.read.parquet(f"{path}/list").select("domain", "category", "source")
+    return listed.read().select("domain", "category", "source")

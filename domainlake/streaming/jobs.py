@@ -4,6 +4,7 @@ import os
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +12,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from domainlake.constants import FLUX_LIMIT, RATE_LIMIT, SHADOWING_LIMIT
-from domainlake.operators.behaviour import micros, with_base
+from domainlake.operators import detection
+from domainlake.operators.behaviour import crossing_points, micros, with_base
 from domainlake.operators.lists import new_entries
-from domainlake.operators.scoring import Settings, score_queries
+from domainlake.operators.scoring import Settings, query_type_filter, score_queries
 from domainlake.session import fresh_dir
 from domainlake.sources.tables import write_alerts, write_query_log
+from domainlake.sources.versioned import VersionedTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -55,7 +58,8 @@ def state_partitions(spark: SparkSession, n: int | None = None):
 def run_to_table(
     stream: DataFrame, name: str, mode: str = "append", partitions: int | None = None
 ) -> DataFrame:
-    """Process all available input into parquet in the shared folder and read it back."""
+    """Process all available input into parquet in the shared folder and read it back; for endless
+    streams start the writer with a trigger of its own."""
     spark = stream.sparkSession
     path = fresh_dir(spark, name)
     writer = (
@@ -78,8 +82,9 @@ def stream_score(
     add_probabilities: Callable[[DataFrame], DataFrame],
     read_blocklist: Callable[[], DataFrame] | None = None,
     settings: Settings = Settings(),
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Score each micro-batch and write log and alerts.
+    """Score each micro-batch by its names alone and write log and alerts.
 
     The blocklist is read again for every batch, so a refreshed list takes effect at once. A batch
     writes into its own folder and overwrites it when replayed, so a restart duplicates nothing.
@@ -95,7 +100,7 @@ def stream_score(
     return (
         queries.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
@@ -115,12 +120,22 @@ def stream_rate_windows(
     )
 
 
+def _nullable(value):
+    """A cell of a pandas row as state takes it."""
+    return None if pd.isna(value) else value.item() if hasattr(value, "item") else value
+
+
+def _trailing(times: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """How many of the sorted `times` lie in the trailing window of each of `at`, ends included."""
+    return np.searchsorted(times, at, side="right") - np.searchsorted(times, at - width, side="left")
+
+
 class TrailingCount(StatefulProcessor):
-    """Counts the queries of one client in the trailing window, in order of arrival.
+    """Counts the queries of one client in the trailing window, whatever order they arrive in.
 
-    Keys are (client, span) with the context rows of `rate_limit_flags`, so one call sees at most a
-    few windows of one client. State holds only the timestamps of the last window, and goes when the
-    watermark passes the end of the span.
+    Keys are (client, span) with the context rows of `_spans`, so one call sees at most a few windows of one
+    client. State holds the queries that a row after the watermark may still count or be counted by. A late
+    query raises the counts of those after it, which are emitted again.
     """
 
     def __init__(self, width: int, span: int, limit: int):
@@ -128,64 +143,246 @@ class TrailingCount(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.recent = handle.getListState("recent", "t bigint")
+        self.queries = handle.getListState("queries", "t bigint, id bigint, own boolean, recent bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        seen = [t for (t,) in self.recent.get()]
-        if not seen:
+        held = pd.DataFrame(list(self.queries.get()), columns=["t", "id", "own", "recent"])
+        if held.empty:
             self.handle.registerTimer((key[1] + 1) * self.span // 1000)
-        pdf = pd.concat(list(rows)).sort_values(["t", "id"])
-        counts, start = [], 0
-        for t in pdf["t"]:
-            seen.append(int(t))
-            while t - seen[start] > self.width:
-                start += 1
-            counts.append(len(seen) - start)
-        self.recent.put([(t,) for t in seen[start:]])
-        out = pdf[["id", "client_ip"]].assign(recent=counts)
+        new = pd.concat(list(rows))[["t", "id", "own"]].assign(recent=0)
+        both = (pd.concat([held, new]) if len(held) else new).sort_values(["t", "id"], ignore_index=True)
+        times = both["t"].to_numpy(dtype=np.int64)
+        recent = _trailing(times, times, self.width)
+        changed = both[(recent != both["recent"].to_numpy()) & both["own"].to_numpy(dtype=bool)].index
+        out = pd.DataFrame({"id": both["id"].iloc[changed].astype("int64"), "client_ip": key[0], "recent": recent[changed]})
         out["rate_limited"] = out["recent"] > self.limit
-        yield out[pdf["own"].to_numpy()]
+        from_here = timerValues.getCurrentWatermarkInMs() * 1000 - self.width
+        kept = both.assign(recent=recent)[times >= from_here]
+        self.queries.put(list(zip(kept["t"].tolist(), kept["id"].tolist(), kept["own"].tolist(), kept["recent"].tolist())))
+        yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.recent.clear()
-        yield pd.DataFrame(columns=["id", "client_ip", "recent", "rate_limited"])
+        self.queries.clear()
+        yield pd.DataFrame({"id": pd.Series([], dtype="int64"), "client_ip": pd.Series([], dtype="str"), "recent": pd.Series([], dtype="int64"), "rate_limited": pd.Series([], dtype="bool")})
 
     def close(self) -> None:
         pass
 
 
+def _spans(rows: DataFrame, width: int, slices: int) -> DataFrame:
+    """`rows(t)` by time span; those of the last window of a span also come to the next one as context."""
+    span = width * slices
+    own = F.floor(F.col("t") / span)
+    near_end = F.col("t") >= (own + 1) * span - width
+    spans = F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))
+    return rows.withColumn("span", F.explode(spans)).withColumn("own", F.col("span") == own)
+
+
 def stream_rate_limit(
     queries: DataFrame, seconds: float = 1.0, limit: int = RATE_LIMIT, slices: int = 10,
     delay: str = "10 seconds",
 ) -> DataFrame:
-    """(id, client_ip, recent, rate_limited) per query: exact trailing count by arrival.
+    """(id, client_ip, recent, rate_limited): the exact trailing count of each query, as soon as it arrives.
 
-    One client is spread over its time spans; queries later than `delay` are dropped.
+    Queries of one client with equal timestamps count each other. Where a late query raises the count of one
+    already emitted, that one is emitted again, so the largest count of an id is its last word (`settled`);
+    queries later than `delay` are dropped. One client is spread over its time spans.
     """
     width = int(seconds * 1_000_000)
-    span = width * slices
-    own = F.floor(F.col("t") / span)
-    near_end = F.col("t") >= (own + 1) * span - width
-    keyed = (
-        queries.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", delay)
-        .withColumn("t", micros())
-        .withColumn(
-            "span",
-            F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))),
-        )
-        .withColumn("own", F.col("span") == own)
-        .select("ts", "id", "client_ip", "t", "span", "own")
-    )
+    timed = queries.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).withColumn("t", micros())
+    keyed = _spans(timed, width, slices).select("ts", "id", "client_ip", "t", "span", "own")
     use_rocksdb(queries.sparkSession)
     return keyed.groupBy("client_ip", "span").transformWithStateInPandas(
-        statefulProcessor=TrailingCount(width, span, limit),
+        statefulProcessor=TrailingCount(width, width * slices, limit),
         outputStructType="id bigint, client_ip string, recent bigint, rate_limited boolean",
         outputMode="Append",
         timeMode="EventTime",
     )
 
 
+def settled(emitted: DataFrame) -> DataFrame:
+    """The last word on every query of a written `stream_rate_limit`; counts only grow."""
+    return emitted.groupBy("id", "client_ip").agg(F.max("recent").alias("recent"), F.max("rate_limited").alias("rate_limited"))
+
+
+#: What a detection stream keeps of an event until its turn comes, and gives out then.
+EVENT = "kind int, id bigint, t bigint, client_ip string, domain string, query_type string, dga_prob double, decision double, ip string"
+_EVENT_COLUMNS = [c.split()[0] for c in EVENT.split(", ")]
+QUERY, ANSWER = 0, 1
+
+
+class InOrder(StatefulProcessor):
+    """Holds the events of one key back until the watermark passes them, and counts trailing queries.
+
+    What is given out is final: no earlier event of the key can come any more. State holds the events that
+    wait and the times of the last window.
+    """
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"{EVENT}, own boolean")
+        self.times = handle.getListState("times", "t bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        new = pd.concat(list(rows))
+        columns = [new[c] for c in (*_EVENT_COLUMNS, "own")]
+        self.waiting.appendList([tuple(map(_nullable, row)) for row in zip(*columns)])
+        self.handle.registerTimer(int(-(-new["t"].min() // 1000)))
+        yield self._empty()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[2], r[1]))
+        ready, rest = [r for r in rows if r[2] <= now], [r for r in rows if r[2] > now]
+        held = [t for (t,) in self.times.get()]
+        times = np.array(sorted(held + [r[2] for r in ready]), dtype=np.int64)
+        out = pd.DataFrame([r[:-1] for r in ready], columns=_EVENT_COLUMNS)
+        out["recent"] = _trailing(times, out["t"].to_numpy(dtype=np.int64), self.width)
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(-(-rest[0][2] // 1000))
+        else:
+            self.waiting.clear()
+        kept = times[times > now - self.width].tolist()
+        if kept:
+            self.times.put([(t,) for t in kept])
+            if not rest:  # come back once they are out of every window
+                self.handle.registerTimer(-(-(kept[-1] + self.width) // 1000))
+        else:
+            self.times.clear()
+        own = [r[-1] for r in ready]
+        yield self._typed(out[np.array(own, dtype=bool)]) if ready else self._empty()
+
+    def _empty(self) -> pd.DataFrame:
+        return self._typed(pd.DataFrame([], columns=[*_EVENT_COLUMNS, "recent"]))
+
+    def _typed(self, out: pd.DataFrame) -> pd.DataFrame:
+        whole = {"kind": "int32", "id": "int64", "t": "int64", "recent": "int64"}
+        real = {"dga_prob": "float64", "decision": "float64"}
+        return out.astype({**whole, **real})
+
+    def close(self) -> None:
+        pass
+
+
+def events_in_order(
+    queries: DataFrame, answers: DataFrame, seconds: float = 1.0, slices: int = 10, delay: str = "10 seconds"
+) -> DataFrame:
+    """Queries and answers of two streams once no earlier ones can come, with `recent` of the queries.
+
+    Each is given out once, in the batch after the watermark passes it, so batches follow each other in time.
+    Keys are (client, span) for queries and (domain, span) for answers. Events without a timestamp belong to
+    no order and are left out, and so are those later than `delay`.
+    """
+    width = int(seconds * 1_000_000)
+    kinds = dict(part.split() for part in EVENT.split(", "))
+
+    def as_events(rows: DataFrame, kind: int) -> DataFrame:
+        names = set(rows.columns)
+        columns = [(F.col(c) if c in names else F.lit(None)).cast(t).alias(c) for c, t in kinds.items() if c not in ("kind", "t")]
+        return rows.select(F.lit(kind).alias("kind"), F.col("ts").cast("timestamp").alias("ts"), *columns)
+
+    events = as_events(queries, QUERY).unionByName(as_events(answers, ANSWER)).where("ts is not null")
+    timed = events.withWatermark("ts", delay).withColumn("t", micros())
+    who = F.when(F.col("kind") == QUERY, F.concat(F.lit("c"), F.coalesce("client_ip", F.lit("")))).otherwise(
+        F.concat(F.lit("d"), F.coalesce("domain", F.lit("")))
+    )
+    keyed = _spans(timed.withColumn("who", who), width, slices).where((F.col("kind") == QUERY) | F.col("own"))
+    use_rocksdb(queries.sparkSession)
+    return keyed.select("who", "span", "ts", *_EVENT_COLUMNS, "own").groupBy("who", "span").transformWithStateInPandas(
+        statefulProcessor=InOrder(width),
+        outputStructType=f"{EVENT}, recent bigint",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
+def stream_detect(
+    queries: DataFrame,
+    answers: DataFrame,
+    log_path: str,
+    alert_path: str,
+    state_path: str,
+    checkpoint: str,
+    read_blocklist: Callable[[], DataFrame] | None = None,
+    whitelist: DataFrame | None = None,
+    settings: Settings = Settings(),
+    seconds: float = 1.0,
+    rate_limit: int = RATE_LIMIT,
+    shadow_limit: int = SHADOWING_LIMIT,
+    flux_limit: int = FLUX_LIMIT,
+    delay: str = "10 seconds",
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """The whole path of a live query log: rate limit, lists, behaviour, score, log and alerts.
+
+    `queries(id, ts, client_ip, domain, query_type, dga_prob, decision)` and `answers(id, ts, domain, ip)` are
+    streams. Events are put in order (`events_in_order`), and each batch of them is decided as `score_log`
+    decides a whole log: a batch adds the first sightings of sub-domains and addresses to a versioned table,
+    and the point at which a name crosses its limit to another. Keys that have crossed need no sightings any
+    more, so there are at most limit + 1 for each. Sightings are counted by bounded heaps across tasks, so no
+    name is hot. A replayed batch rewrites its own folders. `trigger` is what `DataStreamWriter.trigger` takes,
+    all available input by default.
+    """
+    spark = queries.sparkSession
+    crossings = VersionedTable(spark, f"{state_path}/crossings", "kind int, key string, crossing struct<ts: timestamp, id: bigint>")
+    limits = {QUERY: shadow_limit, ANSWER: flux_limit}
+
+    def open_only(rows: DataFrame) -> DataFrame:
+        return rows.join(crossings.read().select("kind", "key"), ["kind", "key"], "left_anti")
+
+    sightings = VersionedTable(
+        spark, f"{state_path}/sightings", "kind int, key string, member string, at struct<ts: timestamp, id: bigint>", merge=open_only
+    )
+
+    def first_sightings(rows: DataFrame, kind: int, key: str, member: str, at: str) -> DataFrame:
+        firsts = rows.where(F.col(key).isNotNull() & F.col(member).isNotNull())
+        firsts = firsts.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.col(member).alias("member"), F.col(at).alias("at"))
+        return firsts.groupBy("kind", "key", "member").agg(F.min("at").alias("at"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        events = batch.withColumn("ts", F.timestamp_micros("t")).persist()
+        try:
+            passed = events.where((F.col("kind") == QUERY) & (F.col("recent") <= rate_limit))
+            analysed = query_type_filter(passed.select("id", "ts", "client_ip", "domain", "query_type", "dga_prob", "decision"))
+            listed = read_blocklist() if read_blocklist else None
+            names = detection.named(analysed, listed, whitelist, settings)
+            answered = events.where(F.col("kind") == ANSWER).withColumn("at", F.struct("ts", "id"))
+            new = first_sightings(detection.feeding(names), QUERY, "base", "sub", "first_seen").unionByName(
+                first_sightings(answered, ANSWER, "domain", "ip", "at")
+            )
+            known, crossed = sightings.read(batch_id), crossings.read(batch_id)
+            new = new.join(known.select("kind", "key", "member"), ["kind", "key", "member"], "left_anti")
+            new = new.join(crossed.select("kind", "key"), ["kind", "key"], "left_anti")
+            sightings.append(batch_id, new)
+            added = spark.read.schema(sightings.schema).parquet(f"{sightings.path}/delta={batch_id}")
+            touched = known.join(added.select("kind", "key").distinct(), ["kind", "key"], "left_semi").unionByName(added)
+            points = [
+                crossing_points(touched.where(F.col("kind") == kind), "key", "member", limit, F.col("at")).withColumn("kind", F.lit(kind))
+                for kind, limit in limits.items()
+            ]
+            crossings.append(batch_id, points[0].unionByName(points[1]))
+            points = crossings.read(batch_id + 1)
+            shadow, flux = (
+                points.where(F.col("kind") == kind).select(F.col("key").alias(name), "crossing")
+                for kind, name in ((QUERY, "base"), (ANSWER, "domain"))
+            )
+            scored = detection.scored(analysed, names, shadow, flux, settings).persist()
+            write_query_log(scored, f"{log_path}/batch_id={batch_id}", mode="overwrite")
+            write_alerts(scored, f"{alert_path}/batch_id={batch_id}", mode="overwrite")
+            scored.unpersist()
+        finally:
+            events.unpersist()
+
+    ordered = events_in_order(queries, answers, seconds, delay=delay)
+    writer = ordered.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    with state_partitions(spark):
+        return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def _distinct_per_window(
     stream: DataFrame, key: str, member: str, window: str, delay: str, exact: bool
 ) -> DataFrame:
@@ -282,32 +479,38 @@ def stream_timeline(queries: DataFrame, delay: str = "10 minutes") -> DataFrame:
     )
 
 
+LIST = "id bigint, domain string, category string, source string"
+
+
+def blocklist_table(spark: SparkSession, path: str, every: int = 10) -> VersionedTable:
+    """The versioned blocklist that `stream_feed_refresh` keeps; version -1 is the list it starts from."""
+    return VersionedTable(spark, path, LIST, every)
+
+
 def stream_feed_refresh(
     spark: SparkSession,
     feed_path: str,
     parse: Callable[[DataFrame], DataFrame],
-    list_path: str,
+    listed: VersionedTable,
     checkpoint: str,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Add newly landed feed files to the blocklist at `list_path`.
+    """Add newly landed feed files to a versioned blocklist.
 
-    Each batch writes only its new domains, into its own folder, and compares against all earlier
-    folders: replaying a batch rewrites the same rows. `list_path/batch_id=-1` is the start list.
+    Each batch writes its new domains as a version and compares with the last snapshot and the versions since,
+    so what it reads doesn't grow with the number of batches. A replayed batch rewrites the same rows, also
+    after a compaction.
     """
 
     def write(lines: DataFrame, batch_id: int) -> None:
-        stored = spark.read.schema(
-            "id bigint, domain string, category string, source string, batch_id int"
-        ).parquet(list_path)
-        current = stored.filter(F.col("batch_id") < batch_id)
         entries = parse(lines).withColumn("seq", F.lit(batch_id))
-        fresh = new_entries(current, entries).withColumn("id", F.lit(None).cast("bigint"))
-        fresh.write.mode("overwrite").parquet(f"{list_path}/batch_id={batch_id}")
+        fresh = new_entries(listed.read(batch_id), entries).withColumn("id", F.lit(None).cast("bigint"))
+        listed.append(batch_id, fresh)
 
     return (
         spark.readStream.text(feed_path)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

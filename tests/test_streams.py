@@ -1,14 +1,18 @@
+import os
+import random
 from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from domainlake.operators import behaviour as B
-from domainlake.operators import kpis
+from domainlake.operators import detection, kpis
 from domainlake.session import fresh_dir
 from domainlake.sources.feeds import parse_url_blocklist
+from domainlake.sources.versioned import VersionedTable
 from domainlake.streaming import jobs
 from tests.test_behaviour import START, make_log
+from tests.test_detection import make_rows
 
 
 @pytest.fixture(scope="module")
@@ -28,17 +32,93 @@ def read(spark, log, max_files=1):
 
 def test_stream_rate_limit_equals_batch(spark, log):
     stream = jobs.stream_rate_limit(read(spark, log), 1.0, 3, slices=4)
-    got = jobs.run_to_table(stream, "rate").collect()
+    got = jobs.settled(jobs.run_to_table(stream, "rate"))
     want = B.rate_limit_flags(log[1], 1.0, 3).select("id", "client_ip", "recent", "rate_limited")
-    batch = {r["id"]: r for r in want.collect()}
-    assert sorted(r["id"] for r in got) == sorted(batch)
-    # Equal timestamps: the stream counts by arrival (id), the batch counts them together.
-    rows = {r[0]: r for r in log[0]}
-    for r in got:
-        later_peers = sum(
-            1 for q in log[0] if q[2] == r["client_ip"] and q[1] == rows[r["id"]][1] and q[0] > r["id"]
-        )
-        assert r["recent"] == batch[r["id"]]["recent"] - later_peers
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_late_queries_raise_later_counts(spark):
+    """Files out of order: 5.0, 3.5, 5.5 seconds, then a late 4.8 that falls into two windows already counted."""
+    path = fresh_dir(spark, "late-queries")
+    for i, at in enumerate([5.0, 3.5, 5.5, 4.8, 5.5]):
+        row = [(i, START + timedelta(seconds=at), "c")]
+        spark.createDataFrame(row, "id long, ts timestamp, client_ip string").coalesce(1).write.mode("append").parquet(path)
+    emitted = jobs.run_to_table(jobs.stream_rate_limit(jobs.file_stream(spark, path, 1), 1.0, 2, slices=3), "late")
+    got = {r["id"]: (r["recent"], r["rate_limited"]) for r in jobs.settled(emitted).collect()}
+    assert got == {0: (2, False), 1: (1, False), 2: (4, True), 3: (1, False), 4: (4, True)}
+    first = emitted.groupBy("id").agg(F.min("recent").alias("recent")).collect()
+    assert {r["id"]: r["recent"] for r in first} == {0: 1, 1: 1, 2: 2, 3: 1, 4: 4}
+
+
+def shuffled_batches(spark, rows, schema, path, files):
+    """Land rows as `files` files; a row may come one file later than its time says."""
+    rng = random.Random(len(rows))
+    parts = [[] for _ in range(files + 1)]
+    size = -(-len(rows) // files)
+    for k, row in enumerate(sorted(rows, key=lambda r: r[1])):
+        parts[k // size + (rng.random() < 0.3)].append(row)
+    for part in parts:
+        rng.shuffle(part)
+        if part:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+QUERIES = "id long, ts timestamp, client_ip string, domain string, query_type string, dga_prob double, decision double"
+ANSWERS = "id long, ts timestamp, domain string, ip string"
+
+
+def test_live_detection_equals_the_stored_log(spark):
+    rows, answers = make_rows(500)
+    answers = [a[:4] for a in answers]
+    limits = {"rate_limit": 4, "shadow_limit": 6, "flux_limit": 3}
+    path = fresh_dir(spark, "detect")
+    shuffled_batches(spark, rows, QUERIES, f"{path}/queries", 5)
+    shuffled_batches(spark, answers, ANSWERS, f"{path}/answers", 5)
+    listed = spark.createDataFrame([("bad.evil.org",)], "domain string")
+
+    def run(checkpoint="checkpoint", **more):
+        jobs.stream_detect(
+            jobs.file_stream(spark, f"{path}/queries", 1), jobs.file_stream(spark, f"{path}/answers", 1),
+            f"{path}/log", f"{path}/alerts", f"{path}/state", f"{path}/{checkpoint}", lambda: listed,
+            delay="1 hour", **limits, **more,
+        ).awaitTermination()
+        return spark.read.schema(log_schema).parquet(f"{path}/log").collect() if os.path.isdir(f"{path}/log") else []
+
+    log_schema = "id long, threat_type string, threat_score double, blocked boolean"
+    held = run()
+    last = max(r[1] for r in rows)
+    # Two later events of nobody's move the watermark past everything, in a second run of the same stream.
+    for k in (1, 2):
+        beat = [(-k, last + timedelta(hours=4 * k), None, None, None, None, None)]
+        spark.createDataFrame(beat, QUERIES).coalesce(1).write.mode("append").parquet(f"{path}/queries")
+    got = run(trigger={"availableNow": True})
+    assert len(held) < len(got)
+    stored = detection.score_log(
+        spark.createDataFrame(rows, QUERIES), spark.createDataFrame(answers, ANSWERS), listed, **limits
+    ).collect()
+    want = {r["id"]: (r["threat_type"], float(r["score"]), r["blocked"]) for r in stored}
+    seen = {r["id"]: (r["threat_type"], r["threat_score"], r["blocked"]) for r in got if r["id"] >= 0}
+    assert seen == want and sum(r["id"] >= 0 for r in got) == len(want)
+    assert {"FAST_FLUX", "DNS_SHADOWING", "THREAT_INTEL"} <= {v[0] for v in want.values()}
+    assert sorted(map(tuple, run())) == sorted(map(tuple, got))  # nothing new, nothing doubled
+
+
+def test_versioned_table_replays_across_a_compaction(spark):
+    path = fresh_dir(spark, "versions")
+    table = VersionedTable(spark, path, "x long", every=3)
+    rows = lambda *xs: spark.createDataFrame([(x,) for x in xs], "x long")
+    content = lambda before=None: sorted(r["x"] for r in table.read(before).collect())
+    assert content() == []
+    for k in range(5):
+        table.append(k, rows(10 * k, 10 * k + 1))
+    assert [f.rsplit("/", 1)[1] for f in table.folders()] == ["snapshot=2", "delta=3", "delta=4"]
+    assert content(2) == [0, 1, 10, 11] and content(3) == [0, 1, 10, 11, 20, 21]
+    table.append(2, rows(20, 21))  # the batch that compacted is replayed
+    assert content() == sorted(10 * k + d for k in range(5) for d in (0, 1))
+    table.append(5, rows(50))
+    assert [f.rsplit("/", 1)[1] for f in table.folders()] == ["snapshot=5"] and len(content()) == 11
+    table.append(5, rows(55))  # another content of the same batch takes the place of the first
+    assert content()[-1] == 55 and len(content()) == 11
 
 
 def test_stream_crossings_equal_batch_bases(spark, log):
@@ -147,18 +227,19 @@ def test_scored_batches_are_written_once_and_see_the_new_list(spark):
     assert run() == first
 
 
-def test_feed_refresh_keeps_earlier_rows(spark):
+def test_feed_refresh_reads_a_snapshot_and_open_versions(spark):
     path = fresh_dir(spark, "refresh")
     start = spark.createDataFrame([(1, "old.com", "x", "s")], "id long, domain string, category string, source string")
-    start.write.parquet(f"{path}/list/batch_id=-1")
-    for text in ("http://old.com/\nhttp://new.com/a", "http://new.com/b\nhttp://newer.com/"):
+    listed = jobs.blocklist_table(spark, f"{path}/list", every=3)
+    listed.append(-1, start)
+    texts = ["http://old.com/\nhttp://new.com/a", "http://new.com/b\nhttp://newer.com/", "http://a.com/", "http://b.com/\nhttp://a.com/", "http://c.com/"]
+    for text in texts:
         spark.createDataFrame([(t,) for t in text.split("\n")], "value string").coalesce(1).write.mode(
             "append"
         ).text(f"{path}/landed")
         jobs.stream_feed_refresh(
-            spark, f"{path}/landed", parse_url_blocklist, f"{path}/list", f"{path}/checkpoint"
+            spark, f"{path}/landed", parse_url_blocklist, listed, f"{path}/checkpoint"
         ).awaitTermination()
-    rows = spark.read.parquet(f"{path}/list").collect()
-    assert sorted((r["domain"], r["category"]) for r in rows) == [
-        ("new.com", "Phishing"), ("newer.com", "Phishing"), ("old.com", "x")
-    ]
+    rows = sorted((r["domain"], r["category"]) for r in listed.read().collect())
+    assert rows == sorted([*((d, "Phishing") for d in ("new.com", "newer.com", "a.com", "b.com", "c.com")), ("old.com", "x")])
+    assert len(listed.folders()) <= 3 and "snapshot=" in listed.folders()[0]
