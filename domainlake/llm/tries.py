@@ -45,7 +45,7 @@ def _runs(conv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def along(rows: DataFrame, *order: Column | str) -> DataFrame:
     """`rows(conv_id, h1, h2, ...)` with i, a row's place in its conversation in the given order (from 0),
-    and p1, p2, the hashes of the conversation from its first row to this one.
+    and p1, p2, the hashes of the conversation from its first row to this one: sums of h times base**i.
 
     The order starts with conv_id. Partitions number their own rows; a conversation that goes on from
     earlier partitions is shifted by what those hold of it. Only one row for each partition reaches the
@@ -114,8 +114,37 @@ def along(rows: DataFrame, *order: Column | str) -> DataFrame:
     return placed.mapInArrow(shifted, placed.drop("part").schema)
 
 
+def _power(base: int, exponents: np.ndarray) -> np.ndarray:
+    """base**exponent modulo 2**64, for exponents of either sign."""
+    values, where = np.unique(exponents, return_inverse=True)
+    return np.array([pow(base, int(k), 1 << 64) for k in values], dtype=np.uint64)[where]
+
+
+def _rebased(rows: DataFrame) -> DataFrame:
+    """(conv_id, depth, p1, p2, q1, q2, size): hashes of the rebuilt prefix up to the row, and without the row.
+
+    `rows` has the row's own prefix (i, p1, p2), that of the conversation's first h turns (h, s1, s2) and that of
+    the `given` opening turns which take their place (g1, g2).
+    """
+
+    def work(batches):
+        for batch in batches:
+            i, h, given = (batch.column(c).to_numpy() for c in ("i", "h", "given"))
+            position = i - h + given
+            prefixes, without = [], []
+            for k, base in zip("12", BASES):
+                p, s, g, term = (batch.column(f"{c}{k}").to_numpy().view(np.uint64) for c in "psgh")
+                prefix = g + (p - s) * _power(base, given - h)
+                prefixes.append(pa.array(prefix.view(np.int64)))
+                without.append(pa.array((prefix - term * _power(base, position)).view(np.int64)))
+            columns = [batch.column("conv_id"), pa.array(position + 1), *prefixes, *without, batch.column("size")]
+            yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "depth", "p1", "p2", "q1", "q2", "size"])
+
+    return rows.mapInArrow(work, "conv_id long, depth long, p1 long, p2 long, q1 long, q2 long, size long")
+
+
 def rebuilt(conversations: DataFrame, most: int = 6, family: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(turns, conversations): (conv_id, position, h1, h2, size) of rebuilt turns, and (conv_id, size).
+    """(turns, conversations): prefixes of rebuilt conversations (see `_rebased`), and (conv_id, size).
 
     A conversation starts with the first h turns of the one that opens its family and goes on with its own
     after its first h; h is the checksum of its id modulo `most`.
@@ -130,22 +159,34 @@ def rebuilt(conversations: DataFrame, most: int = 6, family: int = 100) -> tuple
     )
     # Equal rows of one conversation would fall into one partition without the last column.
     turns = turns.withColumn("row", F.monotonically_increasing_id())
-    own = along(turns, "conv_id", F.col("turn").asc_nulls_first(), "h1", "h2", "row").drop("turn", "row", "p1", "p2")
-    own = written(own, "turns")
-    heads = own.where((F.col("conv_id") % family == 0) & (F.col("i") < most - 1))
+    own = along(turns, "conv_id", F.col("turn").asc_nulls_first(), "h1", "h2", "row").drop("turn", "row")
     h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % most
-    convs = own.groupBy("conv_id").agg(F.count("*").alias("n")).withColumn("h", h)
+    none = F.lit(0).cast("long")
+    # The last of a conversation's first h turns has the prefix of all of them.
+    start = F.max(F.when(F.col("i") == F.col("h") - 1, F.struct("p1", "p2")))
+    convs = own.withColumn("h", h).groupBy("conv_id", "h").agg(F.count("*").alias("n"), start.alias("s"))
     convs = convs.withColumn("opener", F.col("conv_id") - F.col("conv_id") % family)
-    given = heads.groupBy(F.col("conv_id").alias("opener")).agg(F.count("*").alias("given"))
-    convs = convs.join(given, "opener", "left").withColumn("given", F.least(F.coalesce("given", F.lit(0)), "h"))
-    convs = written(convs.select("conv_id", "opener", "h", "given", "n"), "conversations")
-    # A family has at most `family` members and an opener gives less than `most` turns.
-    first = convs.join(heads.withColumnRenamed("conv_id", "opener"), "opener").where("i < h")
-    rest = lookup(own, convs.select("conv_id", "h", "given"), "conv_id").where("i >= h")
-    columns = ["h1", "h2", "size"]
-    turns = first.select("conv_id", F.col("i").alias("position"), *columns).union(
-        rest.select("conv_id", (F.col("i") - F.col("h") + F.col("given")).alias("position"), *columns)
-    )
+    heads = own.where((F.col("conv_id") % family == 0) & (F.col("i") < most - 1))
+    opening = heads.groupBy(F.col("conv_id").alias("opener")).agg(
+        F.count("*").alias("count"), F.array_sort(F.collect_list(F.struct("i", "p1", "p2"))).alias("prefixes")
+    )  # less than `most` of each
+    convs = convs.join(opening, "opener", "left").withColumn("given", F.least(F.coalesce("count", none), "h"))
+    last = F.when(F.col("given") > 0, F.element_at("prefixes", F.greatest(F.col("given"), F.lit(1)).cast("int")))
+    convs = written(
+        convs.select(
+            "conv_id", "opener", "h", "n", "given",
+            *[F.coalesce(F.col(f"s.p{k}"), none).alias(f"s{k}") for k in "12"],
+            *[F.coalesce(last[f"p{k}"], none).alias(f"g{k}") for k in "12"],
+        ),
+        "conversations",
+    )
+    # Where all turns are replaced, no prefix of the first h is needed.
+    rest = lookup(own, convs.drop("opener", "n"), "conv_id").where("i >= h")
+    columns = ["conv_id", "i", "h", "given", "p1", "p2", "s1", "s2", "g1", "g2", "h1", "h2", "size"]
+    # A family has at most `family` members; an opening turn keeps its own prefix.
+    first = convs.select("conv_id", "opener", "h").join(heads.withColumnRenamed("conv_id", "opener"), "opener").where("i < h")
+    kept = {"h": none, "given": none, "s1": none, "s2": none, "g1": none, "g2": none}
+    turns = _rebased(rest.select(columns).union(first.withColumns(kept).select(columns)))
     size = F.col("given") + F.greatest(F.col("n") - F.col("h"), F.lit(0))
     return turns, convs.select("conv_id", size.alias("size"))
 
@@ -188,31 +229,11 @@ def _next_siblings(nodes: DataFrame) -> DataFrame:
 
 def trie_nodes(turns: DataFrame, conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, ends): a row for each node with its links, and (conv_id, depth, member) of where members end."""
-    sums = written(along(turns, "conv_id", "position"), "prefixes")
-    depth = F.col("position") + 1
-    prefixes = sums.select("conv_id", depth.alias("depth"), "p1", "p2", "h1", "h2", "size")
-    nodes = prefixes.groupBy("depth", "p1", "p2").agg(
-        F.count("*").alias("n_convs"),
-        F.min("conv_id").alias("conv_id"),
-        F.min("h1").alias("h1"),
-        F.min("h2").alias("h2"),
-        F.min("size").alias("size"),
+    sums = written(turns, "prefixes")
+    nodes = sums.groupBy("depth", "p1", "p2").agg(
+        F.count("*").alias("n_convs"), *[F.min(c).alias(c) for c in ("conv_id", "q1", "q2", "size")]
     )
-
-    def before(batches):
-        for batch in batches:
-            d = batch.column("depth").to_numpy()
-            out = []
-            for p, h, base in zip(("p1", "p2"), ("h1", "h2"), BASES):
-                unique, where = np.unique(d, return_inverse=True)
-                power = np.array([pow(base, int(k) - 1, 1 << 64) for k in unique], dtype=np.uint64)[where]
-                own = batch.column(h).to_numpy().view(np.uint64) * power
-                out.append(pa.array((batch.column(p).to_numpy().view(np.uint64) - own).view(np.int64)))
-            names = ["depth", "p1", "p2", "n_convs", "conv_id", "size"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *out], names=[*names, "q1", "q2"])
-
-    schema = "depth long, p1 long, p2 long, n_convs long, conv_id long, size long, q1 long, q2 long"
-    nodes = written(nodes.mapInArrow(before, schema), "nodes")
+    nodes = written(nodes, "nodes")
     total = conversations.agg(F.count("*").alias("n"), F.min("conv_id").alias("least")).first()
     spark = turns.sparkSession
     top = spark.createDataFrame([(total["least"], total["n"])], "conv_id long, n_convs long")
@@ -220,20 +241,20 @@ def trie_nodes(turns: DataFrame, conversations: DataFrame) -> tuple[DataFrame, D
         "conv_id", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent"), "n_convs", F.lit(0).cast("long").alias("size")
     )
     names = nodes.select((F.col("depth") + 1).alias("depth"), F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.col("conv_id").alias("parent"))
-    deeper = nodes.where("depth > 1").join(names.hint("merge"), ["depth", "q1", "q2"])
+    deeper = nodes.where("depth > 1").join(names, ["depth", "q1", "q2"])
     columns = ["conv_id", "depth", "parent", "n_convs", "size"]
     linked = nodes.where("depth = 1").withColumn("parent", F.lit(total["least"]).cast("long"))
     linked = written(root.union(deeper.select(columns)).union(linked.select(columns)), "linked")
     children = linked.where("depth > 0").groupBy(F.col("parent").alias("conv_id"), (F.col("depth") - 1).alias("depth"))
     children = children.agg(F.count("*").alias("n_children"), F.min("conv_id").alias("child"))
     found = (
-        linked.join(children.hint("merge"), ["conv_id", "depth"], "left")
-        .join(_next_siblings(linked).hint("merge"), ["conv_id", "depth"], "left")
+        linked.join(children, ["conv_id", "depth"], "left")
+        .join(_next_siblings(linked), ["conv_id", "depth"], "left")
         .withColumn("n_children", F.coalesce("n_children", F.lit(0)))
     )
-    last = sums.join(conversations.withColumnRenamed("size", "turns").hint("merge"), "conv_id").where("position = turns - 1")
+    last = sums.join(conversations.withColumnRenamed("size", "turns"), "conv_id").where("depth = turns")
     at = nodes.select("depth", "p1", "p2", "conv_id")
-    last = last.select(depth.alias("depth"), "p1", "p2", F.col("conv_id").alias("member")).join(at.hint("merge"), ["depth", "p1", "p2"])
+    last = last.select("depth", "p1", "p2", F.col("conv_id").alias("member")).join(at, ["depth", "p1", "p2"])
     turnless = conversations.where("size = 0").select(
         F.lit(total["least"]).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.col("conv_id").alias("member")
     )
@@ -288,113 +309,140 @@ def end_digests(ends: DataFrame) -> DataFrame:
     return together.mapInArrow(_digests, "conv_id long, depth long, sha string")
 
 
-def _contract(c, d, parent, child, sibling, leaf, save):
-    """The tour's stretches within some nodes (sorted by conv_id and depth), as columns of one row a node.
+ARC = ["conv_id", "depth", "exit", "to_conv", "to_depth", "to_exit", "arcs", "leaves", "saved", "started"]
+ARCS = "conv_id long, depth long, exit boolean, to_conv long, to_depth long, to_exit boolean, arcs long, leaves long, saved long, started boolean"
 
-    For each node's enter and exit arc: where its stretch goes on (null: nowhere), the sums of arcs, leaves
-    and savings from it to the stretch's end, and whether a stretch starts with it. `child` and `sibling`
-    are masked where there is none.
-    """
-    n = len(c)
-    first, run = _runs(c)
-    count = np.diff(np.append(first, n))
-
-    def place(conv, depth):
-        """Index of nodes among these, -1 for others: depths of one conversation follow each other."""
-        at = np.minimum(np.searchsorted(c[first], conv), len(first) - 1)
-        ahead = depth - d[first[at]]
-        here = (c[first[at]] == conv) & (ahead >= 0) & (ahead < count[at])
-        return np.where(here, first[at] + ahead, -1)
-
-    no_child, no_sibling = np.ma.getmaskarray(child), np.ma.getmaskarray(sibling)
-    child, sibling = np.ma.getdata(child), np.ma.getdata(sibling)
-    to_conv = np.concatenate([np.where(no_child, c, child), np.where(no_sibling, parent, sibling)])
-    to_depth = np.concatenate([np.where(no_child, d, d + 1), np.where(no_sibling, d - 1, d)])
-    to_exit = np.concatenate([no_child, no_sibling])
+
+def _arcs(nodes: pa.Table) -> pa.Table:
+    """The enter and the exit arc of every node: where the tour goes on (null: nowhere), and what it counts."""
+    n = nodes.num_rows
+    column = {c: nodes.column(c).combine_chunks() for c in nodes.schema.names}
+    c, d, leaf, save = (column[x].to_numpy() for x in ("conv_id", "depth", "leaf", "save"))
+    no_child, no_sibling = (column[x].is_null().to_numpy(zero_copy_only=False) for x in ("child", "sibling"))
+    child, sibling, parent = (column[x].fill_null(0).to_numpy() for x in ("child", "sibling", "parent"))
     end = np.concatenate([np.zeros(n, dtype=bool), no_sibling & (d == 0)])
-    index = place(to_conv, to_depth)
-    following = np.where((index < 0) | end, -1, index + to_exit * n)
-    started = np.ones(2 * n, dtype=bool)
-    started[following[following >= 0]] = False
     none = np.zeros(n, dtype=np.int64)
-    sums = np.stack([np.ones(2 * n, dtype=np.int64), np.append(leaf, none), np.append(save, none)])
-    last, on = np.arange(2 * n), following
-    while (on >= 0).any():
-        own = np.flatnonzero(on >= 0)
-        ahead = on[own]
-        more, tails, further = sums[:, ahead], last[ahead], on[ahead]
-        sums[:, own] += more
-        last[own], on[own] = tails, further
-    columns = [pa.array(c), pa.array(d)]
-    for half in (slice(0, n), slice(n, 2 * n)):
-        tail = last[half]
-        columns += [pa.array(x[tail], mask=end[tail]) for x in (to_conv, to_depth, to_exit)]
-        columns += [pa.array(x) for x in sums[:, half]] + [pa.array(started[half])]
-    return columns
-
+    return pa.table(
+        {
+            "conv_id": np.tile(c, 2),
+            "depth": np.tile(d, 2),
+            "exit": np.repeat([False, True], n),
+            "to_conv": pa.array(np.concatenate([np.where(no_child, c, child), np.where(no_sibling, parent, sibling)]), mask=end),
+            "to_depth": pa.array(np.concatenate([np.where(no_child, d, d + 1), np.where(no_sibling, d - 1, d)]), mask=end),
+            "to_exit": pa.array(np.concatenate([no_child, no_sibling]), mask=end),
+            "arcs": np.ones(2 * n, dtype=np.int64),
+            "leaves": np.append(leaf, none),
+            "saved": np.append(save, none),
+        }
+    )
 
-ARC = ["to_conv", "to_depth", "to_exit", "arcs", "leaves", "saved", "started"]
-ARC_TYPES = ["long", "long", "boolean", "long", "long", "long", "boolean"]
 
+def _contract(arcs: pa.Table) -> pa.Table:
+    """`arcs` with the stretches contracted that these arcs make: each goes on where its stretch does, has the
+    sums from itself to the stretch's end, and is marked if a stretch starts with it."""
+    column = {c: arcs.column(c).combine_chunks() for c in arcs.schema.names}
+    end = column["to_conv"].is_null().to_numpy(zero_copy_only=False)
+    own, to = (
+        [column[c].fill_null(0 if c[-4:] != "exit" else False).to_numpy(zero_copy_only=False) for c in names]
+        for names in (("conv_id", "depth", "exit"), ("to_conv", "to_depth", "to_exit"))
+    )
+    convs = np.unique(own[0])
+    deepest = int(own[1].max()) + 1
+
+    def code(conv, depth, exit_):
+        """One number for every arc of these conversations, -1 for others."""
+        at = np.minimum(np.searchsorted(convs, conv), len(convs) - 1)
+        here = (convs[at] == conv) & (depth < deepest)
+        return np.where(here, (at * deepest + depth) * 2 + exit_, -1)
+
+    codes = code(*own)
+    order = np.argsort(codes, kind="stable")
+    wanted = np.where(end, -1, code(*to))
+    at = np.minimum(np.searchsorted(codes[order], wanted), len(codes) - 1)
+    on = np.where((wanted >= 0) & (codes[order][at] == wanted), order[at], -1)
+    started = np.ones(len(codes), dtype=bool)
+    started[on[on >= 0]] = False
+    sums = np.stack([column[c].to_numpy() for c in ("arcs", "leaves", "saved")])
+    last = np.arange(len(codes))
+    while (on >= 0).any():
+        rows = np.flatnonzero(on >= 0)
+        ahead = on[rows]
+        more, tails, further = sums[:, ahead], last[ahead], on[ahead]
+        sums[:, rows] += more
+        last[rows], on[rows] = tails, further
+    tails = pa.array(last)
+    out = {c: column[c] for c in ("conv_id", "depth", "exit")}
+    out |= {c: column[c].take(tails) for c in ("to_conv", "to_depth", "to_exit")}
+    out |= {c: pa.array(x) for c, x in zip(("arcs", "leaves", "saved"), sums)}
+    return pa.table(out | {"started": pa.array(started)})
 
-def contracted(trie: DataFrame) -> DataFrame:
-    """(conv_id, depth, enter_*, exit_*): the tour with the stretches contracted that tasks hold."""
-    rows = trie.select(
-        "conv_id", "depth", "parent", "child", "sibling",
-        (F.col("n_children") == 0).cast("long").alias("leaf"), ((F.col("n_convs") - 1) * F.col("size")).alias("save"),
-    )
-    names = ["conv_id", "depth", *[f"{side}_{name}" for side in ("enter", "exit") for name in ARC]]
 
-    def column(table, name):
-        x = table.column(name).combine_chunks()
-        plain = x.fill_null(0).to_numpy(zero_copy_only=False)
-        return np.ma.masked_array(plain, x.is_null().to_numpy(zero_copy_only=False)) if x.null_count else plain
+def _in_blocks(rows: DataFrame, work) -> DataFrame:
+    """Apply `work` to at most BLOCK rows of a partition at a time."""
 
-    def work(batches):
+    def run(batches):
         held, n = [], 0
-
-        def done():
-            table = pa.Table.from_batches(held)
-            found = _contract(*(column(table, c) for c in ("conv_id", "depth", "parent", "child", "sibling", "leaf", "save")))
-            yield from pa.Table.from_arrays(found, names=names).to_batches(1 << 14)
-
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
                 n += batch.num_rows
             if n >= BLOCK:
-                yield from done()
+                yield from work(pa.Table.from_batches(held)).to_batches(1 << 14)
                 held, n = [], 0
         if held:
-            yield from done()
+            yield from work(pa.Table.from_batches(held)).to_batches(1 << 14)
 
-    kinds = ["long", "long", *ARC_TYPES, *ARC_TYPES]
-    schema = ", ".join(f"{a} {b}" for a, b in zip(names, kinds))
-    return rows.repartitionByRange("conv_id", "depth").sortWithinPartitions("conv_id", "depth").mapInArrow(work, schema)
+    return rows.mapInArrow(run, ARCS)
+
+
+def contracted(trie: DataFrame) -> DataFrame:
+    """(ARCS): the arcs of all nodes, with the stretches of the tour contracted that tasks hold."""
+    rows = trie.select(
+        "conv_id", "depth", "parent", "child", "sibling",
+        (F.col("n_children") == 0).cast("long").alias("leaf"), ((F.col("n_convs") - 1) * F.col("size")).alias("save"),
+    )
+    rows = rows.repartitionByRange("conv_id", "depth").sortWithinPartitions("conv_id", "depth")
+    return _in_blocks(rows, lambda nodes: _contract(_arcs(nodes)))
 
 
-def ranked(stretches: DataFrame) -> DataFrame:
-    """(conv_id, depth, exit, arcs, leaves, saved): sums from the start of each stretch to the tour's end.
+def jumped(arcs: DataFrame) -> DataFrame:
+    """`arcs` with the sums to the tour's end, by pointer jumping.
 
-    Pointer jumping: in each round a stretch adds the sums of the one it goes on with and takes over its
-    continuation, so the number of rounds is the logarithm of the number of stretches.
+    In each round an arc adds the sums of the one it goes on with and takes over its continuation, so the
+    number of rounds is the logarithm of the number of arcs.
     """
-    sides = [
-        stretches.where(f"{side}_started").select(
-            "conv_id", "depth", F.lit(side == "exit").alias("exit"), *[F.col(f"{side}_{c}").alias(c) for c in ARC[:-1]]
-        )
-        for side in ("enter", "exit")
-    ]
-    now = written(sides[0].union(sides[1]), "stretches")
+    now = written(arcs.select(ARC[:-1]), "jumps")
     while not now.where("to_conv is not null").isEmpty():
         ahead = now.toDF("to_conv", "to_depth", "to_exit", "next_conv", "next_depth", "next_exit", "a", "l", "s")
-        moved = now.where("to_conv is not null").join(ahead.hint("merge"), ["to_conv", "to_depth", "to_exit"])
+        moved = now.where("to_conv is not null").join(ahead, ["to_conv", "to_depth", "to_exit"])
         moved = moved.select(
             "conv_id", "depth", "exit", "next_conv", "next_depth", "next_exit",
             F.col("arcs") + F.col("a"), F.col("leaves") + F.col("l"), F.col("saved") + F.col("s"),
         )
-        now = written(now.where("to_conv is null").union(moved), "stretches")
-    return now.select("conv_id", "depth", "exit", "arcs", "leaves", "saved")
+        now = written(now.where("to_conv is null").union(moved), "jumps")
+    return now
+
+
+def ranked(arcs: DataFrame) -> DataFrame:
+    """(conv_id, depth, exit, arcs, leaves, saved): sums from each of the contracted `arcs` to the tour's end.
+
+    The arcs that start a stretch make a shorter list, which is contracted again: in ranges of conversations
+    while it has more than BLOCK arcs, in one task then. A list that ranges don't shorten by half is ranked
+    by pointer jumping. Going back, an arc adds the sums of the stretch that it goes on with.
+    """
+    starts = arcs.where("started").select(ARC[:-1])
+    n = starts.count()
+    parts = -(-n // BLOCK)
+    if parts <= 1:
+        again = written(_in_blocks(starts.coalesce(1), _contract), "ranks")  # no more than BLOCK arcs
+    else:
+        shorter = written(_in_blocks(starts.repartitionByRange(parts, "conv_id", "depth"), _contract), "stretches")
+        again = ranked(shorter) if 2 * shorter.where("started").count() < n else jumped(starts)
+    further = again.select("conv_id", "depth", "exit", "arcs", "leaves", "saved").toDF("to_conv", "to_depth", "to_exit", "a", "l", "s")
+    found = arcs.select(ARC[:-1]).join(further, ["to_conv", "to_depth", "to_exit"], "left")
+    none = F.lit(0).cast("long")
+    sums = [(F.col(c) + F.coalesce(x, none)).alias(c) for c, x in (("arcs", "a"), ("leaves", "l"), ("saved", "s"))]
+    return found.select("conv_id", "depth", "exit", *sums)
 
 
 def conversation_trie(conversations: DataFrame, most: int = 6, family: int = 100) -> DataFrame:
@@ -409,26 +457,18 @@ def conversation_trie(conversations: DataFrame, most: int = 6, family: int = 100
     """
     turns, convs = rebuilt(conversations.select("conv_id", "turn", "role", "text"), most, family)
     trie, ends = trie_nodes(turns, convs)
-    stretches = written(contracted(trie), "tour")
-    ranks = ranked(stretches)
-    rows = stretches
-    for side in ("enter", "exit"):
-        key = [f"{side}_to_conv", f"{side}_to_depth", f"{side}_to_exit"]
-        found = ranks.toDF(*key, f"{side}_a", f"{side}_l", f"{side}_s")
-        rows = rows.join(found.hint("merge"), key, "left")
-
-    def after(side, own, further):
-        return F.col(f"{side}_{own}") + F.coalesce(f"{side}_{further}", F.lit(0))
-
-    sums = rows.select(
-        "conv_id",
-        "depth",
-        after("enter", "arcs", "a").alias("left"),
-        (after("enter", "leaves", "l") - after("exit", "leaves", "l")).alias("n_leaves"),
-        (after("enter", "saved", "s") - after("exit", "saved", "s")).alias("saved_tokens"),
+    ranks = ranked(written(contracted(trie), "tour"))
+
+    def at(exit_, name):
+        return F.max(F.when(F.col("exit") == exit_, F.col(name)))
+
+    sums = ranks.groupBy("conv_id", "depth").agg(
+        at(False, "arcs").alias("left"),
+        (at(False, "leaves") - at(True, "leaves")).alias("n_leaves"),
+        (at(False, "saved") - at(True, "saved")).alias("saved_tokens"),
     )
     key = ["conv_id", "depth"]
-    whole = trie.join(sums.hint("merge"), key).join(end_digests(ends).hint("merge"), key, "left")
+    whole = trie.join(sums, key).join(end_digests(ends), key, "left")
     arcs = 2 * trie.count()
     return whole.select(
         "conv_id",
