@@ -132,7 +132,7 @@ def labelled_sample(
     """(doc_id, text, *extra, label) of up to `most[value]` documents for each label value, by a hash of the id.
 
     Held-out ids are left out, and so are null labels and ids with two labels; of documents with equal
-    doc_id one is taken. The result is bounded by `most` whatever the tables' sizes.
+    doc_id the one with the smallest text is taken. The result is bounded by `most` whatever the tables' sizes.
     """
     rows = (
         labels.where(~held_out("doc_id") & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -148,11 +148,9 @@ def labelled_sample(
     for part in taken[1:]:
         chosen = chosen.union(part)
     # The ids are bounded by `most`, 16 bytes each, so they go to every task.
-    return (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra)
-        .join(F.broadcast(chosen), "doc_id")
-        .dropDuplicates(["doc_id"])
-    )
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra).join(F.broadcast(chosen), "doc_id")
+    least = F.min(F.struct("text", *extra)).alias("least")
+    return rows.groupBy("doc_id", "label").agg(least).select("doc_id", "label", "least.*")
 
 
 def logistic_scale(margins: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[float, float]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from domainlake.llm.common import labelled_sample, map_slices, text_bytes
-from domainlake.llm.quality import latent_axes, sample_counts, term_counts, term_weights, weighted
+from domainlake.llm.quality import latent_space, term_counts, weighted
 from domainlake.session import written
 
 #: Labelled documents of each quality label to learn from, at most.
@@ -30,12 +30,13 @@ class Domains:
     axes: np.ndarray
     slopes: np.ndarray
 
-    def features(self, counts: np.ndarray) -> np.ndarray:
-        rows = weighted(counts, self.weights) @ self.axes
-        return np.concatenate([rows, np.ones((len(rows), 1), dtype=rows.dtype)], axis=1)
-
     def posteriors(self, texts: list[bytes]) -> np.ndarray:
-        return softmax(self.features(term_counts(texts)).astype(float) @ self.slopes)
+        vectors = weighted(term_counts(texts), self.weights) @ self.axes
+        return softmax(with_constant(vectors).astype(float) @ self.slopes)
+
+
+def with_constant(vectors: np.ndarray) -> np.ndarray:
+    return np.concatenate([vectors, np.ones((len(vectors), 1), dtype=vectors.dtype)], axis=1)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -53,22 +54,20 @@ def fit_domains(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | Non
         "label = 0 or lang is not null"
     )
     rows = rows.withColumn("label", F.when(F.col("label") == 0, "low").otherwise(F.col("lang")))
-    counts, truth = sample_counts(rows)
-    if not truth:
+    space = latent_space(rows, 1.0, axes)
+    if space is None:
         return None
+    weights, directions, vectors, truth = space
     names = sorted(set(truth))
     target = np.array([[t == n for n in names] for t in truth], dtype=float)
-    weights = term_weights(counts, 1.0)
-    model = Domains(names, weights, latent_axes(weighted(counts, weights), axes), np.zeros((axes + 1, len(names))))
-    x = model.features(counts).astype(float)
+    x = with_constant(vectors).astype(float)
     # Accelerated gradient steps on the mean log loss; rows have unit length at most, so the step is safe.
     slopes = ahead = np.zeros((x.shape[1], len(names)))
     for k in range(400):
         slope = x.T @ (softmax(x @ ahead) - target) / len(x) + 1e-5 * ahead
         new = ahead - slope
         ahead, slopes = new + k / (k + 3) * (new - slopes), new
-    model.slopes = slopes
-    return model
+    return Domains(names, weights, directions, slopes)
 
 
 def with_posteriors(docs: DataFrame, model: Domains, text: str = "text") -> DataFrame:
@@ -88,20 +87,24 @@ def with_posteriors(docs: DataFrame, model: Domains, text: str = "text") -> Data
 
 @dataclass
 class Rates:
-    """Rates by posterior: the path of the projected gradient steps so far, from rate `start`.
+    """Rates by posterior: the path of the accelerated projected gradient steps so far, from rate `start`.
 
     A document's rate depends on its posteriors alone, so rates need no table of their own: every task
-    repeats the steps for its rows, and a lost executor loses nothing.
+    repeats the steps for its rows, and a lost executor loses nothing. A step is (momentum, direction): the
+    rates move on by the momentum's share of their last move, then against the direction.
     """
 
     start: float
     least: float
-    steps: list[np.ndarray] = field(default_factory=list)
+    steps: list[tuple[float, np.ndarray]] = field(default_factory=list)
+    #: What the domains' expected tokens still miss of their targets, by name.
+    gap: dict[str, float] = field(default_factory=dict)
 
     def of(self, p: np.ndarray) -> np.ndarray:
-        rates = np.full(len(p), self.start)
-        for step in self.steps:
-            rates = np.maximum(self.least, rates - p @ step)
+        rates = before = np.full(len(p), self.start)
+        for momentum, step in self.steps:
+            ahead = rates + momentum * (rates - before)
+            before, rates = rates, np.maximum(self.least, ahead - p @ step)
         return rates
 
 
@@ -122,7 +125,7 @@ def _totals(rows: DataFrame, rates: Rates, domains: int) -> np.ndarray:
 
 def fit_rates(
     rows: DataFrame, names: list[str], targets: dict[str, float], least: float = 0.0, budget: float | None = None,
-    steps: int = 60, close: float = 1e-4,
+    close: float = 1e-4,
 ) -> Rates:
     """Rates, at least `least`, whose expected domain tokens come nearest to the targets.
 
@@ -130,8 +133,9 @@ def fit_rates(
     named ones share the rest by their weights. The targets' shares (of the domains that have tokens) times `budget` are the
     wanted totals; without a budget it is the smallest one that thins no domain below one copy. Least
     squares, each domain scaled by its tokens, by projected gradient steps; every step sums the domains'
-    totals over all documents and brings one number for each domain to the driver. It stops when all totals
-    are within `close` of the targets or move by less than that, or after `steps`.
+    totals over all documents and brings one number for each domain to the driver. It goes on until all totals
+    are within `close` of the targets or move by less than half of that, which they do once the least rate
+    holds back what is left; `gap` of the result says how far each domain's total is from its target.
     """
     now = _totals(rows, Rates(1.0, 0.0), len(names))
     share = np.array([targets.get(n, 0.0) for n in names]) * (now > 0)
@@ -145,14 +149,19 @@ def fit_rates(
     scale = np.maximum(now, 1e-9)
     rates = Rates(max(least, 1.0), least)
     near = close * np.maximum(want, budget * 1e-3)
-    for _ in range(steps):
-        gap = now - want
-        if (np.abs(gap) <= near).all():
-            break
-        rates.steps.append(gap / scale)
+    before, age = now, 0
+    while (np.abs(now - want) > near).any():
+        momentum = age / (age + 3)
+        ahead = now + momentum * (now - before)  # totals are linear in the rates
+        rates.steps.append((momentum, (ahead - want) / scale))
+        cost = ((now - want) ** 2 / scale).sum()
         before, now = now, _totals(rows, rates, len(names))
-        if (np.abs(now - before) <= near).all():
+        # Momentum that leads uphill starts anew; without any, a step that moves little is at the optimum.
+        stands = (np.abs(now - before) <= near / 2).all()
+        if stands and not age:
             break
+        age = 0 if stands or ((now - want) ** 2 / scale).sum() > cost else age + 1
+    rates.gap = {n: float(x) for n, x in zip(names, want - now)}
     return rates
 
 
@@ -194,7 +203,9 @@ def mix(
 ) -> DataFrame:
     """`docs` with every row as often as its rate says, so that domains' tokens come near to the targets.
 
-    With `least` 1 every document stays at least once. All columns are returned unchanged.
+    With `least` 1 every document stays at least once. All columns are returned unchanged. A null text is
+    empty; rows with equal or null doc_id are treated one by one, and rows equal in id and text are repeated
+    equally often; without labelled documents every row stays once; an empty table gives an empty table.
     """
     plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     doc_id, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))

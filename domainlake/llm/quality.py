@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from domainlake.llm.common import labelled_sample, map_slices, text_bytes, word_hashes, words_of
+from domainlake.session import written
 
 #: Labelled documents of each label that vote, at most, and numbers of hashed word and shape terms.
 SAMPLE = {0: 1500, 1: 3500}
@@ -72,9 +73,7 @@ class Neighbours:
     nearest: int = 25
 
     def project(self, counts: np.ndarray) -> np.ndarray:
-        vectors = weighted(counts, self.weights) @ self.axes
-        length = np.linalg.norm(vectors, axis=1, keepdims=True)
-        return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 1e-6)
+        return unit(weighted(counts, self.weights) @ self.axes)
 
     def scores(self, texts: list[bytes], block: int = 512) -> np.ndarray:
         """Of every text, the share of label 1 among its nearest neighbours, weighted by similarity.
@@ -104,35 +103,135 @@ def weighted(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0).astype(np.float32)
 
 
-def sample_counts(rows: DataFrame) -> tuple[np.ndarray, list]:
-    """Term counts and labels of a bounded sample `rows(doc_id, text, label)`, by doc_id."""
+def counted_sample(rows: DataFrame) -> DataFrame:
+    """(doc_id, label, raw): term counts of a bounded sample `rows(doc_id, text, label)`, written."""
 
     def work(batch):
-        counts = np.minimum(term_counts(text_bytes(batch.column("text"))), 60000).astype(np.float16)
-        raw = pa.array([c.tobytes() for c in counts], pa.binary())
+        raw = pa.array([c.tobytes() for c in term_counts(text_bytes(batch.column("text")))], pa.binary())
         columns = [batch.column("doc_id"), batch.column("label"), raw]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "raw"])
 
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
     kind = rows.schema["label"].dataType.simpleString()
-    found = map_slices(rows, "text", work, f"doc_id long, label {kind}, raw binary").collect()
-    found = sorted(found, key=lambda r: r["doc_id"])
-    counts = [np.frombuffer(r["raw"], dtype=np.float16) for r in found]
-    return np.array(counts, dtype=np.float32).reshape(-1, TERMS), [r["label"] for r in found]
+    return written(map_slices(rows, "text", work, f"doc_id long, label {kind}, raw binary"), "counts")
 
 
-def term_weights(counts: np.ndarray, words: float) -> np.ndarray:
-    """Inverse document frequencies; hashed words count `words` times as much as forms."""
-    seen = (counts > 0).sum(axis=0)
-    weights = np.where(seen > 0, np.log((1 + len(counts)) / (1 + seen)) + 0.3, 0).astype(np.float32)
+def _blocks(batches, size: int = 512):
+    """Batches in slices of at most `size` rows, each with its matrix of term counts."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, size):
+            part = batch.slice(k, size)
+            yield part, np.frombuffer(b"".join(part.column("raw").to_pylist()), dtype=np.float32).reshape(-1, TERMS)
+
+
+def term_weights(counted: DataFrame, words: float) -> np.ndarray:
+    """Inverse document frequencies, summed in the tasks; hashed words count `words` times as much as forms."""
+
+    def work(batches):
+        seen = np.zeros(TERMS + 1, dtype=np.int64)
+        for _, counts in _blocks(batches):
+            seen[:TERMS] += (counts > 0).sum(axis=0)
+            seen[TERMS] += len(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(TERMS + 1)), pa.array(seen)], names=["term", "n"])
+
+    sums = counted.select("raw").mapInArrow(work, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    seen = np.zeros(TERMS + 1)
+    for r in sums.collect():  # TERMS rows, whatever the sample
+        seen[r["term"]] = r["n"]
+    seen, n = seen[:TERMS], seen[TERMS]
+    weights = np.where(seen > 0, np.log((1 + n) / (1 + seen)) + 0.3, 0).astype(np.float32)
     weights[:WORDS] *= words
     return weights
 
 
-def latent_axes(rows: np.ndarray, axes: int) -> np.ndarray:
-    """The `axes` largest right singular directions of some rows."""
-    _, vectors = np.linalg.eigh((rows.T @ rows).astype(np.float64))
-    return vectors[:, ::-1][:, :axes].astype(np.float32)
+def gram_matrix(counted: DataFrame, weights: np.ndarray) -> np.ndarray:
+    """Products of all pairs of weighted terms, summed over the sample: a matrix in each task, added up by
+    rows in others, so that the driver holds one matrix, whatever the sample."""
+
+    def partial(batches):
+        total = np.zeros((TERMS, TERMS), dtype=np.float32)
+        for _, counts in _blocks(batches):
+            rows = weighted(counts, weights)
+            total += rows.T @ rows
+        for k in range(0, TERMS, 128):
+            terms = np.arange(k, min(k + 128, TERMS))
+            raw = pa.array([total[t, t:].tobytes() for t in terms], pa.binary())  # the other half is the same
+            yield pa.RecordBatch.from_arrays([pa.array(terms), raw], names=["term", "products"])
+
+    def summed(batches):
+        term, total = None, None
+        for batch in batches:
+            for t, raw in zip(batch.column("term").to_pylist(), batch.column("products").to_pylist()):
+                if t != term:
+                    if total is not None:
+                        yield _row(term, total)
+                    term, total = t, np.zeros(TERMS - t)
+                total += np.frombuffer(raw, dtype=np.float32)
+        if total is not None:
+            yield _row(term, total)
+
+    def _row(term, total):
+        raw = pa.array([total.astype(np.float32).tobytes()], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([term], pa.int64()), raw], names=["term", "products"])
+
+    schema = "term long, products binary"
+    parts = counted.select("raw").mapInArrow(partial, schema)
+    rows = parts.repartition("term").sortWithinPartitions("term").mapInArrow(summed, schema)
+    out = np.zeros((TERMS, TERMS), dtype=np.float32)
+    for r in written(rows, "products").toLocalIterator():  # a part at a time
+        t = r["term"]
+        out[t, t:] = out[t:, t] = np.frombuffer(r["products"], dtype=np.float32)
+    return out
+
+
+def latent_axes(products: np.ndarray, axes: int, most: int = 200, close: float = 1e-4) -> np.ndarray:
+    """The `axes` leading eigenvectors of a Gram matrix, by subspace iteration until they stand still.
+
+    Some more directions than asked for are carried along, which the leading ones settle in. Unlike a full
+    decomposition it needs little more memory than the matrix.
+    """
+    wide = min(len(products), axes + 32)
+    basis = np.linalg.qr(np.random.default_rng(7).normal(size=(len(products), wide)))[0].astype(np.float32)
+    before = np.zeros(wide)
+    for _ in range(most):
+        basis = np.linalg.qr(products @ basis)[0]
+        values, turn = np.linalg.eigh((basis.T @ (products @ basis)).astype(np.float64))
+        if np.abs(values - before).max() <= close * max(values[-1], 1e-9):
+            break
+        before = values
+    return (basis @ turn[:, ::-1][:, :axes].astype(np.float32)).astype(np.float32)
+
+
+def sample_vectors(counted: DataFrame, weights: np.ndarray, axes: np.ndarray) -> tuple[np.ndarray, list]:
+    """Latent vectors (not scaled) and labels of the sample by doc_id; the tasks project the counts."""
+
+    def work(batches):
+        for part, counts in _blocks(batches):
+            raw = pa.array([v.tobytes() for v in (weighted(counts, weights) @ axes).astype(np.float32)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), raw], names=["doc_id", "label", "raw"])
+
+    found = sorted(counted.mapInArrow(work, counted.schema).collect(), key=lambda r: r["doc_id"])
+    vectors = [np.frombuffer(r["raw"], dtype=np.float32) for r in found]
+    return np.array(vectors, dtype=np.float32).reshape(-1, axes.shape[1]), [r["label"] for r in found]
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 1e-6)
+
+
+def latent_space(rows: DataFrame, words: float, axes: int):
+    """(weights, axes, vectors, labels) of a bounded sample `rows(doc_id, text, label)`; None if it is empty.
+
+    All sums over the sample are made in tasks: the driver gets document frequencies, one Gram matrix of the
+    terms (TERMS squared, 28 MB), which it frees again, and the projected vectors.
+    """
+    counted = counted_sample(rows)
+    if counted.isEmpty():
+        return None
+    weights = term_weights(counted, words)
+    directions = latent_axes(gram_matrix(counted, weights), axes)
+    return weights, directions, *sample_vectors(counted, weights, directions)
 
 
 def fit_neighbours(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None, axes: int = 48):
@@ -142,24 +241,22 @@ def fit_neighbours(docs: DataFrame, labels: DataFrame, sample: dict[int, int] |
     largest singular directions. Single words tell less about quality than form does and count a fifth.
     None without labelled documents.
     """
-    counts, truth = sample_counts(labelled_sample(docs, labels, "quality", sample or SAMPLE))
-    if not truth:
+    space = latent_space(labelled_sample(docs, labels, "quality", sample or SAMPLE), 0.2, axes)
+    if space is None:
         return None
-    weights = term_weights(counts, 0.2)
-    model = Neighbours(weights, latent_axes(weighted(counts, weights), axes), np.zeros((0, axes)), np.array(truth, dtype=float))
-    model.vectors = model.project(counts)
-    return model
+    weights, directions, vectors, truth = space
+    return Neighbours(weights, directions, unit(vectors), np.array(truth, dtype=float))
 
 
 def score_quality(docs: DataFrame, model: Neighbours | None, name: str = "score") -> DataFrame:
-    """`docs` with a score from 0 to 1 of every whole text; without a model every score is null.
+    """`docs` with a score from 0 to 1 of every whole text; without a model every score is 0.5.
 
     A null text is empty; a text without words gets the share of label 1 in the sample. All rows and
     columns are kept; a column of that name is replaced. An empty table gives an empty table.
     """
     rows = docs.drop(name)
     if model is None:
-        return rows.withColumn(name, F.lit(None).cast("double"))
+        return rows.withColumn(name, F.lit(0.5))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample: about 2 MB
 
     def work(batch):
