@@ -1,4 +1,9 @@
-"""Training corpus from raw documents: a chain of five stages, each written and read again."""
+"""Training corpus from raw documents: a chain of five stages, each written and read again.
+
+Every stage takes a null text for an empty one (and keeps it null), treats rows with equal or null doc_id
+one by one, and gives an empty table for an empty one; what ties and repeated rows get is said in the
+docstrings of the operators that the stages call.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from domainlake.llm.common import table
 from domainlake.llm.mixing import mix
-from domainlake.llm.near_copies import drop_near_copies
 from domainlake.llm.packing import pack
 from domainlake.llm.secrets import redact_secrets
+from domainlake.llm.simhash import drop_near_duplicates
 from domainlake.llm.toxicity import drop_toxic
 from domainlake.session import written
 
@@ -21,8 +26,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of texts with 0.8 or more of their five-word shingles in common stays."""
-    return drop_near_copies(docs, shingle=5, least=0.8)
+    """One document of every group of SimHashes over three-word shingles that differ in three bits or less stays."""
+    return drop_near_duplicates(docs, shingle=3, differences=3)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
