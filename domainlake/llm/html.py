@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -17,29 +16,25 @@ from domainlake.llm.common import map_slices
 HIDDEN = ("script", "style", "noscript", "template", "svg", "iframe", "head", "object", "canvas", "math", "select")
 #: Elements whose content belongs to the frame of a page.
 FRAME = ("nav", "footer", "aside", "form", "header", "menu", "dialog", "button", "textarea", "label", "fieldset")
-#: Words in class, id or role that mark frame content in any element.
-FRAME_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|nav|navbar|navigation|menu|breadcrumbs?|"
-    r"sidebar|side|aside|footer|header|masthead|topbar|notice|cookies?|consent|gdpr|popup|modal|overlay|alert|"
-    r"newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend(?:ed|ations)?|comments?|"
-    r"commentlist|replies|reply|respond|disqus|widget|toolbar|pagination|pager|complementary|contentinfo|"
-    r"skip|copyright|legal)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Words in class, id or role of what never holds the main text.
+NEVER_MAIN = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs "
+    "footer cookie cookies consent gdpr related recommend recommended recommendations share sharing social comment comments "
+    "commentlist replies reply respond disqus newsletter subscribe signup login pagination pager contentinfo".split()
 )
-#: Words of the above that stand for what never holds the main text.
-NEVER_MAIN = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|nav|navbar|navigation|menu|breadcrumbs?|footer|cookies?|"
-    r"consent|gdpr|related|recommend(?:ed|ations)?|comments?|commentlist|replies|reply|respond|disqus|contentinfo)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Such words of what is frame unless it holds much of the text.
+FRAME_WORDS = frozenset(
+    "promo banner sidebar side aside header masthead topbar notice popup modal overlay alert search widget toolbar "
+    "complementary skip copyright legal".split()
 )
-#: Marks of a state of the page or of the heading of an article, not of what an element is.
-STATES = re.compile(
-    r"(?<!\S)(?:(?:has|no|with|without)[_-]\S+|\S+[_-](?:open|closed|right|left|enabled|disabled)|"
-    r"(?:post|entry|article|story|content)[_-]header)(?!\S)",
-    re.IGNORECASE,
+#: Words that may stand beside those of a frame; others make it a name of something else.
+BESIDE = frozenset(
+    "area articles bar block bottom box boxes button buttons center col column container first form global group icons inner "
+    "item items last left link links list lists main mobile news outer page panel policy posts primary products right row "
+    "secondary section site slot stories thread top topics unit widgets wrap wrapper".split()
 )
-#: Such a word with a place may be the element itself.
-PLACED = re.compile(r"(?<!\S)(?:sidebar|side|aside|nav|navbar|menu|banner|ads?|widget)[_-](?:right|left)(?!\S)", re.IGNORECASE)
+#: Words of an article's parts: beside the first kind of words only, as a post's header is part of the post.
+PARTS = frozenset("article blog body content entry post single story text".split())
 #: Elements that end one block of text and begin another.
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -47,7 +42,9 @@ BLOCKS = frozenset(
     "title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that hold the main text where a page has them.
+#: Elements that are closed by the start of a paragraph.
+INLINE = frozenset("p b i em strong span a u small".split())
+#: Elements that may hold the main text as a whole.
 MAIN = ("article", "main")
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
@@ -55,188 +52,239 @@ TAG = re.compile(
     r"<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)",
     re.DOTALL,
 )
-MARK = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+MARK = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 HIDES = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+SENTENCE = re.compile(r"""\w\W+\w+\W+\w.*[.!?…]["'”’»)\]]*$""")
 _ENDS = {name: re.compile(rf"</{name}\b[^>]*>|\Z", re.IGNORECASE) for name in HIDDEN if name != "head"}
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
+HARD, SOFT, CORE = "hard", "soft", "core"
 
-def kind_of_marks(marks: str) -> str:
-    """SOFT for marks of the frame, HARD if what they name never holds the main text, or nothing."""
-    named = " ".join([STATES.sub(" ", marks), *PLACED.findall(marks)])
-    if not FRAME_WORDS.search(named):
-        return ""
-    return HARD if NEVER_MAIN.search(named) else SOFT
-
-
-def blocks_of(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, in the frame, in a main element) of every block of a page, in order.
 
-    Markup is taken off, character references are decoded, and white space becomes one space. Comments,
-    scripts and the like give no text. Elements that are never closed end with their parent.
+def kind_of_name(name: str) -> str:
+    """HARD or SOFT for a class, id or role that names a part of the frame, else nothing.
 
-    An element that is frame by its marks only, or a form, is none if it holds an article or main element
-    with more text, or itself holds more text, than stands outside of the frame on a page whose articles
-    are all in the frame.
+    Every word of the name has to be a word of frames or one that stands beside such: `share-buttons` is
+    frame, `share-of-market` is not.
+    """
+    words = {w.lower() for w in _PART.findall(name)}
+    if words & NEVER_MAIN and words <= NEVER_MAIN | FRAME_WORDS | BESIDE | PARTS:
+        return HARD
+    return SOFT if words & FRAME_WORDS and words <= FRAME_WORDS | BESIDE else ""
+
+
+def kind_of_marks(rest: str, without: str = "") -> str:
+    """The kind of an element by its attributes; names equal to `without` don't count."""
+    kinds = set()
+    for attribute, *values in MARK.findall(rest):
+        value = "".join(values)
+        for name in [value] if attribute.lower() == "aria-label" else value.split():
+            if name.lower() != without:
+                kinds.add(kind_of_name(name))
+    return HARD if HARD in kinds else SOFT if SOFT in kinds else ""
+
+
+class Page:
+    """Blocks of text of a page in order, and the marked elements (frames and main ones) around them.
+
+    text, weight (characters that aren't of links) and at (innermost marked element, -1 for none) of every
+    block; parent and kind of every marked element, outer ones first. Markup is taken off, character
+    references are decoded, and white space becomes one space. Comments, scripts and the like give no
+    text. Elements that are never closed end with their parent. Time is linear in the page's length.
     """
-    blocks = _chained_blocks(page)
-    if not any(_is_core(chain) and not links for _, chain, links in blocks):
-        free = sum(len(text) for text, chain, links in blocks if not chain and not links)
-        inner = [_from_core(chain) for _, chain, _ in blocks]
-        if sum(len(b[0]) for b, chain in zip(blocks, inner) if _is_core(chain) and not b[2]) > free:
-            blocks = [(text, chain, links) for (text, _, links), chain in zip(blocks, inner)]
-        else:
-            blocks = _without_wrappers(blocks, free)
-    return [(text, any(k != CORE for _, k in chain) or links, any(k == CORE for _, k in chain)) for text, chain, links in blocks]
-
-
-def _is_core(chain) -> bool:
-    return bool(chain) and all(kind == CORE for _, kind in chain)
-
-
-def _from_core(chain):
-    """The chain of a block in an article without the soft frames around the innermost one."""
-    cores = [k for k, (_, kind) in enumerate(chain) if kind == CORE]
-    return tuple(e for k, e in enumerate(chain) if e[1] != SOFT or k >= cores[-1]) if cores else chain
-
-
-def _without_wrappers(blocks, free: int):
-    """`blocks` without the soft frames that hold more text than stands outside of the frame."""
-    direct, inside, around, gone = Counter(), Counter(), {}, set()
-    for text, chain, links in blocks:
-        if chain and not links and all(kind == SOFT for _, kind in chain):
-            direct[chain] += len(text)
-            for k, e in enumerate(chain):
-                inside[e] += len(text)
-                around[e] = chain[:k]
-    for e, n in sorted(inside.items()):  # outer ones first
-        if n > free and gone.issuperset(around[e]):
-            gone.add(e)
-            free += direct[(*around[e], e)]
-    return [(text, tuple(e for e in chain if e not in gone), links) for text, chain, links in blocks]
-
-
-HARD, SOFT, CORE = "hard", "soft", "core"
-
 
-def _chained_blocks(page: str) -> list[tuple[str, tuple[tuple[int, str], ...], bool]]:
-    """(text, number and kind of the frame and main elements around it, is all links) of every block."""
-    out: list[tuple[str, tuple[tuple[int, str], ...], bool]] = []
-    parts: list[str] = []
-    linked = 0  # characters of the parts that stand in links
-    stack: list[tuple[str, tuple[int, str] | None]] = []  # name, number and kind if it is frame or main
-    main = 0
-    links = False
-    at = 0
-
-    def close_block():
-        nonlocal linked
-        if parts:
-            raw = "".join(parts)
-            text = " ".join(html.unescape(raw).split())
-            if text:  # text that is all links is a menu, unless it stands in an article
-                only_links = not main and linked > 0 and linked >= len(raw.strip())
-                out.append((text, tuple(s[1] for s in stack if s[1]), only_links))
-            parts.clear()
-            linked = 0
-
-    while m := TAG.search(page, at):
-        parts.append(page[at : m.start()])
-        if links:
-            linked += len(parts[-1].strip())
-        at = m.end()
-        if m["cdata"] is not None:
-            parts.append(m["cdata"].replace("&", "&amp;"))
-            continue
-        name = m["name"] or m["name2"]
-        if name is None:
-            continue
-        name, rest = name.lower(), m["rest"] if m["name"] else m["rest2"]
-        ends = bool(m["end"] or m["end2"])
-        if name == "br":
-            parts.append(" ")
-        if name == "a":
-            links = not ends
-        if name in BLOCKS or name in FRAME or name in HIDDEN:
-            close_block()
-        if ends:
-            names = [s[0] for s in stack]
-            if name in names:
-                k = len(names) - 1 - names[::-1].index(name)
-                # An inline end tag doesn't close the blocks around it.
-                if name in BLOCKS or name in FRAME or not any(n in BLOCKS for n in names[k + 1 :]):
-                    if any(s[1] for s in stack[k:]):
-                        close_block()
-                    main -= sum(s[1] is not None and s[1][1] == CORE for s in stack[k:])
-                    del stack[k:]
-            continue
-        if name in _ENDS and not rest.endswith("/"):
-            at = _ENDS[name].search(page, at).end()
-            continue
-        if name in VOID or rest.endswith("/"):
-            continue
-        marks = " ".join(a or b or c for a, b, c in MARK.findall(rest)) if "=" in rest else ""
-        kind = "" if name in ("html", "body", *MAIN) else kind_of_marks(marks)
-        if name in ("form", "fieldset"):  # some pages stand in a form
-            kind = kind or SOFT
-        elif name == "header" and main:  # the heading of an article is part of it
-            kind = kind_of_marks(marks.replace("header", ""))
-        elif name in FRAME:
-            kind = HARD
-        if name == "head" or ("=" in rest or "hidden" in rest) and HIDES.search(rest):
-            kind = HARD
-        if name == "p":  # a paragraph ends the one before
-            while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "a", "u", "small"):
-                last = stack.pop()
-                main -= last[1] is not None and last[1][1] == CORE
-        own = [k for k in (kind, CORE if name in MAIN and kind != HARD else "") if k]
-        if own:
-            close_block()
-        main += CORE in own
-        stack.append((name, (m.start(), own[0]) if own else None))
-    parts.append(page[at:])
-    close_block()
-    return out
-
-
-def line_lengths(blocks: list[tuple[str, bool, bool]]) -> np.ndarray:
-    """Text length of every line (block): nothing for the frame, nor, on a page that marks its article,
-    for what stands outside of it."""
-    marked = any(core and not frame for _, frame, core in blocks)
-    return np.array(
-        [0 if frame or (marked and not core) else len(text) for text, frame, core in blocks], dtype=np.int64
-    )
-
-
-def surges_and_dives(lengths: np.ndarray, window: int = 3, surge: int = 86) -> list[tuple[int, int]]:
-    """(first line, line after the last) of every stretch of text, from the lines' text lengths.
-
-    Lengths are summed over a window sliding from line to line. Text surges where the sums leave zero and
-    come to `surge` characters or more, and dives where they are zero again, that is, where `window` lines
-    in a row have no text. The stretch with the largest sum counts however short it is.
+    def __init__(self, page: str):
+        self.text: list[str] = []
+        self.weight: list[int] = []
+        self.at: list[int] = []
+        self.parent: list[int] = []
+        self.kind: list[str] = []
+        self._read(page)
+
+    def _read(self, page: str) -> None:
+        parts: list[str] = []
+        linked = 0  # characters of the parts that stand in links
+        stack: list[tuple[str, int]] = []  # name, and the innermost marked element from here on
+        places: dict[str, list[int]] = {}  # of each open name on the stack
+        blocks: list[int] = []  # places of open block elements
+        cores = 0
+        links = False
+        at = 0
+
+        def inner() -> int:
+            return stack[-1][1] if stack else -1
+
+        def close_block():
+            nonlocal linked
+            if parts:
+                text = " ".join(html.unescape("".join(parts)).split())
+                if text:
+                    self.text.append(text)
+                    self.weight.append(max(0, len(text) - linked))
+                    self.at.append(inner())
+                parts.clear()
+                linked = 0
+
+        def pop():
+            nonlocal cores
+            name, mark = stack.pop()
+            places[name].pop()
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
+            if mark != inner() and self.kind[mark] == CORE:
+                cores -= 1
+
+        while m := TAG.search(page, at):
+            if m.start() > at:
+                parts.append(page[at : m.start()])
+                if links:
+                    linked += len(" ".join(html.unescape(parts[-1]).split())) + (page[m.start() - 1] == " ")
+            at = m.end()
+            if m["cdata"] is not None:
+                parts.append(m["cdata"].replace("&", "&amp;"))
+                continue
+            name = m["name"] or m["name2"]
+            if name is None:
+                continue
+            name, rest = name.lower(), m["rest"] if m["name"] else m["rest2"]
+            block = name in BLOCKS or name in FRAME or name in HIDDEN
+            if name == "br":
+                parts.append(" ")
+            if name == "a":
+                links = not (m["end"] or m["end2"])
+            if block:
+                close_block()
+            if m["end"] or m["end2"]:
+                if places.get(name):
+                    k = places[name][-1]
+                    # An inline end tag doesn't close the blocks around it.
+                    if block or not (blocks and blocks[-1] > k):
+                        if inner() != (stack[k - 1][1] if k else -1):
+                            close_block()
+                        while len(stack) > k:
+                            pop()
+                continue
+            if name in _ENDS and not rest.endswith("/"):
+                at = _ENDS[name].search(page, at).end()
+                continue
+            if name in VOID or rest.endswith("/"):
+                continue
+            if name == "p":  # a paragraph ends the one before
+                while stack and stack[-1][0] in INLINE:
+                    pop()
+            kind = ""
+            if "=" in rest and name not in ("html", "body"):
+                # The heading of an article is part of it.
+                kind = kind_of_marks(rest, "header" if name == "header" and cores else "")
+            if name in ("form", "fieldset"):  # some pages stand in a form
+                kind = kind or SOFT
+            elif name in FRAME and not (name == "header" and cores):
+                kind = HARD
+            if name == "head" or ("=" in rest or "hidden" in rest) and HIDES.search(rest):
+                kind = HARD
+            if name in MAIN and kind != HARD:
+                kind = CORE
+            mark = inner()
+            if kind:
+                close_block()
+                self.parent.append(mark)
+                self.kind.append(kind)
+                mark = len(self.kind) - 1
+                cores += kind == CORE
+            places.setdefault(name, []).append(len(stack))
+            if name in BLOCKS:
+                blocks.append(len(stack))
+            stack.append((name, mark))
+        if at < len(page):
+            parts.append(page[at:])
+        close_block()
+
+
+def _regions(page: Page, small: float) -> np.ndarray:
+    """For every marked element the region of its text: -1 the frame, 0 outside of all main elements, or the
+    outermost main element that holds it (its number plus 1)."""
+    count = len(page.kind)
+    hard, core = np.zeros(count, dtype=bool), np.zeros(count, dtype=np.int64)
+    mass, links = np.zeros(count + 1), np.zeros(count + 1)  # the last one is the page
+    for text, weight, at in zip(page.text, page.weight, page.at):
+        mass[at] += weight
+        links[at] += len(text) - weight
+    for k in range(count):
+        up = page.parent[k]
+        hard[k] = page.kind[k] == HARD or (up >= 0 and hard[up])
+        core[k] = core[up] if up >= 0 and core[up] else (k + 1) * (page.kind[k] == CORE)
+    mass[:count][hard] = 0
+    for k in range(count - 1, -1, -1):  # inner elements first: what they hold is held by outer ones
+        mass[page.parent[k]] += mass[k]
+        links[page.parent[k]] += links[k]
+    region = core.copy()
+    for k in range(count):
+        up = page.parent[k]
+        if hard[k] or (up >= 0 and region[up] == -1):
+            region[k] = -1
+        elif page.kind[k] == SOFT:
+            if up >= 0 and core[up]:  # within an article: a small part, or one of links
+                frame = mass[k] <= small * mass[core[up] - 1] or links[k] > mass[k]
+            else:  # else it may be what is around the article
+                frame = 2 * mass[k] <= mass[count]
+            region[k] = -1 if frame else region[k]
+    return region
+
+
+def lines_of(page: Page, small: float = 0.2, share: float = 0.25) -> tuple[list[str], np.ndarray, bool]:
+    """Lines of text that may be main text, their text lengths, and whether a main element holds them.
+
+    Tags weigh: what is frame by its element or its name gives no lines, but such a name doesn't count for
+    an element with most of the page's text, nor within an article for one with more than `small` of it. Of
+    several articles, and the text outside of them, those count that have `share` of the largest one's
+    text; text outside counts only where no article has more. Links have no length outside of articles.
+    """
+    region = _regions(page, small)
+    of = [int(region[at]) if at >= 0 else 0 for at in page.at]
+    held: dict[int, int] = {}
+    for r, weight in zip(of, page.weight):
+        if r >= 0:
+            held[r] = held.get(r, 0) + weight
+    outside, largest = held.get(0, 0), max((n for r, n in held.items() if r), default=0)
+    if largest >= outside and any(held):
+        counted = {r for r, n in held.items() if r and n >= share * largest}
+    else:
+        counted = {0} | {r for r, n in held.items() if n >= share * outside}
+    own = [k for k, r in enumerate(of) if r in counted]
+    lengths = [len(page.text[k]) if of[k] else page.weight[k] for k in own]
+    return [page.text[k] for k in own], np.array(lengths, dtype=np.int64), 0 not in counted
+
+
+def surges_and_dives(lengths: np.ndarray, window: int = 3) -> list[tuple[int, int, int]]:
+    """(first line, line after the last, largest sum) of every stretch of text, from the lines' text lengths.
+
+    Lengths are summed over a window sliding from line to line. Text surges where the sums leave zero, and
+    dives where they are zero again, that is, where `window` lines in a row have no text.
     """
-    if not len(lengths) or not lengths.max():
+    if not len(lengths):
         return []
     sums = np.convolve(lengths, np.ones(window, dtype=np.int64))  # sums[k] ends at line k
     inside = np.concatenate([[False], sums > 0, [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
-    spans = list(zip(edges[::2].tolist(), edges[1::2].tolist()))
-    peaks = [int(sums[a:b].max()) for a, b in spans]
-    return [(a, min(b, len(lengths))) for (a, b), peak in zip(spans, peaks) if peak >= min(surge, max(peaks))]
+    return [(a, min(b, len(lengths)), int(sums[a:b].max())) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
 
 
 def main_text(page: str, window: int = 3, surge: int = 86) -> str:
-    """Main text of a page: its text blocks between surge and dive points, joined by newlines.
+    """Main text of a page: its text lines between surge and dive points, joined by newlines.
 
-    Blocks of the frame (menus, headers, footers, sidebars, notices, adverts, forms, reader comments, and
-    lists of links) count as lines without text, and so do lines outside of an article that the markup
-    names. Of a named article every stretch stays, however short.
+    Lines are those of `lines_of`. Outside of articles a stretch counts if its largest sum comes to `surge`
+    characters, if no other is larger, or if it has a sentence; lines of links within it go. Of an article
+    everything stays.
     """
-    blocks = blocks_of(page)
-    lengths = line_lengths(blocks)
-    if any(core and not frame for _, frame, core in blocks):
-        surge = 1
-    kept = [k for a, b in surges_and_dives(lengths, window, surge) for k in range(a, b) if lengths[k]]
-    return "\n".join(blocks[k][0] for k in kept)
+    lines, lengths, marked = lines_of(Page(page))
+    spans = surges_and_dives(lengths, window)
+    least = 1 if marked else min(surge, max((peak for *_, peak in spans), default=1))
+    kept = []
+    for a, b, peak in spans:
+        own = [lines[k] for k in range(a, b) if lengths[k]]
+        if peak >= least or any(SENTENCE.search(line) for line in own):
+            kept += own
+    return "\n".join(kept)
 
 
 def extract_main_text(pages: DataFrame, window: int = 3, surge: int = 86) -> DataFrame:
