@@ -6,6 +6,7 @@ from pyspark.sql.internal import InternalFunction
 
 from domainlake.constants import DEFAULT_TTL, FLUX_LIMIT, RATE_LIMIT, SHADOWING_LIMIT
 from domainlake.operators.joins import lookup
+from domainlake.operators.lists import utc_day
 from domainlake.session import written
 
 
@@ -155,7 +156,7 @@ def base_sketches(log: DataFrame, bits: int = 12) -> DataFrame:
 
     To be stored: the next day's log adds its own rows, and any span of days is merged from them.
     """
-    events = with_base(log).filter("base is not null").withColumn("day", F.to_date("ts"))
+    events = with_base(log).filter("base is not null").withColumn("day", utc_day(F.col("ts"), dict(log.dtypes)["ts"]))
     return events.groupBy("day", "base").agg(
         F.hll_sketch_agg("sub", bits).alias("labels"),
         F.hll_sketch_agg("client_ip", bits).alias("clients"),

@@ -3,7 +3,9 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from domainlake.operators.lists import utc_day
 from domainlake.operators.scoring import canonical_threat_type
+from domainlake.session import written
 
 
 def newest() -> list[Column]:
@@ -101,10 +103,58 @@ def paged_log(log: DataFrame, page: int, size: int = 100) -> DataFrame:
     return paged(log, page, newest(), size)
 
 
-def paged_log_after(log: DataFrame, ts: str, id: int, size: int = 100) -> DataFrame:
-    """The page that follows the row (ts, id): a pushed-down filter, so depth costs nothing."""
+def day_counts(log: DataFrame) -> list[tuple]:
+    """(day, rows) of a log that is stored by day, newest first; reads no column but the folders' names."""
+    days = log.groupBy("dt").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each day
+    return sorted(((r["dt"], r["n"]) for r in days), key=lambda d: (d[0] is not None, d[0] or 0), reverse=True)
+
+
+def _of_days(log: DataFrame, days: list) -> DataFrame:
+    """Rows of the given days, by a filter on the folders."""
+    known = [d for d in days if d is not None]
+    chosen = F.col("dt").isin(known) if known else F.lit(False)
+    return log.filter(chosen | F.col("dt").isNull() if None in days else chosen)
+
+
+def paged_stored_log(log: DataFrame, page: int, size: int = 100, days: list[tuple] | None = None) -> DataFrame:
+    """`paged_log` of a log stored by day: only the days that the page touches are read, however deep it is.
+
+    The rows of the days decide which those are; pass `day_counts` to ask for them once for many pages.
+    """
+    days = day_counts(log) if days is None else days
+    start, before, skipped, touched = (page - 1) * size, 0, 0, []
+    for day, n in days:
+        if before + n <= start:
+            skipped += n
+        elif before < start + size:
+            touched.append(day)
+        before += n
+    rows = _of_days(log, touched).drop("dt").orderBy(*newest()).offset(start - skipped).limit(size)
+    return rows.withColumn("page", F.lit(page)).withColumn("total_pages", F.lit(-(-before // size)).cast("long"))
+
+
+def paged_log_after(
+    log: DataFrame, ts: str, id: int, size: int = 100, days: list[tuple] | None = None
+) -> DataFrame:
+    """The page that follows the row (ts, id), by a filter that is pushed down.
+
+    Of a log stored by day (with a column dt, days in UTC) the row's own day is read and as many earlier ones as
+    their rows ask for; without that column the scan is pruned by file statistics alone.
+    """
     at = F.lit(ts).cast(dict(log.dtypes)["ts"])
     older = (F.col("ts") < at) | ((F.col("ts") == at) & (F.col("id") < id))
+    if "dt" in log.columns:
+        days = day_counts(log) if days is None else days
+        own = log.sparkSession.range(1).select(utc_day(at, dict(log.dtypes)["ts"]).alias("d")).first()["d"]
+        touched, n = [], 0
+        for day, rows in days:
+            if day is not None and day > own:
+                continue
+            touched.append(day)
+            n += rows if day != own else 0
+            if n >= size:
+                break
+        log = _of_days(log, touched).drop("dt")
     return log.filter(older).orderBy(*newest()).limit(size)
 
 
@@ -180,13 +230,45 @@ def new_alerts(alerts: DataFrame, seen: DataFrame) -> DataFrame:
     return alerts.join(seen.select("id"), "id", "left_anti")
 
 
+def minute_counts(log: DataFrame) -> DataFrame:
+    """Counters and the highest score by minute and client: what all dashboard counts are sums of."""
+    return log.groupBy(F.date_trunc("minute", "ts").alias("minute"), "client_ip").agg(
+        *[c.alias(n) for n, c in _counts().items()], F.max("threat_score").alias("max_score")
+    )
+
+
+def _latest_since(log: DataFrame, per_minute: DataFrame, n: int) -> DataFrame:
+    """`latest` of a log whose rows per minute are known: only the minutes that the n rows fall into."""
+    minutes = per_minute.filter("minute is not null").groupBy("minute").agg(F.sum("total").alias("n"))
+    seen, since = 0, None
+    for r in minutes.orderBy(F.desc("minute")).limit(n).collect():
+        seen, since = seen + r["n"], r["minute"]
+        if seen >= n:
+            return latest(log.filter(F.col("ts") >= F.lit(since)), n)
+    return latest(log, n)
+
+
 def kpi_summary(log: DataFrame, alerts: DataFrame, blocklist: DataFrame) -> dict[str, DataFrame]:
-    """All dashboard parts. Cache `log` and `alerts` first when both fit in memory."""
+    """All dashboard parts from one scan of the log and one of the alerts.
+
+    The log is summed up by minute and client once, and written. The newest rows are read by a filter on
+    the minutes they fall into, which a log stored by time prunes to its end.
+    """
+    base = written(minute_counts(log), "minute-counts")
+    counters = list(_counts())
+    size = blocklist.agg(F.count(F.lit(1)).alias("n")).scalar()
+    total = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counters]
+    minutes = base.groupBy("minute").agg(F.sum("total").alias("total"), F.sum("blocked").alias("blocked"))
+    clients = base.groupBy("client_ip").agg(
+        F.sum("total").alias("total"),
+        F.sum("blocked").alias("blocked"),
+        F.round(F.max("max_score").cast("decimal(18,6)"), 1).cast("double").alias("max_score"),
+    )
     return {
-        "stats": kpi_stats(log, blocklist),
-        "timeline": timeline_recent(log),
-        "queries": latest(log, 50),
-        "clients": client_risk(log).limit(6),
+        "stats": base.agg(*total).withColumn("blocklist_size", size),
+        "timeline": minutes.withColumn("t", F.date_format("minute", "HH:mm")).orderBy(F.desc("minute")).limit(30).orderBy("minute"),
+        "queries": _latest_since(log, base, 50),
+        "clients": clients.orderBy(F.desc("blocked"), "client_ip").limit(6),
         "alerts": latest(alerts, 10),
     }
 

@@ -1,6 +1,6 @@
 """Blocklist and whitelist maintenance."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from domainlake.functions.text import strip
@@ -51,10 +51,22 @@ def alert_rows(scored: DataFrame) -> DataFrame:
     )
 
 
+def utc_day(ts: Column, kind: str) -> Column:
+    """Day of a timestamp in UTC, whatever the session's time zone; one without a zone is taken as it is."""
+    return F.to_date(F.to_utc_timestamp(ts, F.current_timezone()) if kind == "timestamp" else ts)
+
+
+def with_day(df: DataFrame) -> DataFrame:
+    """`df` with dt, the UTC day of its ts, dealt out so that a day is written in few files.
+
+    Adaptive execution joins small days into one task and splits large ones.
+    """
+    return df.withColumn("dt", utc_day(F.col("ts"), dict(df.dtypes)["ts"])).hint("rebalance", "dt")
+
+
 def log_rows(scored: DataFrame) -> DataFrame:
     """Query-log row per scored query; the type is always logged as 'A'."""
     return scored.select(
         "id", "ts", "client_ip", "domain", F.lit("A").alias("query_type"), "blocked",
         "threat_type", F.col("score").cast("double").alias("threat_score"),
-        F.to_date("ts").alias("dt"),
     )

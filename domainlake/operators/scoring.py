@@ -31,6 +31,17 @@ class Settings:
     doh_resolvers: tuple[str, ...] = tuple(K.DOH_RESOLVERS)
     safe_domains: tuple[str, ...] = tuple(K.SAFE_DOMAINS)
 
+    @classmethod
+    def from_table(cls, rows: DataFrame, **more) -> "Settings":
+        """Settings stored in a table with one row of each id: those of the smallest id, else the defaults."""
+        row = rows.orderBy("id").first()
+        if row is None:
+            return cls(**more)
+        stored = {"dga_enabled": row["dga_enabled"] != 0, "tunnel_enabled": row["tunnel_enabled"] != 0}
+        if row["risk_threshold"] is not None:
+            stored["threshold"] = row["risk_threshold"]
+        return cls(**{**stored, **more})
+
     def blocks(self, score: Column) -> Column:
         return score > self.threshold if self.strict else score >= self.threshold
 

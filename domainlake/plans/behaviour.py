@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from domainlake.operators import behaviour as B
 from domainlake.plans.catalog import query
 from domainlake.plans.views import Views
+from domainlake.session import fresh_dir
 
 RATE_SQL = (
     "select *, count(*) over (partition by client_ip order by ts "
@@ -68,6 +69,36 @@ def shadowing_bases(v: Views):
     return B.shadowing_bases(v.dns_log)
 
 
+@query(
+    "e3_shadowing_bases_low",
+    "select base, count(distinct sub) as sub_labels, count(*) as requests, "
+    f"count(distinct client_ip) as clients from ({BASED} dns_log) b where base is not null "
+    "group by base having count(distinct sub) > 3",
+    ["dns_log"],
+)
+def shadowing_bases_low(v: Views):
+    return B.shadowing_bases(v.dns_log, 3)
+
+
+@query(
+    "e3_shadowing_bases_sketched",
+    "select base, count(distinct sub) as exact_labels, count(*) as requests, true as labels_near, true as clients_near "
+    f"from ({BASED} dns_log) b where base is not null group by base",
+    ["dns_log"],
+)
+def shadowing_bases_sketched(v: Views):
+    """Estimates merged from stored daily sketches lie within five standard errors of the exact counts."""
+    path = fresh_dir(v.spark, "sketches")
+    B.base_sketches(v.dns_log).write.partitionBy("day").parquet(path)
+    estimated = B.bases_from_sketches(v.spark.read.parquet(path), 0)
+    exact = B.shadowing_bases(v.dns_log, 0)
+    near = lambda c: F.abs(F.col(f"e.{c}") - F.col(f"x.{c}")) <= 0.08 * F.col(f"x.{c}") + 0.5
+    return estimated.alias("e").join(exact.alias("x"), "base").select(
+        "base", F.col("x.sub_labels").alias("exact_labels"), F.col("e.requests").alias("requests"),
+        near("sub_labels").alias("labels_near"), near("clients").alias("clients_near"),
+    )
+
+
 @query(
     "e4_fast_flux_flags",
     "select id, domain, ip, so_far > 3 as fast_flux from ("

@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from domainlake.operators import kpis as O
+from domainlake.operators.lists import with_day
 from domainlake.plans.catalog import query, rounded, ts_text
 from domainlake.plans.views import Views
+from domainlake.session import fresh_dir
 
 TEXT = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 LOG_COLUMNS = (
@@ -117,6 +119,41 @@ def paged_log_keyset(v: Views):
     return rounded(ts_text(O.paged_log_after(v.dns_log, "2024-01-15 12:00:00", 0), "ts"))
 
 
+HOURLY = "select * replace (date_trunc('hour', ts) as ts) from dns_log"
+
+
+def _stored_by_day(v: Views):
+    """The query log in folders by day, its times cut to the hour so that many are equal."""
+    path = fresh_dir(v.spark, "log-by-day")
+    log = v.dns_log.withColumn("ts", F.date_trunc("hour", "ts").cast(dict(v.dns_log.dtypes)["ts"]))
+    with_day(log).write.partitionBy("dt").parquet(path)
+    return v.spark.read.parquet(path).select(*log.columns, "dt")
+
+
+@query(
+    "f8_paged_log_by_day",
+    f"select {LOG_COLUMNS}, 7 as page, (select ceil(count(*) / 100)::bigint from dns_log) as "
+    f"total_pages from (select * from ({HOURLY}) order by ts desc, id desc limit 100 offset 600) t",
+    ["dns_log"],
+)
+def paged_log_by_day(v: Views):
+    """A deep page of a stored log: it reads the folders of the days it touches."""
+    return rounded(ts_text(O.paged_stored_log(_stored_by_day(v), 7), "ts"))
+
+
+@query(
+    "f8_paged_log_after_tie",
+    f"select {LOG_COLUMNS} from ({HOURLY}) h, (select ts as last_ts, id as last_id from ({HOURLY}) order by ts desc, id desc "
+    "limit 1 offset 400) a where ts < last_ts or (ts = last_ts and id < last_id) order by ts desc, id desc limit 100",
+    ["dns_log"],
+)
+def paged_log_after_tie(v: Views):
+    """The page that follows a row with the same time as its neighbours."""
+    log = _stored_by_day(v)
+    row = O.latest(log, 401).orderBy("ts", "id").first()
+    return rounded(ts_text(O.paged_log_after(log, str(row["ts"]), row["id"]), "ts"))
+
+
 @query(
     "f9_paged_blocklist",
     "select *, 1 as page, (select ceil(count(*) / 100)::bigint from blocklist) as total_pages "

@@ -148,6 +148,19 @@ def stream_crossings(v: Views):
     return jobs.run_to_table(crossed, "crossings")
 
 
+@query(
+    "l3_stream_recrossings",
+    f"select e.domain as key, {TEXT.format('e.ts')} as at, count(distinct p.ip) as members from resolution_log e "
+    "join resolution_log p on p.domain = e.domain and p.ts > e.ts - interval 2 day and (p.ts < e.ts or "
+    "(p.ts = e.ts and p.id <= e.id)) group by e.id, e.domain, e.ts having count(distinct p.ip) > 1 and "
+    "count(distinct p.ip) filter (where p.id <> e.id) <= 1",
+    ["resolution_log"],
+)
+def stream_recrossings(v: Views):
+    found = jobs.stream_recrossings(stream(v, "resolution_log"), "domain", "ip", 1, ttl="2 days")
+    return ts_text(jobs.run_to_table(found, "recrossings"), "at")
+
+
 @query(
     "l4_stream_new_alerts",
     "select id, domain, threat_type from alerts",

@@ -1,9 +1,8 @@
 """Stored tables: schemas, readers and writers."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from domainlake.operators.lists import alert_rows, log_rows
+from domainlake.operators.lists import alert_rows, log_rows, with_day
 
 SCHEMAS = {
     "dns_queries": "id bigint, ts timestamp, client_ip string, domain string, query_type string, "
@@ -14,6 +13,7 @@ SCHEMAS = {
     "training_domains": "id bigint, domain string, label int, source string, family string",
     "whitelist": "id bigint, domain string",
     "resolutions": "id bigint, ts timestamp, domain string, ip string, ttl int",
+    "system_settings": "id int, dga_enabled int, tunnel_enabled int, risk_threshold double",
 }
 
 
@@ -26,14 +26,12 @@ def read_table(spark: SparkSession, name: str, path: str | None = None) -> DataF
 
 def write_query_log(scored: DataFrame, path: str, mode: str = "append") -> None:
     """Append scored queries, one folder per day."""
-    log_rows(scored).write.mode(mode).partitionBy("dt").parquet(path)
+    with_day(log_rows(scored)).write.mode(mode).partitionBy("dt").parquet(path)
 
 
 def write_alerts(scored: DataFrame, path: str, mode: str = "append") -> None:
     """Append an alert per blocked query, one folder per day."""
-    alert_rows(scored).withColumn("dt", F.to_date("ts")).write.mode(mode).partitionBy(
-        "dt"
-    ).parquet(path)
+    with_day(alert_rows(scored)).write.mode(mode).partitionBy("dt").parquet(path)
 
 
 def write_list(names: DataFrame, path: str) -> None:

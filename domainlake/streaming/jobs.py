@@ -1,6 +1,7 @@
 """Structured Streaming jobs over the query log, the alerts and landed feeds."""
 
 import os
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -186,18 +187,20 @@ def stream_rate_limit(
 
     Queries of one client with equal timestamps count each other. Where a late query raises the count of one
     already emitted, that one is emitted again, so the largest count of an id is its last word (`settled`);
-    queries later than `delay` are dropped. One client is spread over its time spans.
+    queries later than `delay` or without a timestamp are dropped. One client is spread over its time spans.
     """
     width = int(seconds * 1_000_000)
     timed = queries.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).withColumn("t", micros())
-    keyed = _spans(timed, width, slices).select("ts", "id", "client_ip", "t", "span", "own")
+    known = timed.where("t is not null").withColumn("id", F.coalesce("id", F.lit(NO_ID)))
+    keyed = _spans(known, width, slices).select("ts", "id", "client_ip", "t", "span", "own")
     use_rocksdb(queries.sparkSession)
-    return keyed.groupBy("client_ip", "span").transformWithStateInPandas(
+    counted = keyed.groupBy("client_ip", "span").transformWithStateInPandas(
         statefulProcessor=TrailingCount(width, width * slices, limit),
         outputStructType="id bigint, client_ip string, recent bigint, rate_limited boolean",
         outputMode="Append",
         timeMode="EventTime",
     )
+    return counted.withColumn("id", F.nullif("id", F.lit(NO_ID)))
 
 
 def settled(emitted: DataFrame) -> DataFrame:
@@ -209,6 +212,7 @@ def settled(emitted: DataFrame) -> DataFrame:
 EVENT = "kind int, id bigint, t bigint, client_ip string, domain string, query_type string, dga_prob double, decision double, ip string"
 _EVENT_COLUMNS = [c.split()[0] for c in EVENT.split(", ")]
 QUERY, ANSWER = 0, 1
+NO_ID = -(1 << 63)
 
 
 class InOrder(StatefulProcessor):
@@ -282,7 +286,9 @@ def events_in_order(
 
     def as_events(rows: DataFrame, kind: int) -> DataFrame:
         names = set(rows.columns)
-        columns = [(F.col(c) if c in names else F.lit(None)).cast(t).alias(c) for c, t in kinds.items() if c not in ("kind", "t")]
+        columns = [(F.col(c) if c in names else F.lit(None)).cast(t).alias(c) for c, t in kinds.items() if c not in ("kind", "t", "id")]
+        # Whole numbers with a null among them would reach the workers as floats.
+        columns.append(F.coalesce(F.col("id").cast("bigint"), F.lit(NO_ID)).alias("id"))
         return rows.select(F.lit(kind).alias("kind"), F.col("ts").cast("timestamp").alias("ts"), *columns)
 
     events = as_events(queries, QUERY).unionByName(as_events(answers, ANSWER)).where("ts is not null")
@@ -292,12 +298,13 @@ def events_in_order(
     )
     keyed = _spans(timed.withColumn("who", who), width, slices).where((F.col("kind") == QUERY) | F.col("own"))
     use_rocksdb(queries.sparkSession)
-    return keyed.select("who", "span", "ts", *_EVENT_COLUMNS, "own").groupBy("who", "span").transformWithStateInPandas(
+    ordered = keyed.select("who", "span", "ts", *_EVENT_COLUMNS, "own").groupBy("who", "span").transformWithStateInPandas(
         statefulProcessor=InOrder(width),
         outputStructType=f"{EVENT}, recent bigint",
         outputMode="Append",
         timeMode="EventTime",
     )
+    return ordered.withColumn("id", F.nullif("id", F.lit(NO_ID)))
 
 
 def stream_detect(
@@ -442,6 +449,8 @@ class Crossing(StatefulProcessor):
 def stream_crossings(stream: DataFrame, key: str, member: str, limit: int) -> DataFrame:
     """(key, members) once per key that exceeds `limit` distinct members over the whole stream.
 
+    For streams that end; `stream_recrossings` keeps bounded state on endless ones.
+
     Members are first made distinct with state per (key, member), spread over all tasks; the state
     of a key is then a single number.
     """
@@ -459,6 +468,72 @@ def stream_crossings(stream: DataFrame, key: str, member: str, limit: int) -> Da
     )
 
 
+class ActiveMembers(StatefulProcessor):
+    """Emits a key whenever its active members become more than the limit; members not seen for a while go.
+
+    State holds a key's active members, and goes with the last of them.
+    """
+
+    def __init__(self, limit: int, ttl: int):
+        self.limit, self.ttl = limit, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.members = handle.getListState("members", "member string, t bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        # Members in the order in which they were last seen, so that the first ones expire first.
+        active = OrderedDict(sorted(((m, t) for m, t in self.members.get()), key=lambda x: x[1]))
+        found = []
+        for t, member in pd.concat(list(rows)).sort_values(["t", "id"])[["t", "member"]].itertuples(index=False):
+            while active and next(iter(active.values())) <= t - self.ttl:
+                active.popitem(last=False)
+            before = len(active)
+            if active.get(member, t) <= t:
+                active[member] = t
+                active.move_to_end(member)
+            if before <= self.limit < len(active):
+                found.append((key[0], pd.Timestamp(t, unit="us"), len(active)))
+        self._keep(active)
+        yield pd.DataFrame(found, columns=["key", "at", "members"]).astype({"at": "datetime64[us]", "members": "int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        since = timerValues.getCurrentWatermarkInMs() * 1000 - self.ttl
+        self._keep(OrderedDict((m, t) for m, t in self.members.get() if t > since))
+        yield pd.DataFrame([], columns=["key", "at", "members"]).astype({"key": "str", "at": "datetime64[us]", "members": "int64"})
+
+    def _keep(self, active: OrderedDict) -> None:
+        if active:
+            self.members.put(list(active.items()))
+            self.handle.registerTimer(int(-(-(max(active.values()) + self.ttl) // 1000)))
+        else:
+            self.members.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_recrossings(
+    stream: DataFrame, key: str, member: str, limit: int, ttl: str = "1 hour", delay: str = "10 minutes"
+) -> DataFrame:
+    """(key, at, members) each time a key's members seen within `ttl` become more than `limit`.
+
+    A member counts until `ttl` after it was last seen, so a key that fell back and rises again is emitted
+    again, and the state of an endless stream is bounded by the members of the last `ttl`. Rows of a batch
+    are taken in order of time; a row later than its batch only prolongs its member.
+    """
+    use_rocksdb(stream.sparkSession)
+    micros_of = stream.sparkSession.range(1).select(F.expr(f"unix_micros(timestamp_micros(0) + interval {ttl})")).first()[0]
+    rows = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).withColumn("t", micros())
+    rows = rows.select(F.col(key).alias("key"), F.col(member).alias("member"), "ts", "t", F.coalesce("id", F.lit(NO_ID)).alias("id"))
+    return rows.where("key is not null and member is not null and t is not null").groupBy("key").transformWithStateInPandas(
+        statefulProcessor=ActiveMembers(limit, micros_of),
+        outputStructType="key string, at timestamp, members bigint",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
 def stream_new_alerts(alerts: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Every alert id once, however often it is delivered within the delay."""
     return (
