@@ -18,6 +18,8 @@ from domainlake.session import written
 SAMPLE = {0: 1500, 1: 3500}
 WORDS, SHAPES, FORMS = 2048, 512, 64
 TERMS = WORDS + SHAPES + FORMS
+#: Tasks that each sum up a matrix of the sample's term products.
+MATRICES = 8
 _CLASSES = bytes(
     65 if 65 <= b <= 90 else 57 if 48 <= b <= 57 else 97 if 97 <= b <= 122 or b >= 128 else b for b in range(256)
 )
@@ -149,11 +151,11 @@ def gram_matrix(counted: DataFrame, weights: np.ndarray) -> np.ndarray:
     rows in others, so that the driver holds one matrix, whatever the sample."""
 
     def partial(batches):
-        total = np.zeros((TERMS, TERMS), dtype=np.float32)
+        total = None
         for _, counts in _blocks(batches):
             rows = weighted(counts, weights)
-            total += rows.T @ rows
-        for k in range(0, TERMS, 128):
+            total = rows.T @ rows if total is None else np.add(total, rows.T @ rows, out=total)
+        for k in range(0, TERMS if total is not None else 0, 128):
             terms = np.arange(k, min(k + 128, TERMS))
             raw = pa.array([total[t, t:].tobytes() for t in terms], pa.binary())  # the other half is the same
             yield pa.RecordBatch.from_arrays([pa.array(terms), raw], names=["term", "products"])
@@ -175,7 +177,8 @@ def gram_matrix(counted: DataFrame, weights: np.ndarray) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array([term], pa.int64()), raw], names=["term", "products"])
 
     schema = "term long, products binary"
-    parts = counted.select("raw").mapInArrow(partial, schema)
+    # The sample is bounded, so a few tasks do, however many files or partitions it comes in.
+    parts = counted.select("raw").coalesce(MATRICES).mapInArrow(partial, schema)
     rows = parts.repartition("term").sortWithinPartitions("term").mapInArrow(summed, schema)
     out = np.zeros((TERMS, TERMS), dtype=np.float32)
     for r in written(rows, "products").toLocalIterator():  # a part at a time
