@@ -33,7 +33,7 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-def _encoded(chunks: list[str], path: str, most: int = 1_000_000) -> list[bytes]:
+def _encoded(chunks: list[str], path: str, most: int = 500_000) -> list[bytes]:
     """Ids of every chunk as little-endian 32-bit numbers; a worker remembers up to `most` chunks."""
     known = _KNOWN.setdefault(path, {})
     if len(known) > most:
@@ -123,7 +123,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int =
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    return map_slices(docs.select("doc_id", "text"), "text", work, schema, 8 << 20)
+    return map_slices(docs.select("doc_id", "text"), "text", work, schema, 3 << 20)
 
 
 def patterns(lengths: np.ndarray, capacity: int, grid: int = 128) -> np.ndarray:
