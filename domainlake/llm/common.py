@@ -51,7 +51,6 @@ def map_slices(
             out = work(piece)
             if out is not None and out.num_rows:
                 yield out
-        pa.default_memory_pool().release_unused()  # the worker serves other stages after this one
 
     return df.mapInArrow(run, schema)
 
