@@ -137,3 +137,12 @@ def save_forest(model: RandomForestClassificationModel, path: str) -> None:
 
 def load_forest(path: str) -> RandomForestClassificationModel:
     return PipelineModel.load(path).stages[0]
+
+
+def stored_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """(tree, node, left, right) of a saved forest; a leaf has children -1."""
+    nodes = spark.read.parquet(f"{path}/stages/*/data")
+    return nodes.select(
+        F.col("treeID").alias("tree"), F.col("nodeData.id").alias("node"),
+        F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
+    )

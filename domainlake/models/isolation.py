@@ -225,6 +225,31 @@ def isolation_score(forest: IsolationForest, df: DataFrame) -> DataFrame:
     )
 
 
+def walked_scores(forest: IsolationForest, df: DataFrame, id_col: str) -> DataFrame:
+    """(id, walked): scores by joining every row with the node table, one level of all trees at a time.
+
+    A plain statement of `isolation_score` without arrays, for checks. The node table has MAX_NODES rows at
+    most, so it goes to every task.
+    """
+    nodes = forest.nodes.select("tree", "node", "feature", "threshold", "left", "right", "size", "depth")
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    feature = F.array(*[F.col(c) for c in FEATURE_COLUMNS])
+    trees = [r["tree"] for r in nodes.select("tree").distinct().collect()]
+    at = df.select(id_col, feature.alias("x"), F.explode(F.array(*[F.lit(t) for t in trees])).alias("tree"))
+    at = at.withColumn("node", F.lit(0))
+    for _ in range(deepest + 1):
+        here = at.join(nodes.hint("broadcast"), ["tree", "node"])
+        below = F.element_at("x", F.col("feature") + 1) <= F.col("threshold")
+        following = F.when(F.col("feature") >= 0, F.when(below, F.col("left")).otherwise(F.col("right")))
+        at = here.select(id_col, "x", "tree", F.coalesce(following, "node").alias("node"))
+    ended = at.join(nodes.hint("broadcast"), ["tree", "node"])
+    many = F.greatest(F.col("size"), F.lit(3)).cast("double")
+    rest = 2.0 * (F.ln(many - 1.0) + EULER) - 2.0 * (many - 1.0) / many
+    path = F.col("depth") + F.when(F.col("size") > 2, rest).when(F.col("size") == 2, 1.0).otherwise(0.0)
+    mean = F.avg(path) / float(average_path(forest.psi))
+    return ended.groupBy(id_col).agg((-F.pow(F.lit(2.0), -mean)).alias("walked"))
+
+
 def anomaly_rates(scored: DataFrame) -> DataFrame:
     """Share of flagged rows and mean score per class, over all rows."""
     return scored.groupBy("label").agg(

@@ -2,19 +2,25 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from domainlake.functions.text import strip
 from domainlake.operators.ranking import first_n_per_group, seeded_rank
+from domainlake.operators.squats import squat_candidates
 
 CORPUS_COLUMNS = ["domain", "label", "source", "family"]
 
 
 def union_feeds(feeds: list[DataFrame]) -> DataFrame:
-    """One table (domain, label, source, family) from feeds that may lack a family."""
+    """One table (domain, label, source, family) from feeds that may lack a family.
+
+    Entries of a blocklist (domain, category, source) are malicious names of their category's family.
+    """
 
     def complete(df: DataFrame) -> DataFrame:
+        if "label" not in df.columns:
+            df = df.withColumn("label", F.lit(1)).withColumn("family", F.lower("category"))
         if "family" not in df.columns:
             df = df.withColumn("family", F.lit("unknown"))
         return df.select(
@@ -25,6 +31,24 @@ def union_feeds(feeds: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, map(complete, feeds))
 
 
+def lookalike_feed(spark: SparkSession) -> DataFrame:
+    """All look-alike candidates of the protected brands as malicious names; a technique is a family."""
+    return squat_candidates(spark).select(
+        "domain", F.lit(1).alias("label"), F.lit("lookalike").alias("source"), F.col("technique").alias("family")
+    )
+
+
+def with_lookalikes(corpus: DataFrame, n: int = 2000, seed: int = 42) -> DataFrame:
+    """`corpus(id, domain, label, source, family)` and a seeded sample of n look-alikes, with ids from their names."""
+    number = F.conv(F.substring(F.md5("domain"), 1, 15), 16, 10).cast("bigint")
+    names = lookalike_feed(corpus.sparkSession).select("domain").distinct().withColumn("id", number)
+    drawn = sample_n(names, n, seed).withColumns(
+        {"label": F.lit(1), "source": F.lit("lookalike"), "family": F.lit("lookalike")}
+    )
+    columns = ["id", *CORPUS_COLUMNS]
+    return corpus.select(columns).unionByName(drawn.select(columns))
+
+
 def distinct_per_class(corpus: DataFrame) -> DataFrame:
     """Each domain once per label; a domain may stay in both classes."""
     return corpus.select("domain", "label").distinct()

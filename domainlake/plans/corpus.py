@@ -8,6 +8,7 @@ from domainlake.operators import lists, scoring
 from domainlake.plans.catalog import ORACLES, QUERIES, query, rounded
 from domainlake.plans.scoring import DOH, SAFE, TRAFFIC
 from domainlake.plans.sqltext import REASON
+from domainlake.plans.squats import CANDIDATE_SQL, LEVELS
 from domainlake.plans.views import Views
 from domainlake.session import fresh_dir
 from domainlake.sources import tables
@@ -18,17 +19,54 @@ CLEAN = (
     "row_number() over (partition by lower(trim(domain)) order by id) as rn from dirty_corpus "
     "where domain is not null and length(trim(domain)) > 2 and contains(domain, '.')) t where rn = 1"
 )
-FEEDS = ["a4_url_list", "a8_family_tsv", "a10_ranked_csv", "a5_quoted_csv_urls"]
+FEEDS = [
+    "a3_hosts_last_token", "a4_url_list", "a4_url_training", "a5_quoted_csv_urls", "a6_scored_csv_urls",
+    "a7_verified_csv_urls", "a8_family_tsv", "a9_family_csv", "a10_ranked_csv", "a10_ranked_csv_header",
+    "a11_labelled_csv", "a12_domain_list", "a12_domain_list_no_comments", "a13_mixed_list",
+]
+ENTRY_FEEDS = ["a1_hosts_tokens", "a2_hosts_prefix", "a4_url_blocklist", "a5_quoted_csv_blocklist"]
+LOOKALIKES = " union all ".join(
+    f"select domain, 1 as label, 'lookalike' as source, '{n}' as family from ({sql}) {n}" for n, sql in CANDIDATE_SQL.items()
+)
+#: Rows that the models learn from: the corpus and a seeded sample of the look-alikes.
+TRAINING = [
+    *LEVELS,
+    (
+        "training_input",
+        "select id, domain, label, source, family from domain_corpus union all select id, domain, 1, 'lookalike', "
+        "'lookalike' from (select *, row_number() over (order by md5('42|' || id), id) as r from (select domain, "
+        "list_reduce(list_transform(string_split(substr(md5(domain), 1, 15), ''), lambda c: "
+        "(strpos('0123456789abcdef', c) - 1)::bigint), lambda a, b: a * 16 + b) as id "
+        f"from (select distinct domain from ({LOOKALIKES}) l) d) k) t where r <= 2000",
+    ),
+    ("training_clean", CLEAN.replace("dirty_corpus", "training_input")),
+]
 
 
 @query(
     "g1_union_feeds",
     "select domain, label::int as label, source, family from ("
     + " union all ".join(f"(select domain, label, source, family from ({ORACLES[n]}) t)" for n in FEEDS)
-    + ") u",
+    + " union all "
+    + " union all ".join(f"(select domain, 1, source, lower(category) from ({ORACLES[n]}) t)" for n in ENTRY_FEEDS)
+    + f" union all {LOOKALIKES}) u",
+    [],
+    LEVELS,
 )
 def union_feeds(v: Views):
-    return O.union_feeds([QUERIES[n](v.spark, v.path) for n in FEEDS])
+    """Every reader's rows and all look-alike candidates."""
+    read = [QUERIES[n](v.spark, v.path) for n in [*FEEDS, *ENTRY_FEEDS]]
+    return O.union_feeds([*read, O.lookalike_feed(v.spark)])
+
+
+@query(
+    "g1_with_lookalikes",
+    "select id, domain, label, source, family from training_input",
+    ["domain_corpus"],
+    TRAINING,
+)
+def with_lookalikes(v: Views):
+    return O.with_lookalikes(v.domain_corpus)
 
 
 @query(

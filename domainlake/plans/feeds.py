@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from domainlake.plans.catalog import query
 from domainlake.plans.sqltext import host_feed, host_full, host_train
 from domainlake.plans.views import Views
-from domainlake.sources import feeds
+from domainlake.session import fresh_dir
+from domainlake.sources import feeds, tables
 
 CONTENT = "trim(value) <> '' and not starts_with(trim(value), '#')"
 UNSTRIPPED = "trim(value) <> '' and not starts_with(value, '#')"
@@ -174,11 +175,37 @@ _feed(
 )
 
 
+#: Stored tables by the views that fill them.
+STORED = {
+    "dns_queries": "select id, ts, client_ip, domain, query_type, blocked, threat_type, threat_score from dns_log",
+    "alerts": "select id, ts, client_ip, domain, threat_type, confidence, reason from alerts",
+    "static_blocklist": "select id, domain, category, source from blocklist",
+    "training_domains": "select id, domain, label, source, family from domain_corpus",
+    "whitelist": "select id, domain from domain_corpus where label = 0",
+    "resolutions": "select id, ts, domain, ip, ttl from resolution_log",
+}
+
+
 @query(
     "a14_read_table",
-    "select event_type, count(*) as n, round(sum(value), 2) as total from events group by event_type",
+    " union all ".join(
+        f"select '{name}' as name, count(*) as n, count(distinct domain) as domains, sum(id)::bigint as ids from ({sql}) t"
+        for name, sql in STORED.items()
+    ),
+    ["dns_log", "alerts", "blocklist", "domain_corpus", "resolution_log"],
 )
 def read_table(v: Views):
-    return v.events.groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")
-    )
+    """What the stored tables hold once they are written and read by name."""
+    out = None
+    for name, sql in STORED.items():
+        source = sql.split(" from ")[1].split(" ")[0]
+        rows = v.spark.sql(sql.replace(f" from {source}", " from {source}"), source=getattr(v, source))
+        path = fresh_dir(v.spark, name)
+        kinds = dict(field.split(" ") for field in tables.SCHEMAS[name].split(", "))
+        rows.select(*[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()]).write.parquet(path)
+        stored = tables.read_table(v.spark, name, path)
+        part = stored.agg(
+            F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.count_distinct("domain").alias("domains"), F.sum("id").alias("ids")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
