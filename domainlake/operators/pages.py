@@ -55,12 +55,16 @@ def page_verdicts(evidence: DataFrame, scored: DataFrame) -> DataFrame:
 
 
 def assessment_text(df: DataFrame) -> DataFrame:
-    """Add three templated narratives per scored domain: assessment, signal and analysis."""
+    """Add three templated narratives per scored domain: assessment, signal and analysis.
+
+    The signal closes with `behavioral_score`, a share, where `df` has it, else with 0 %.
+    """
     score = F.col("score").cast("string")
     tag = F.concat(F.lit("["), risk_band(F.col("score")), F.lit("] "))
     generated = F.col("dga_prob") > 0.4
     target = F.col("lookalike")
     severe = F.col("score") >= 60
+    behavioural = F.coalesce("behavioral_score", F.lit(0.0)) if "behavioral_score" in df.columns else F.lit(0.0)
 
     def points(name: str):
         return F.format_number(F.coalesce(F.col("contributions")[name], F.lit(0.0)), 1)
@@ -92,6 +96,7 @@ def assessment_text(df: DataFrame) -> DataFrame:
             generated, "Lexical analysis confirms algorithmically-generated domain pattern. "
         ).otherwise("Domain follows human-readable naming conventions. "),
         named_target("Phishing vector targeting ", ". "),
+        F.lit("Behavioral Risk: "), F.format_number(behavioural * 100, 0), F.lit("%."),
     )
     analysis = F.concat(
         tag, F.lit("Comprehensive analysis: "), "reason",

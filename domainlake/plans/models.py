@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from domainlake.models import forest, isolation
+from domainlake.models.training import Training
 from domainlake.operators import corpus, scoring
 from domainlake.operators.features import domain_features
 from domainlake.plans.catalog import QUERIES, query, rounded
@@ -15,7 +16,6 @@ from domainlake.plans.views import Views
 from domainlake.session import fresh_dir, written
 
 FOREST = {"variant": "enhanced"}
-ISOLATION = {"variant": "enhanced"}
 _fitted: dict[tuple, object] = {}
 
 
@@ -27,52 +27,27 @@ def _once(v: Views, name: str, make):
     return _fitted[key]
 
 
-def training_table(v: Views) -> DataFrame:
-    """Clean corpus and look-alikes with features, written once: every model job reads it."""
-    return _once(
-        v,
-        "table",
-        lambda: written(domain_features(corpus.clean_corpus(corpus.with_lookalikes(v.domain_corpus))), "corpus"),
-    )
-
+def training(v: Views) -> Training:
+    """The whole training of the corpus; its steps are made once, every model job reads them."""
+    return _once(v, "training", lambda: Training(v.domain_corpus))
 
-def _balanced(v: Views) -> DataFrame:
-    """Balanced corpus with its split, written once: fitting reads it several times."""
 
-    def make():
-        return written(
-            corpus.stratified_split(corpus.balance_classes(training_table(v))), "balanced"
-        )
-
-    return _once(v, "balanced", make)
+def training_table(v: Views) -> DataFrame:
+    return training(v).table
 
 
 def fitted_forest(v: Views):
-    def fit():
-        train = corpus.with_class_weights(_balanced(v).filter("is_train"))
-        return forest.train_dga_forest(train, **FOREST)
-
-    return _once(v, "forest", fit)
+    return training(v).forest
 
 
 def fitted_isolation(v: Views):
-    return _once(
-        v,
-        "isolation",
-        lambda: isolation.train_isolation_forest(
-            training_table(v).filter("label = 0"), **ISOLATION
-        ),
-    )
-
-
-def _tested(v: Views) -> DataFrame:
-    return forest.predict_dga(fitted_forest(v), _balanced(v).filter("not is_train"))
+    return training(v).isolation
 
 
 @query("h1_train_dga_forest")
 def train_dga_forest(v: Views):
     """Hold-out metrics of the trained forest."""
-    return forest.binary_metrics(_tested(v))
+    return training(v).metrics()
 
 
 @query("h2_predict_dga")
@@ -154,9 +129,7 @@ def feature_importance(v: Views):
 
 @query("h9_anomaly_rates")
 def anomaly_rates(v: Views):
-    return isolation.anomaly_rates(
-        isolation.isolation_score(fitted_isolation(v), training_table(v))
-    )
+    return training(v).anomaly_rates()
 
 
 @query("h10_save_load_model")

@@ -104,3 +104,39 @@ def test_labelled_accuracy(spark):
     want = spark.createDataFrame([("a", "SAFE"), ("b", "SAFE"), ("c", "REVIEW")], "domain string, expected string")
     got = {r["expected"]: r["accuracy"] for r in forest.labelled_accuracy(scored, want).collect()}
     assert got == {"SAFE": 0.5, "REVIEW": 1.0}
+
+
+def test_training_from_corpus_to_stored_models(spark, table, tmp_path):
+    from domainlake.models.training import Training
+
+    rows = table.select("id", "domain", "label", F.lit("s").alias("source"), F.lit("f").alias("family"))
+    small = {"numTrees": 10, "maxDepth": 8}
+    made = Training(rows, "balanced", lookalikes=300, forest_params=small, isolation_params=SMALL)
+    assert made.table.filter("source = 'lookalike'").count() > 290 and made.table.filter("label = 0").count() == 400
+    assert made.metrics().first()["f1"] > 0.9
+    rates = {r["label"]: r["flagged"] for r in made.anomaly_rates().collect()}
+    assert rates[0] <= 0.06 < rates[1]
+    made.save(str(tmp_path))
+    back = isolation.IsolationForest.load(spark, str(tmp_path / "isolation"))
+    assert back.offset == made.isolation.offset and back.broadcast() is back.broadcast()
+    assert forest.load_forest(str(tmp_path / "forest")).getNumTrees == 10
+    # Brand look-alikes are malicious names to a forest that has seen some.
+    names = spark.createDataFrame([("paypa1-secure.tk",), ("secure-netflix-login.xyz",), ("marketgardens.com",)], "domain string")
+    scored = forest.predict_dga(made.forest, domain_features(names))
+    p = {r["domain"]: r["dga_prob"] for r in scored.collect()}
+    assert min(p["paypa1-secure.tk"], p["secure-netflix-login.xyz"]) > 0.5 > p["marketgardens.com"]
+
+
+def test_bagging_draws_evenly_and_without_replacement(spark):
+    rows = spark.range(5000).select("id", *[F.rand(k).alias(c) for k, c in enumerate(isolation.FEATURE_COLUMNS)])
+    drawn = isolation.tree_samples(rows, 60, 100, 1, "id")
+    assert drawn.count() == 6000 and drawn.select("tree", "id").distinct().count() == 6000
+    often = {r["id"]: r["count"] for r in drawn.groupBy("id").count().collect()}
+    mean = 6000 / 5000
+    spread = sum((often.get(k, 0) - mean) ** 2 for k in range(5000)) / 5000
+    assert abs(spread - mean) < 0.15  # as if each tree drew on its own
+    assert drawn.filter("id < 2500").count() == pytest.approx(3000, abs=200)
+    few = isolation.tree_samples(rows.limit(30), 7, 100, 1, "id")
+    assert {r["count"] for r in few.groupBy("tree").count().collect()} == {30}
+    again = isolation.tree_samples(rows.repartition(9, "id"), 60, 100, 1, "id")
+    assert sorted(map(tuple, again.select("tree", "id").collect())) == sorted(map(tuple, drawn.select("tree", "id").collect()))
