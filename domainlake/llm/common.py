@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -41,16 +43,29 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, size: int = 4 << 20)
         yield batch.slice(begin)
 
 
+def give_back() -> None:
+    """Return a worker's free memory to the machine: workers outlive their task and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_slices(
-    df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, size: int = 2 << 20
-) -> DataFrame:
-    """Apply `work` to bounded slices of `df`; `column` is the one with the long texts."""
+    df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, size: int = 2 << 20,
+    tidy: bool = False,
+) -> DataFrame:
+    """Apply `work` to bounded slices of `df`; `column` is the one with the long texts.
+
+    With `tidy` a task gives its worker's free memory back at its end.
+    """
 
     def run(batches):
         for piece in pieces(batches, column, size):
             out = work(piece)
             if out is not None and out.num_rows:
                 yield out
+        if tidy:
+            give_back()
 
     return df.mapInArrow(run, schema)
 

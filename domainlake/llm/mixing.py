@@ -82,7 +82,7 @@ def with_posteriors(docs: DataFrame, model: Domains, text: str = "text") -> Data
         return pa.RecordBatch.from_arrays([*batch.columns, tokens, lists], names=[*batch.schema.names, "tokens", "p"])
 
     fields = [T.StructField("tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))]
-    return map_slices(docs, text, work, T.StructType([*docs.schema.fields, *fields]))
+    return map_slices(docs, text, work, T.StructType([*docs.schema.fields, *fields]), tidy=True)
 
 
 @dataclass

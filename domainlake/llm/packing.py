@@ -123,7 +123,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int =
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    return map_slices(docs.select("doc_id", "text"), "text", work, schema, 3 << 20)
+    return map_slices(docs.select("doc_id", "text"), "text", work, schema, 3 << 20, tidy=True)
 
 
 def patterns(lengths: np.ndarray, capacity: int, grid: int = 128) -> np.ndarray:

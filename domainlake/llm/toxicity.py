@@ -145,7 +145,7 @@ class Kernel:
             m = int(lengths[group[0]]) if len(group) else 0
             if m < 3:
                 continue
-            per = max(1, (1 << 19) // (m * SPAN * SPAN // 2))
+            per = max(1, (1 << 17) // (m * SPAN * SPAN // 2))
             for a in range(0, len(group), per):
                 part = group[a : a + per]
                 numbers, weights = coded_triples(data[begins[part][:, None] + np.arange(m)])
@@ -396,7 +396,7 @@ def score_toxicity(docs: DataFrame, model: Model | None, name: str = "score") ->
         scores = shared.value.scores(text_bytes(batch.column("text"))).astype(float)
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, name])
 
-    return map_slices(rows, "text", work, rows.withColumn(name, F.lit(0.0)).schema)
+    return map_slices(rows, "text", work, rows.withColumn(name, F.lit(0.0)).schema, 1 << 20, tidy=True)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
