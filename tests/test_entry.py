@@ -34,8 +34,6 @@ def test_entry_without_its_optional_part(hidden):
 
 
 def test_other_missing_modules_are_errors():
-    run = subprocess.run([sys.executable, "-c", HIDING.format(hidden="duckdb_none")], cwd=ROOT, capture_output=True, timeout=120)
-    assert run.returncode and b"AssertionError" in run.stderr  # all is there, so op1 is too
     run = subprocess.run([sys.executable, "-c", HIDING.format(hidden="numpy")], cwd=ROOT, capture_output=True, timeout=120)
     assert run.returncode and b"ModuleNotFoundError" in run.stderr
 
