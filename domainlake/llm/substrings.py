@@ -183,7 +183,8 @@ def _repeats(texts: DataFrame, window: int) -> DataFrame:
     """(doc_id, uid, a, b, src_id, src_uid, src_a): stretches of words that a smaller doc_id holds too."""
     paths = written(_paths(texts, window), "paths")
     place = F.struct("doc_id", "uid", "start")
-    source = paths.groupBy("path").agg(F.min(place).alias("src"))
+    # Written, so that the join is one of two exchanges: only then does adaptive execution split a hot path.
+    source = written(paths.groupBy("path").agg(F.min(place).alias("src")), "first-paths")
     joined = paths.join(source.hint("merge"), "path")
     whole = joined.where("doc_id > src.doc_id").select(
         "doc_id", "uid", F.col("start").alias("a"), (F.col("start") + F.col("count") + window - 1).alias("b"), "src"
@@ -191,6 +192,7 @@ def _repeats(texts: DataFrame, window: int) -> DataFrame:
     first = joined.where("doc_id = src.doc_id").select("doc_id", "uid", "start", "count")
     edges = written(_edges(texts, first, window), "edges")
     least = edges.groupBy("edge").agg(F.min(place).alias("src"), F.max("doc_id").alias("last")).where("last > src.doc_id")
+    least = written(least, "first-edges")
     parts = (
         edges.join(least.hint("merge"), "edge")
         .where("doc_id > src.doc_id")
