@@ -22,8 +22,8 @@ from domainlake.session import written
 
 KMER = 16
 # Joins by a word sequence or a document are merge joins: adaptive execution splits their hot keys.
-_POSITION_BITS = np.uint64(28)
-_POSITION = np.uint64((1 << 28) - 1)
+#: Low bits of an anchor's number; no text that fits into a row has as many words.
+_POSITION = np.uint64((1 << 32) - 1)
 _EDGE_BASE, _KMER_BASE, _PATH_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 
 
