@@ -16,7 +16,7 @@ from domainlake.llm.common import map_slices, text_bytes
 from domainlake.session import written
 
 _TOKENIZERS: dict = {}
-_KNOWN: dict[str, dict[str, bytes]] = {}
+_KNOWN: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 _SIZES: dict[str, np.ndarray] = {}
 #: Bytes that may begin a white-space character beyond ASCII.
 _WIDE_SPACE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
@@ -33,12 +33,22 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-def _encoded(chunks: list[str], path: str, most: int = 500_000) -> list[bytes]:
-    """Ids of every chunk as little-endian 32-bit numbers; a worker remembers up to `most` chunks."""
-    known = _KNOWN.setdefault(path, {})
-    if len(known) > most:
-        known.clear()
-    new = [c for c in chunks if c not in known]
+def _encoded(chunks: list[str], path: str, most: int = 600_000) -> list[bytes]:
+    """Ids of every chunk as little-endian 32-bit numbers.
+
+    A worker remembers up to `most` chunks, half of them from the time before the newer half was begun, so
+    that frequent ones are never forgotten.
+    """
+    known, before = _KNOWN.get(path, ({}, {}))
+    if len(known) > most // 2:
+        known, before = {}, known
+    _KNOWN[path] = known, before
+    new = []
+    for c in {c for c in chunks if c not in known}:
+        if c in before:
+            known[c] = before[c]
+        else:
+            new.append(c)
     # A chunk that begins with a space and a word keeps its ids behind any other, so these go in one call;
     # every token stands for a fixed number of bytes, which tells where the chunks end.
     inner = [c for c in new if c[:1] == " " and c[1:2] > " "]
@@ -123,7 +133,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int =
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    return map_slices(docs.select("doc_id", "text"), "text", work, schema, 3 << 20, tidy=True)
+    return map_slices(docs.select("doc_id", "text"), "text", work, schema, 4 << 20, tidy=True)
 
 
 def patterns(lengths: np.ndarray, capacity: int, grid: int = 128) -> np.ndarray:
