@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from domainlake.session import written
 
+#: Links that a task writes at the end of a round.
+LINKS = 50_000
+
 
 def _towards_least(links: DataFrame, larger_only: bool) -> DataFrame:
     """Link the neighbours of every node to the least of them and the node itself."""
@@ -47,4 +50,6 @@ def connected_components(links: DataFrame) -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         seen = tuple(stats)
-        now = written(_towards_least(_towards_least(now, True), False), "links")
+        # A round makes no more links than it got, so their number says how many files they need.
+        round_links = _towards_least(_towards_least(now, True), False)
+        now = written(round_links.coalesce(-(-stats[0] // LINKS)), "links")

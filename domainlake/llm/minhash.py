@@ -227,7 +227,8 @@ def confirmed_links(rows: DataFrame, shingle: int, percent: int, differences: in
     """(a, b): links between side 0 and side 1 of every tile of `rows` (tiles with sig and z), as a forest.
 
     A link joins sets of different components whose signatures are close and whose intersection is at least
-    `percent` hundredths of their union. Components that the tile has joined already aren't compared again.
+    `percent` hundredths of their union. Components that the tile has joined already aren't compared again, and
+    a pair that shares several keys is compared in the first of them only.
     """
 
     def run(batches):
@@ -252,21 +253,27 @@ def confirmed_links(rows: DataFrame, shingle: int, percent: int, differences: in
                         left += zip(cls, comp, sets)
                         signs = sig if signs is None else np.concatenate([signs, sig])
                         continue
+                    if not left:
+                        continue
+                    differ = sig[:, None, :] != signs[None, :, :]
+                    there = np.array([x[1] for x in left])
+                    right, other = np.nonzero((differ.sum(axis=2) <= differences) & (np.array(comp)[:, None] != there[None, :]))
+                    if at[0] >= 0:  # a slot's key, not a star
+                        first = first_shared(differ[right, other], differences) == at[0]
+                        right, other = right[first], other[first]
                     links = []
-                    for n in range(len(cls) if left else 0):
-                        for m in np.flatnonzero((signs != sig[n]).sum(axis=1) <= differences).tolist():
-                            other, other_comp, there = left[m]
-                            small, large = sorted((sets[n], there), key=len)
-                            if 100 * len(small) < percent * len(large):
-                                continue
-                            a, b = top(comp[n]), top(other_comp)
-                            if a == b:
-                                continue
-                            place = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                            both = int((large[place] == small).sum())
-                            if 100 * both >= percent * (len(small) + len(large) - both):
-                                root[max(a, b)] = min(a, b)
-                                links.append((cls[n], other))
+                    for n, m in zip(right.tolist(), other.tolist()):
+                        a, b = top(comp[n]), top(left[m][1])
+                        if a == b:
+                            continue
+                        small, large = sorted((sets[n], left[m][2]), key=len)
+                        if 100 * len(small) < percent * len(large):
+                            continue
+                        place = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                        both = int((large[place] == small).sum())
+                        if 100 * both >= percent * (len(small) + len(large) - both):
+                            root[max(a, b)] = min(a, b)
+                            links.append((cls[n], left[m][0]))
                     if links:
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*links)], names=["a", "b"])
 
