@@ -50,16 +50,36 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: What workers keep between tasks, by the kind of work that it serves.
+_REMEMBERED: dict[str, tuple[dict, ...]] = {}
+
+
+def remembered(kind: str, *stores: dict) -> None:
+    """These dictionaries of a module are kept between tasks of one kind of work only."""
+    _REMEMBERED[kind] = stores
+
+
+def forget_others(kind: str | None) -> None:
+    """Empty what this worker keeps for other kinds of work: workers outlive their stage."""
+    others = [s for k, stores in _REMEMBERED.items() if k != kind for s in stores if s]
+    for store in others:
+        store.clear()
+    if others:
+        give_back()
+
+
 def map_slices(
     df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, size: int = 2 << 20,
-    tidy: bool = False,
+    tidy: bool = False, kind: str | None = None,
 ) -> DataFrame:
     """Apply `work` to bounded slices of `df`; `column` is the one with the long texts.
 
-    With `tidy` a task gives its worker's free memory back at its end.
+    With `tidy` a task gives its worker's free memory back at its end. A worker forgets at its beginning what
+    is `remembered` for another `kind` of work.
     """
 
     def run(batches):
+        forget_others(kind)
         for piece in pieces(batches, column, size):
             out = work(piece)
             if out is not None and out.num_rows:

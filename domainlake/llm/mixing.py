@@ -190,9 +190,12 @@ def _rated(rows, model, doc_id, text, targets, least):
     count = len(model.names)
 
     @F.pandas_udf("double")
-    def rate(p):
+    def evaluated(p):
         return pd.Series(rates.of(np.stack(p.to_list()).reshape(-1, count)) if len(p) else [])
 
+    # Else filters on copies evaluate it again, each time in a worker of its own.
+    rate = evaluated.asNondeterministic()
+
     even = (F.pmod(F.xxhash64(doc_id, text), F.lit(1 << 20)) + 0.5) / (1 << 20)
     out = known.withColumn("domains", F.array(*[F.lit(n) for n in model.names])).withColumn("rate", rate("p"))
     return out.withColumn("copies", F.floor(F.col("rate") + even).cast("int"))

@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from domainlake.llm.common import map_slices, text_bytes
+from domainlake.llm.common import map_slices, remembered, text_bytes
 from domainlake.session import written
 
 _TOKENIZERS: dict = {}
 _KNOWN: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 _SIZES: dict[str, np.ndarray] = {}
+remembered("tokens", _TOKENIZERS, _KNOWN, _SIZES)
 #: Bytes that may begin a white-space character beyond ASCII.
 _WIDE_SPACE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 
@@ -133,7 +134,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int =
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    return map_slices(docs.select("doc_id", "text"), "text", work, schema, 4 << 20, tidy=True)
+    return map_slices(docs.select("doc_id", "text"), "text", work, schema, 4 << 20, tidy=True, kind="tokens")
 
 
 def patterns(lengths: np.ndarray, capacity: int, grid: int = 128) -> np.ndarray:

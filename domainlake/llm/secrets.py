@@ -258,7 +258,7 @@ def redact_secrets(docs: DataFrame, alpha: float = 0.01, mask: str = "<secret>")
         columns["text"] = pa.array(texts, pa.string())
         return pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
-    return map_slices(docs, "text", work, docs.schema)
+    return map_slices(docs, "text", work, docs.schema, tidy=True)
 
 
 def _masked(text: str, spans: list[tuple[int, int]], mask: str) -> str:

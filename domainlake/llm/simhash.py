@@ -45,7 +45,7 @@ def with_fingerprints(docs: DataFrame, text: str, shingle: int = 3, name: str =
         fps = pa.array(np.array(prints, dtype=np.uint64).view(np.int64))
         return pa.RecordBatch.from_arrays([*batch.columns, fps], names=[*batch.schema.names, name])
 
-    return map_slices(docs, text, work, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    return map_slices(docs, text, work, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]), tidy=True)
 
 
 def segment_masks(differences: int) -> list[int]:

@@ -231,7 +231,7 @@ def candidate_landmarks(sample: DataFrame, most: int) -> list[str]:
         columns = [list(counts), [c[1] for c in counts.values()], [c[0] for c in counts.values()]]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["s", "toxic", "clean"])
 
-    counts = map_slices(sample.select("text", "label"), "text", work, "s string, toxic long, clean long", 16 << 20)
+    counts = map_slices(sample.select("text", "label"), "text", work, "s string, toxic long, clean long", 16 << 20, tidy=True)
     totals = sample.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
     positive, negative = (max(1, t or 0) for t in totals)
     rows = counts.groupBy("s").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where("t >= 2")
@@ -317,7 +317,7 @@ def _features(sample: DataFrame, kernel: Kernel, most: int = 4) -> tuple[np.ndar
         columns = [batch.column("doc_id").take(at), batch.column("label").take(at), raw]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "raw"])
 
-    rows = map_slices(sample, "text", work, "doc_id long, label int, raw binary")
+    rows = map_slices(sample, "text", work, "doc_id long, label int, raw binary", tidy=True)
     rows = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["raw"]))
     values = np.stack([np.frombuffer(r["raw"], dtype=np.float32) for r in rows]).astype(float)
     return np.array([r["doc_id"] for r in rows]), np.array([r["label"] for r in rows]), values
@@ -373,7 +373,7 @@ def _held(sample: DataFrame, strings: list[str]) -> tuple[np.ndarray, np.ndarray
         columns = [batch.column("doc_id"), batch.column("label"), pa.array(found, pa.list_(pa.int32()))]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = map_slices(sample, "text", work, "doc_id long, label int, found array<int>")
+    rows = map_slices(sample, "text", work, "doc_id long, label int, found array<int>", tidy=True)
     rows = sorted(rows.collect(), key=lambda r: r["doc_id"])
     held = np.zeros((len(rows), len(strings)))
     for k, r in enumerate(rows):
