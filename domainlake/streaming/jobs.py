@@ -7,10 +7,13 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from domainlake.constants import FLUX_LIMIT, RATE_LIMIT, SHADOWING_LIMIT
 from domainlake.operators import detection
@@ -121,12 +124,43 @@ def stream_rate_windows(
     )
 
 
-def _nullable(value):
-    """A cell of a pandas row as state takes it."""
-    return None if pd.isna(value) else value.item() if hasattr(value, "item") else value
+#: Clients, or names, are dealt to so many keys of state per time span; a query keeps the number that its checkpoint began with.
+BUCKETS = 16
+#: Bytes of state that a worker may gather before it hands them over.
+HANDED_OVER = 1 << 24
 
 
-def _trailing(times: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+def _columns(frames: Iterator[pd.DataFrame], schema: pa.Schema) -> pa.Table:
+    """The columns of `schema` of some frames."""
+    arrays = ([pa.array(f[c.name].to_numpy(), c.type, from_pandas=True) for c in schema] for f in frames)
+    return pa.Table.from_batches([pa.RecordBatch.from_arrays(a, schema=schema) for a in arrays], schema)
+
+
+def _packed(rows: pa.Table) -> bytes:
+    """Rows as one value of state, which is read and written at once."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(value: bytes) -> pa.Table:
+    """The rows of `_packed`."""
+    return pa.ipc.open_stream(pa.py_buffer(value)).read_all()
+
+
+def _trailing(who: pa.ChunkedArray, times: np.ndarray, width: int) -> np.ndarray:
+    """How many rows of the same `who` lie in the trailing window of each row, ends included."""
+    owner = who.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+    instants, at = np.unique(times, return_inverse=True)
+    first = np.searchsorted(instants, instants - width, side="left")[at]
+    # Numbers in the order of owner and time; they stay far below 2 ** 63, as both are counted.
+    base = owner * (len(instants) + 1)
+    order = np.sort(base + at)
+    return np.searchsorted(order, base + at, side="right") - np.searchsorted(order, base + first, side="left")
+
+
+def _in_window(times: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     """How many of the sorted `times` lie in the trailing window of each of `at`, ends included."""
     return np.searchsorted(times, at, side="right") - np.searchsorted(times, at - width, side="left")
 
@@ -153,7 +187,7 @@ class TrailingCount(StatefulProcessor):
         new = pd.concat(list(rows))[["t", "id", "own"]].assign(recent=0)
         both = (pd.concat([held, new]) if len(held) else new).sort_values(["t", "id"], ignore_index=True)
         times = both["t"].to_numpy(dtype=np.int64)
-        recent = _trailing(times, times, self.width)
+        recent = _in_window(times, times, self.width)
         changed = both[(recent != both["recent"].to_numpy()) & both["own"].to_numpy(dtype=bool)].index
         out = pd.DataFrame({"id": both["id"].iloc[changed].astype("int64"), "client_ip": key[0], "recent": recent[changed]})
         out["rate_limited"] = out["recent"] > self.limit
@@ -179,6 +213,10 @@ def _spans(rows: DataFrame, width: int, slices: int) -> DataFrame:
     return rows.withColumn("span", F.explode(spans)).withColumn("own", F.col("span") == own)
 
 
+def _bucket(who: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(who), F.lit(buckets)).alias("bucket")
+
+
 def stream_rate_limit(
     queries: DataFrame, seconds: float = 1.0, limit: int = RATE_LIMIT, slices: int = 10,
     delay: str = "10 seconds",
@@ -215,71 +253,79 @@ QUERY, ANSWER = 0, 1
 NO_ID = -(1 << 63)
 
 
-class InOrder(StatefulProcessor):
-    """Holds the events of one key back until the watermark passes them, and counts trailing queries.
+class InOrder:
+    """Holds the events of a key back until the watermark passes them, and counts trailing queries.
 
-    What is given out is final: no earlier event of the key can come any more. State holds the events that
-    wait and the times of the last window.
+    Keys are (bucket, span) of clients for queries and of domains for answers. What is given out is final: no earlier
+    event of the key can come any more. State holds the events that wait, packed by the batch they came with, the
+    least time of them, and the times of the last window.
     """
 
-    def __init__(self, width: int):
-        self.width = width
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", f"{EVENT}, own boolean")
-        self.times = handle.getListState("times", "t bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        new = pd.concat(list(rows))
-        columns = [new[c] for c in (*_EVENT_COLUMNS, "own")]
-        self.waiting.appendList([tuple(map(_nullable, row)) for row in zip(*columns)])
-        self.handle.registerTimer(int(-(-new["t"].min() // 1000)))
-        yield self._empty()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[2], r[1]))
-        ready, rest = [r for r in rows if r[2] <= now], [r for r in rows if r[2] > now]
-        held = [t for (t,) in self.times.get()]
-        times = np.array(sorted(held + [r[2] for r in ready]), dtype=np.int64)
-        out = pd.DataFrame([r[:-1] for r in ready], columns=_EVENT_COLUMNS)
-        out["recent"] = _trailing(times, out["t"].to_numpy(dtype=np.int64), self.width)
-        if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(-(-rest[0][2] // 1000))
+    WAITING = pa.schema({
+        "kind": pa.int32(), "id": pa.int64(), "t": pa.int64(), "client_ip": pa.string(), "domain": pa.string(), "query_type": pa.string(),
+        "dga_prob": pa.float64(), "decision": pa.float64(), "ip": pa.string(), "own": pa.bool_(),
+    })
+
+    def __init__(self, width: int, batch_rows: int):
+        self.width, self.batch_rows, self.gathered = width, max(batch_rows, 0), 0
+
+    def __call__(self, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs() * 1000
+        first, waiting, times = state.get if state.exists else (None, [], None)
+        waiting, times = [*waiting], times and _unpacked(times)
+        if not state.hasTimedOut:
+            new = _columns(frames, self.WAITING)
+            waiting.append(_packed(new))
+            least = pc.min(new["t"]).as_py()
+            first = least if first is None else min(first, least)
+        if first is not None and first > now:
+            yield from self._handed_over(waiting)
         else:
-            self.waiting.clear()
-        kept = times[times > now - self.width].tolist()
-        if kept:
-            self.times.put([(t,) for t in kept])
-            if not rest:  # come back once they are out of every window
-                self.handle.registerTimer(-(-(kept[-1] + self.width) // 1000))
+            rows = pa.concat_tables([self.WAITING.empty_table(), *map(_unpacked, waiting)])
+            passed = pc.less_equal(rows["t"], now)
+            rest = rows.filter(pc.invert(passed))
+            ready, times = self._counted(rows.filter(passed), times, now)
+            yield ready
+            waiting, first = [_packed(rest)] if len(rest) else [], pc.min(rest["t"]).as_py()
+        # Come back for the next event, or to forget the times once they are out of every window.
+        due = first if first is not None else times and pc.max(times["t"]).as_py() + self.width
+        if due is None:
+            state.remove()
         else:
-            self.times.clear()
-        own = [r[-1] for r in ready]
-        yield self._typed(out[np.array(own, dtype=bool)]) if ready else self._empty()
-
-    def _empty(self) -> pd.DataFrame:
-        return self._typed(pd.DataFrame([], columns=[*_EVENT_COLUMNS, "recent"]))
-
-    def _typed(self, out: pd.DataFrame) -> pd.DataFrame:
-        whole = {"kind": "int32", "id": "int64", "t": "int64", "recent": "int64"}
-        real = {"dga_prob": "float64", "decision": "float64"}
-        return out.astype({**whole, **real})
-
-    def close(self) -> None:
-        pass
+            state.update((first, waiting, times and _packed(times)))
+            state.setTimeoutTimestamp(max(-(-due // 1000) - 1, 1))
+
+    def _counted(self, ready: pa.Table, times: pa.Table | None, now: int) -> tuple[pd.DataFrame, pa.Table | None]:
+        """The events that `now` has passed with their counts, and the times that later ones may still count."""
+        query = pc.equal(ready["kind"], QUERY)
+        name = pc.fill_null(pc.if_else(query, ready["client_ip"], ready["domain"]), "")
+        who = pc.binary_join_element_wise(pc.if_else(query, "c", "d"), name, "")
+        seen = pa.table({"who": who, "t": ready["t"]})
+        seen = pa.concat_tables([seen, times]) if times else seen
+        at = seen["t"].to_numpy()
+        recent = pa.array(_trailing(seen["who"], at, self.width)[: len(ready)])
+        out = ready.append_column("recent", recent).filter(ready["own"]).drop_columns("own").to_pandas()
+        kept = seen.filter(pa.array(at > now - self.width))
+        return out, kept if len(kept) else None
+
+    def _handed_over(self, waiting: list[bytes]) -> Iterator[pd.DataFrame]:
+        """Rows without a kind, which are left out later: a worker keeps state until that many rows of output follow."""
+        self.gathered += sum(map(len, waiting))
+        if self.gathered > HANDED_OVER:
+            self.gathered = 0
+            blank = [n for n in self.WAITING.names if n != "own"]
+            yield pd.DataFrame({n: None for n in [*blank, "recent"]}, index=range(self.batch_rows + 1))
 
 
 def events_in_order(
-    queries: DataFrame, answers: DataFrame, seconds: float = 1.0, slices: int = 10, delay: str = "10 seconds"
+    queries: DataFrame, answers: DataFrame, seconds: float = 1.0, slices: int = 10, delay: str = "10 seconds",
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Queries and answers of two streams once no earlier ones can come, with `recent` of the queries.
 
     Each is given out once, in the batch after the watermark passes it, so batches follow each other in time.
-    Keys are (client, span) for queries and (domain, span) for answers. Events without a timestamp belong to
-    no order and are left out, and so are those later than `delay`.
+    Keys are (bucket, span), with buckets of clients for queries and of domains for answers. Events without a
+    timestamp belong to no order and are left out, and so are those later than `delay`.
     """
     width = int(seconds * 1_000_000)
     kinds = dict(part.split() for part in EVENT.split(", "))
@@ -296,15 +342,17 @@ def events_in_order(
     who = F.when(F.col("kind") == QUERY, F.concat(F.lit("c"), F.coalesce("client_ip", F.lit("")))).otherwise(
         F.concat(F.lit("d"), F.coalesce("domain", F.lit("")))
     )
-    keyed = _spans(timed.withColumn("who", who), width, slices).where((F.col("kind") == QUERY) | F.col("own"))
-    use_rocksdb(queries.sparkSession)
-    ordered = keyed.select("who", "span", "ts", *_EVENT_COLUMNS, "own").groupBy("who", "span").transformWithStateInPandas(
-        statefulProcessor=InOrder(width),
+    keyed = _spans(timed.withColumn("bucket", _bucket(who, buckets)), width, slices).where((F.col("kind") == QUERY) | F.col("own"))
+    spark = queries.sparkSession
+    use_rocksdb(spark)
+    ordered = keyed.select("bucket", "span", "ts", *_EVENT_COLUMNS, "own").groupBy("bucket", "span").applyInPandasWithState(
+        InOrder(width, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))),
         outputStructType=f"{EVENT}, recent bigint",
-        outputMode="Append",
-        timeMode="EventTime",
+        stateStructType="first bigint, waiting array<binary>, times binary",
+        outputMode="append",
+        timeoutConf=GroupStateTimeout.EventTimeTimeout,
     )
-    return ordered.withColumn("id", F.nullif("id", F.lit(NO_ID)))
+    return ordered.where("kind is not null").withColumn("id", F.nullif("id", F.lit(NO_ID)))
 
 
 def stream_detect(
@@ -323,6 +371,7 @@ def stream_detect(
     flux_limit: int = FLUX_LIMIT,
     delay: str = "10 seconds",
     trigger: dict | None = None,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """The whole path of a live query log: rate limit, lists, behaviour, score, log and alerts.
 
@@ -353,6 +402,9 @@ def stream_detect(
     def write(batch: DataFrame, batch_id: int) -> None:
         events = batch.withColumn("ts", F.timestamp_micros("t")).persist()
         try:
+            # One job evaluates the state; a batch that only holds events back has nothing to decide.
+            if not events.count():
+                return
             passed = events.where((F.col("kind") == QUERY) & (F.col("recent") <= rate_limit))
             analysed = query_type_filter(passed.select("id", "ts", "client_ip", "domain", "query_type", "dga_prob", "decision"))
             listed = read_blocklist() if read_blocklist else None
@@ -384,7 +436,7 @@ def stream_detect(
         finally:
             events.unpersist()
 
-    ordered = events_in_order(queries, answers, seconds, delay=delay)
+    ordered = events_in_order(queries, answers, seconds, delay=delay, buckets=buckets)
     writer = ordered.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     with state_partitions(spark):
         return writer.trigger(**(trigger or {"availableNow": True})).start()
