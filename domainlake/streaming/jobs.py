@@ -160,48 +160,41 @@ def _trailing(who: pa.ChunkedArray, times: np.ndarray, width: int) -> np.ndarray
     return np.searchsorted(order, base + at, side="right") - np.searchsorted(order, base + first, side="left")
 
 
-def _in_window(times: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """How many of the sorted `times` lie in the trailing window of each of `at`, ends included."""
-    return np.searchsorted(times, at, side="right") - np.searchsorted(times, at - width, side="left")
-
-
-class TrailingCount(StatefulProcessor):
-    """Counts the queries of one client in the trailing window, whatever order they arrive in.
-
-    Keys are (client, span) with the context rows of `_spans`, so one call sees at most a few windows of one
-    client. State holds the queries that a row after the watermark may still count or be counted by. A late
-    query raises the counts of those after it, which are emitted again.
+class TrailingCount:
+    """Counts the queries of each client in the trailing window, whatever order they arrive in.
+
+    Keys are (bucket, span): clients are dealt to buckets, and the rows of a bucket to the spans of `_spans`, with
+    their context. So a call counts many clients at once and sees at most a few windows of them, and the number of
+    calls grows neither with the clients nor with the rows. State holds the queries that a row after the watermark
+    may still count or be counted by, as one value. A late query raises the counts of those after it, which are
+    emitted again.
     """
 
+    ARRIVED = pa.schema({"t": pa.int64(), "id": pa.int64(), "client_ip": pa.string(), "own": pa.bool_()})
+
     def __init__(self, width: int, span: int, limit: int):
         self.width, self.span, self.limit = width, span, limit
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.queries = handle.getListState("queries", "t bigint, id bigint, own boolean, recent bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        held = pd.DataFrame(list(self.queries.get()), columns=["t", "id", "own", "recent"])
-        if held.empty:
-            self.handle.registerTimer((key[1] + 1) * self.span // 1000)
-        new = pd.concat(list(rows))[["t", "id", "own"]].assign(recent=0)
-        both = (pd.concat([held, new]) if len(held) else new).sort_values(["t", "id"], ignore_index=True)
-        times = both["t"].to_numpy(dtype=np.int64)
-        recent = _in_window(times, times, self.width)
-        changed = both[(recent != both["recent"].to_numpy()) & both["own"].to_numpy(dtype=bool)].index
-        out = pd.DataFrame({"id": both["id"].iloc[changed].astype("int64"), "client_ip": key[0], "recent": recent[changed]})
-        out["rate_limited"] = out["recent"] > self.limit
-        from_here = timerValues.getCurrentWatermarkInMs() * 1000 - self.width
-        kept = both.assign(recent=recent)[times >= from_here]
-        self.queries.put(list(zip(kept["t"].tolist(), kept["id"].tolist(), kept["own"].tolist(), kept["recent"].tolist())))
-        yield out
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.queries.clear()
-        yield pd.DataFrame({"id": pd.Series([], dtype="int64"), "client_ip": pd.Series([], dtype="str"), "recent": pd.Series([], dtype="int64"), "rate_limited": pd.Series([], dtype="bool")})
-
-    def close(self) -> None:
-        pass
+    def __call__(self, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = _columns(frames, self.ARRIVED)
+        rows = rows.append_column("recent", pa.array(np.zeros(len(rows), np.int64)))
+        if state.exists:
+            rows = pa.concat_tables([_unpacked(state.get[0]), rows])
+        times = rows["t"].to_numpy()
+        recent = _trailing(rows["client_ip"], times, self.width)
+        changed = (recent != rows["recent"].to_numpy()) & rows["own"].to_numpy()
+        out = rows.select(["id", "client_ip"]).filter(pa.array(changed)).to_pandas()
+        yield out.assign(recent=recent[changed], rate_limited=recent[changed] > self.limit)
+        now, end = state.getCurrentWatermarkMs(), (int(key[1]) + 1) * self.span // 1000
+        kept = rows.drop_columns("recent").append_column("recent", pa.array(recent)).filter(pa.array(times >= now * 1000 - self.width))
+        if len(kept) and end > now:
+            state.update((_packed(kept),))
+            state.setTimeoutTimestamp(end)
+        elif state.exists:
+            state.remove()
 
 
 def _spans(rows: DataFrame, width: int, slices: int) -> DataFrame:
@@ -219,24 +212,27 @@ def _bucket(who: Column, buckets: int) -> Column:
 
 def stream_rate_limit(
     queries: DataFrame, seconds: float = 1.0, limit: int = RATE_LIMIT, slices: int = 10,
-    delay: str = "10 seconds",
+    delay: str = "10 seconds", buckets: int = BUCKETS,
 ) -> DataFrame:
     """(id, client_ip, recent, rate_limited): the exact trailing count of each query, as soon as it arrives.
 
     Queries of one client with equal timestamps count each other. Where a late query raises the count of one
     already emitted, that one is emitted again, so the largest count of an id is its last word (`settled`);
-    queries later than `delay` or without a timestamp are dropped. One client is spread over its time spans.
+    queries later than `delay` or without a timestamp are dropped. One client is spread over its time spans, and
+    `buckets` of clients over the tasks of a span.
     """
     width = int(seconds * 1_000_000)
     timed = queries.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).withColumn("t", micros())
     known = timed.where("t is not null").withColumn("id", F.coalesce("id", F.lit(NO_ID)))
-    keyed = _spans(known, width, slices).select("ts", "id", "client_ip", "t", "span", "own")
+    bucket = _bucket(F.col("client_ip"), buckets)
+    keyed = _spans(known, width, slices).select("ts", "id", "client_ip", "t", "span", "own", bucket)
     use_rocksdb(queries.sparkSession)
-    counted = keyed.groupBy("client_ip", "span").transformWithStateInPandas(
-        statefulProcessor=TrailingCount(width, width * slices, limit),
+    counted = keyed.groupBy("bucket", "span").applyInPandasWithState(
+        TrailingCount(width, width * slices, limit),
         outputStructType="id bigint, client_ip string, recent bigint, rate_limited boolean",
-        outputMode="Append",
-        timeMode="EventTime",
+        stateStructType="held binary",
+        outputMode="append",
+        timeoutConf=GroupStateTimeout.EventTimeTimeout,
     )
     return counted.withColumn("id", F.nullif("id", F.lit(NO_ID)))
 

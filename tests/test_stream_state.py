@@ -1,4 +1,4 @@
-"""State of the detection stream: few keys whatever the number of clients, right counts in them."""
+"""State of the rate limit and of the detection stream: few keys whatever the number of clients, right counts in them."""
 
 import random
 from datetime import timedelta
@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from domainlake.operators import behaviour as B
 from domainlake.session import fresh_dir
 from domainlake.streaming import jobs
 from tests.test_behaviour import START
@@ -34,6 +35,13 @@ def state_rows(stream):
     return max(n for p in query.recentProgress for op in p.stateOperators for n in (op.numRowsUpdated, op.numRowsTotal))
 
 
+def test_rate_limit_state_does_not_grow_with_clients(spark):
+    rows = [(i, START + timedelta(seconds=i % 60), f"c{i % 400}") for i in range(800)]
+    path = landed(spark, rows, "id long, ts timestamp, client_ip string", "many-clients")
+    stream = jobs.stream_rate_limit(jobs.file_stream(spark, path), seconds=60, limit=1, slices=10)
+    assert state_rows(stream) <= 2 * jobs.BUCKETS
+
+
 def test_detection_state_does_not_grow_with_names(spark):
     at = [START + timedelta(seconds=i % 60) for i in range(800)]
     queries = landed(spark, [(i, t, f"c{i % 400}", f"d{i}.com", "A", 0.0, 0.0) for i, t in enumerate(at)], QUERIES, "many-queries")
@@ -42,6 +50,28 @@ def test_detection_state_does_not_grow_with_names(spark):
     assert state_rows(stream) <= 2 * jobs.BUCKETS
 
 
+def test_clients_of_a_bucket_are_counted_apart(spark):
+    """Files out of order, null and empty clients, ids beyond what a float holds."""
+    rng = random.Random(3)
+    rows = [((1 << 60) + i, START + timedelta(milliseconds=rng.randrange(6_000)), rng.choice(["a", "b", "c", "", None])) for i in range(300)]
+    schema = "id long, ts timestamp, client_ip string"
+    path = landed(spark, rows, schema, "shared-bucket", files=4)
+    stream = jobs.stream_rate_limit(jobs.file_stream(spark, path, 1), 1.0, 5, slices=2, buckets=2)
+    got = jobs.settled(jobs.run_to_table(stream, "shared-bucket-rate")).collect()
+    want = B.rate_limit_flags(spark.createDataFrame(rows, schema), 1.0, 5).select("id", "client_ip", "recent", "rate_limited")
+    assert {tuple(r) for r in got} == {tuple(r) for r in want.collect()} and len(got) == len(rows)
+
+
+def test_a_batch_after_which_nothing_counts_any_more(spark):
+    """The third file is within the delay of the batch before, and out of every window that can still be asked for."""
+    path = fresh_dir(spark, "nothing-kept")
+    for i, at in enumerate([0, 10, 5, 20]):
+        spark.createDataFrame([(i, START + timedelta(seconds=at), "c")], "id long, ts timestamp, client_ip string").coalesce(1).write.mode("append").parquet(path)
+    stream = jobs.stream_rate_limit(jobs.file_stream(spark, path, 1), 0.1, 1, slices=600, delay="1 second")
+    got = jobs.settled(jobs.run_to_table(stream, "nothing-kept-rate")).collect()
+    assert sorted(map(tuple, got)) == [(i, "c", 1, False) for i in range(4)]
+
+
 @pytest.mark.parametrize("width", [0, 1, 40, 10_000])
 def test_trailing_counts_equal_a_plain_count(width):
     rng = random.Random(width)
